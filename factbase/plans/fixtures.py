@@ -82,7 +82,7 @@ from {part}""",
     "U": """
 select event_id, element_at(array('en','fr','de','es'), cast(event_id % 4 as int)+1) as owner_id, 'src' || cast(user_id % 20 as string) as pack,
  'k' || cast(cast(get_json_object(props, '$.k') as int) % 25 as string) as key, cast(ts as timestamp_ntz) as ts,
- element_at(array('claude','cursor','chatgpt','gemini','myapp'), cast(user_id % 5 as int)+1) as agent
+ element_at(array('claude','cursor','chatgpt','gemini','myapp'), cast(event_id % 5 as int)+1) as agent
 from {events}""",
     "PM": """
 select owner_id, agent, agent = 'chatgpt' as allow_all,
@@ -108,7 +108,7 @@ from part""",
     "U": """
 select event_id, (['en','fr','de','es'])[(event_id % 4)+1] as owner_id, 'src' || cast(user_id % 20 as varchar) as pack,
  'k' || cast(cast(json_extract_string(props, '$.k') as int) % 25 as varchar) as key, ts,
- (['claude','cursor','chatgpt','gemini','myapp'])[(user_id % 5)+1] as agent
+ (['claude','cursor','chatgpt','gemini','myapp'])[(event_id % 5)+1] as agent
 from events""",
     "PM": """
 select owner_id, agent, agent = 'chatgpt' as allow_all,
