@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from factbase.plans.fixtures import Views
 
-MODULES = ["catalog_core", "catalog_docs"]
+MODULES = ["catalog_core", "catalog_docs", "catalog_merge"]
 
 
 def registered() -> dict:

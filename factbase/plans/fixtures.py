@@ -91,6 +91,14 @@ from (select lang as owner_id, element_at(array('claude','cursor','chatgpt','def
   sort_array(collect_set(source)) as packs from {documents} group by 1, 2)""",
 }
 
+_SPARK["W"] = """
+select event_id as seq, element_at(array('en','fr','de','es'), cast(event_id % 4 as int)+1) as owner_id, 'src' || cast(user_id % 22 as string) as pack,
+ 'k' || cast(cast(get_json_object(props, '$.k') as int) % 30 as string) as key,
+ event_type || case when event_id % 3 = 0 then ', ,b ,' || user_id else '' end as value,
+ element_at(array('skill','context','style'), cast(event_id % 3 as int)+1) as type,
+ case when event_id % 2 = 0 then cast(event_id % 11 as int) end as priority
+from {events}"""
+
 _DUCK = {
     "F": """
 select lang as owner_id, source as pack, 'k' || cast(length(text) % 25 as varchar) as key, doc_id as pos,
@@ -117,6 +125,14 @@ from (select lang as owner_id, (['claude','cursor','chatgpt','default','gemini']
   list_sort(list(distinct source)) as packs from documents group by 1, 2)""",
 }
 
+_DUCK["W"] = """
+select event_id as seq, (['en','fr','de','es'])[(event_id % 4)+1] as owner_id, 'src' || cast(user_id % 22 as varchar) as pack,
+ 'k' || cast(cast(json_extract_string(props, '$.k') as int) % 30 as varchar) as key,
+ event_type || case when event_id % 3 = 0 then ', ,b ,' || user_id else '' end as value,
+ (['skill','context','style'])[(event_id % 3)+1] as type,
+ case when event_id % 2 = 0 then event_id % 11 end as priority
+from events"""
+
 _TABLES = {"documents", "part", "events", "conversations", "supplier"}
 
 
@@ -198,6 +214,10 @@ class Views:
     def PM(self) -> DataFrame:
         return self._sql("PM")
 
+    @cached_property
+    def W(self) -> DataFrame:
+        return self._sql("W")
+
 
 def _protect(text: str) -> str:
     """Double the braces of JSON literals so that only table names are substituted."""
