@@ -108,18 +108,22 @@ def high_priority_facts(scored: DataFrame, threshold: float = THRESHOLD) -> Data
 
 
 def serve_log(requests: DataFrame, visible: DataFrame, facts: DataFrame) -> DataFrame:
-    """Accesses that requests leave behind.
+    """Accesses that requests leave behind, as (owner_id, pack, key, agent, calls).
 
-    Card, profile and whole-context requests touch each visible pack once; a pack request
-    touches the pack and every fact in it. `requests` needs (event_id, owner_id, agent, tool,
-    pack_arg), `visible` (event_id, pack).
+    Card, profile and whole-context requests touch each visible pack once; a pack request touches
+    the pack and every fact in it. `requests` needs (owner_id, agent, tool, pack_arg), `visible`
+    (owner_id, agent, pack). Requests are counted first, so a busy owner is joined as one row per
+    agent and pack, not request by request.
     """
-    many = (requests.where(F.col("tool").isin("card", "profile", "all")).join(visible, "event_id")
-            .select("event_id", "owner_id", "agent", "pack", F.lit(None).cast("string").alias("key"),
-                    F.lit(None).cast("bigint").alias("pos")))
-    one = (requests.where(F.col("tool") == "pack")
-           .join(visible.withColumnRenamed("pack", "pack_arg"), ["event_id", "pack_arg"])
-           .select("event_id", "owner_id", "agent", F.col("pack_arg").alias("pack")))
-    pack_rows = one.withColumns({"key": F.lit(None).cast("string"), "pos": F.lit(None).cast("bigint")})
-    fact_rows = one.join(facts.select("owner_id", "pack", "key", "pos"), ["owner_id", "pack"])
-    return many.unionByName(pack_rows).unionByName(fact_rows.select(*many.columns))
+    who = ["owner_id", "agent"]
+    wide = (requests.where(F.col("tool").isin("card", "profile", "all")).groupBy(*who)
+            .agg(F.count(F.lit(1)).alias("calls")).join(visible, who))
+    narrow = (requests.where(F.col("tool") == "pack").withColumnRenamed("pack_arg", "pack").groupBy(*who, "pack")
+              .agg(F.count(F.lit(1)).alias("calls")).join(visible, [*who, "pack"], "left_semi"))
+    none = F.lit(None).cast("string").alias("key")
+    pack_rows = (wide.select(*who, "pack", "calls").unionByName(narrow.select(*who, "pack", "calls"))
+                 .groupBy(*who, "pack").agg(F.sum("calls").alias("calls")))
+    per_key = facts.groupBy(*FACT).agg(F.count(F.lit(1)).alias("n"))
+    fact_rows = narrow.join(per_key, PACK).select(
+        "owner_id", "pack", "key", "agent", (F.col("calls") * F.col("n")).alias("calls"))
+    return pack_rows.select("owner_id", "pack", none, "agent", "calls").unionByName(fact_rows)
