@@ -5,8 +5,6 @@ Every view covers its whole table and whole texts.
 
 from __future__ import annotations
 
-from functools import cached_property
-
 from pyspark.sql import DataFrame, SparkSession
 
 AS_OF = "2024-02-01 00:00:00"
@@ -135,6 +133,58 @@ from events"""
 
 _TABLES = {"documents", "part", "events", "conversations", "supplier"}
 
+_SAN_SPARK = r"""regexp_replace(text, r'["\\\p{Cntrl}]', ' ')"""
+_SAN_DUCK = r"""regexp_replace(text, '["\\[:cntrl:]]', ' ', 'g')"""
+_AGG_SPARK = "string_agg({x}, ',') within group (order by {o})"
+_AGG_DUCK = "string_agg({x}, ',' order by {o})"
+
+# Tree exports: three conversations per file, each node map with an empty root.
+_CT = """
+select cast(f % 7 as {str}) as owner_id, 'f' || cast(f as {str}) as file, '[' || {agg_conv} || ']' as doc from (
+ select conv_id, {div} as f, '{{"title":"c","mapping":{{"root":{{"message":null}},' || {agg_turn} || '}}}}' as conv from (
+  select conv_id, turn, '"t' || cast(turn as {str}) || '":{{"message":{{"author":{{"role":"' || role || '"}},"content":{{"parts":["' || {san} || '",{{"image":1}},"  ok "]}}}}}}' as node from {conversations}) group by conv_id) group by f"""
+
+# Flat exports: one file per conversation, in five layouts.
+_CF = """
+select cast(conv_id % 7 as {str}) as owner_id, 'c' || cast(conv_id as {str}) as file, case conv_id % 5 when 0 then '[{{"chat_messages":[' || {agg_m} || ']}}]' when 1 then '[{{"chat_messages":[' || {agg_m} || ']}}]'
+ when 2 then '{{"messages":[' || {agg_m} || ']}}' when 3 then '[{{"messages":[' || {agg_m} || ']}}]' else '[' || {agg_m} || ']' end as doc from (
+ select conv_id, turn, case conv_id % 5 when 0 then '{{"sender":"' || who || '","text":"' || t || '"}}' when 3 then '{{"sender":"' || who || '","text":"' || t || '"}}'
+  when 1 then '{{"role":"' || role || '","content":[{{"type":"text","text":"' || t || '"}},{{"type":"image"}}]}}' else '{{"role":"' || role || '","content":"' || t || '"}}' end as m
+ from (select *, case role when 'user' then 'human' else role end as who, {san} as t from {conversations})) group by conv_id"""
+
+# Model answers: fenced, chatty, broken, of the wrong type, plain.
+_XR = """
+select owner_id, batch_no, case batch_no % 5 when 0 then '```json' || chr(10) || j || chr(10) || '```' when 1 then 'Sure: ' || j || ' ok' when 2 then '{{broken' when 3 then '[1]' else j end as raw from (
+ select lang as owner_id, doc_id as batch_no, '{{"facts":[{{"key":"k' || cast(doc_id % 23 as {str}) || '","value":' || case when doc_id % 2 = 0 then '["' || source || '","' || {san} || '"]' else '"' || {san} || '"' end
+  || case doc_id % 4 when 0 then ',"confidence":"low"' when 1 then ',"confidence":"medium"' when 2 then ',"confidence":"high"' else '' end || '}}],"rules":[{{"instruction":"Use ' || source || case when doc_id % 3 = 0 then '!' else '' end || '","priority":' || cast(doc_id % 11 as {str}) || '}}],"summary":"S' || cast(doc_id as {str}) || '"}}' as j from {documents})"""
+
+_SPARK["X"] = """
+select lang as owner_id, doc_id as pos, 'k' || cast(doc_id % 23 as string) as key, case doc_id % 4 when 0 then 'low' when 1 then 'medium' when 2 then 'high' end as confidence,
+ doc_id % 2 = 0 as value_is_list, case when doc_id % 2 = 0 then split(text, ' ') else array(text) end as value_items, cast(null as string) as type from {documents}"""
+_DUCK["X"] = """
+select lang as owner_id, doc_id as pos, 'k' || cast(doc_id % 23 as varchar) as key, case doc_id % 4 when 0 then 'low' when 1 then 'medium' when 2 then 'high' end as confidence,
+ doc_id % 2 = 0 as value_is_list, case when doc_id % 2 = 0 then string_split(text, ' ') else [text] end as value_items, cast(null as varchar) as type from documents"""
+
+
+def _protect(text: str) -> str:
+    """Double the braces of JSON literals so that only table names are substituted."""
+    for t in _TABLES:
+        text = text.replace(f"{{{t}}}", f"\0{t}\1")
+    return text.replace("{", "{{").replace("}", "}}").replace("\0", "{").replace("\1", "}")
+
+
+def _fill(text: str, spark: bool) -> str:
+    agg = _AGG_SPARK if spark else _AGG_DUCK
+    parts = {"str": "string" if spark else "varchar", "san": _SAN_SPARK if spark else _SAN_DUCK,
+             "div": "conv_id div 3" if spark else "conv_id // 3", "agg_conv": agg.format(x="conv", o="conv_id"),
+             "agg_turn": agg.format(x="node", o="turn"), "agg_m": agg.format(x="m", o="turn"),
+             "conversations": "{conversations}" if spark else "conversations",
+             "documents": "{documents}" if spark else "documents"}
+    out = text.format(**parts)
+    return _protect(out) if spark else out
+
+
+
 
 def duck_view(name: str) -> str:
     """DuckDB text of one view."""
@@ -153,6 +203,10 @@ def with_views(names: str, body: str) -> str:
     return f"with {ctes}, {body[5:]}" if body.lower().startswith("with ") else f"with {ctes} {body}"
 
 
+for _name, _text in {"CT": _CT, "CF": _CF, "XR": _XR}.items():
+    _SPARK[_name], _DUCK[_name] = _fill(_text, True), _fill(_text, False)
+
+
 class Views:
     """Lazily built Spark frames for one data directory."""
 
@@ -174,53 +228,9 @@ class Views:
         used = {t: self.table(t) for t in _TABLES if f"{{{t}}}" in text}
         return self.spark.sql(text, **used)
 
-    @cached_property
-    def F(self) -> DataFrame:
-        return self._sql("F")
-
-    @cached_property
-    def RU(self) -> DataFrame:
-        return self._sql("RU")
-
-    @cached_property
-    def P(self) -> DataFrame:
-        return self._sql("P")
-
-    @cached_property
-    def U(self) -> DataFrame:
-        return self._sql("U")
-
-    @cached_property
-    def M(self) -> DataFrame:
-        return self._sql("M")
-
-    @cached_property
-    def DX(self) -> DataFrame:
-        return self._sql("DX")
-
-    @cached_property
-    def RP(self) -> DataFrame:
-        return self._sql("RP")
-
-    @cached_property
-    def FI(self) -> DataFrame:
-        return self._sql("FI")
-
-    @cached_property
-    def RQ(self) -> DataFrame:
-        return self._sql("RQ")
-
-    @cached_property
-    def PM(self) -> DataFrame:
-        return self._sql("PM")
-
-    @cached_property
-    def W(self) -> DataFrame:
-        return self._sql("W")
-
-
-def _protect(text: str) -> str:
-    """Double the braces of JSON literals so that only table names are substituted."""
-    for t in _TABLES:
-        text = text.replace(f"{{{t}}}", f"\0{t}\1")
-    return text.replace("{", "{{").replace("}", "}}").replace("\0", "{").replace("\1", "}")
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.isupper() and (name in _SPARK or name in _BOTH):
+            df = self._sql(name)
+            setattr(self, name, df)
+            return df
+        raise AttributeError(name)
