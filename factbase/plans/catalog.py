@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from factbase.plans.fixtures import Views
 
-MODULES = ["catalog_core", "catalog_docs", "catalog_merge", "catalog_serve", "catalog_chat"]
+MODULES = ["catalog_core", "catalog_docs", "catalog_merge", "catalog_serve", "catalog_chat", "catalog_jobs"]
 
 
 def registered() -> dict:
