@@ -12,9 +12,14 @@ def as_ts(as_of: str | Column) -> Column:
     return F.lit(as_of).cast("timestamp_ntz") if isinstance(as_of, str) else as_of
 
 
+# Fixed value: every character that counts as whitespace.
+WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+              "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
 def strip(col: Column | str) -> Column:
-    """Trim every kind of whitespace, not only blanks."""
-    return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
+    """Trim every kind of whitespace, not only blanks. Looks at the ends of the text only."""
+    return F.btrim(col, F.lit(WHITESPACE))
 
 
 def value_text(items: str = "value_items") -> Column:

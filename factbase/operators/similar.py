@@ -13,6 +13,7 @@ The rule compares every two facts of a pack, so the work must be cut without los
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Callable
 from difflib import SequenceMatcher
@@ -84,12 +85,36 @@ def _histogram(text: str) -> np.ndarray:
     return np.bincount(codes % BINS, minlength=BINS)
 
 
+def ratio_from(matcher: SequenceMatcher, threshold: float) -> float | None:
+    """The matcher's ratio if it reaches the threshold, else None.
+
+    Matching blocks are taken from the largest open region first. What all open regions could
+    still add bounds the ratio, so most pairs are given up after a few blocks.
+    """
+    la, lb = len(matcher.a), len(matcher.b)
+    need = threshold * (la + lb) / 2
+    matched, room = 0, min(la, lb)
+    regions = [(-room, 0, la, 0, lb)]
+    while regions:
+        size, alo, ahi, blo, bhi = heapq.heappop(regions)
+        room += size
+        i, j, k = matcher.find_longest_match(alo, ahi, blo, bhi)
+        if k:
+            matched += k
+            for region in ((alo, i, blo, j), (i + k, ahi, j + k, bhi)):
+                size = min(region[1] - region[0], region[3] - region[2])
+                if size > 0:
+                    room += size
+                    heapq.heappush(regions, (-size, *region))
+        if matched + room < need:
+            return None
+    ratio = 2.0 * matched / (la + lb)
+    return ratio if ratio >= threshold else None
+
+
 def _compare_tile(threshold: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
     columns = [c.strip().split(" ")[0] for c in PAIRS.split(",")]
 
-    def ratio(a: str, b: str) -> float:
-        return SequenceMatcher(None, a, b).ratio()
-
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("first_pos", kind="stable").reset_index(drop=True)
         texts, side = pdf["text"].to_numpy(), pdf["side"].to_numpy()
@@ -98,16 +123,21 @@ def _compare_tile(threshold: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
         first, last = pdf["first_pos"].to_numpy(), pdf["last_pos"].to_numpy()
         lo, hi = pdf["key_lo"].to_numpy(), pdf["key_hi"].to_numpy()
         out = []
+        matcher = SequenceMatcher(None)
         for y in range(1, len(pdf)):
             # earlier texts of the other side whose character counts allow the threshold
             meets = (side[:y] == 2) | (side[:y] != side[y])
             bound = 2.0 * np.minimum(hist[:y], hist[y]).sum(axis=1) >= threshold * (lens[:y] + lens[y]) - 1e-9
-            for x in np.flatnonzero(meets & bound):
-                if lo[x] == hi[x] == lo[y] == hi[y]:
-                    continue  # one single key on both sides
-                forward = ratio(texts[x], texts[y])
-                back = ratio(texts[y], texts[x]) if first[y] < last[x] else None
-                if forward >= threshold or (back is not None and back >= threshold):
+            candidates = [x for x in np.flatnonzero(meets & bound) if not lo[x] == hi[x] == lo[y] == hi[y]]
+            if candidates:
+                matcher.set_seq2(texts[y])  # indexed once for all partners
+            for x in candidates:
+                matcher.set_seq1(texts[x])
+                forward = ratio_from(matcher, threshold)
+                back = None
+                if first[y] < last[x]:
+                    back = ratio_from(SequenceMatcher(None, texts[y], texts[x]), threshold)
+                if forward is not None or back is not None:
                     a, b = pdf.iloc[x], pdf.iloc[y]
                     out.append((a.owner_id, a.pack, a.text_id, b.text_id, a.first_pos, b.first_pos,
                                 a.copies, b.copies, forward, back))
@@ -123,6 +153,8 @@ def similar_texts(facts: DataFrame, threshold: float = THRESHOLD, chunk: int = C
     texts also occur in the other order (the measure is not symmetric).
     """
     tiles = comparison_tiles(distinct_texts(facts), threshold, chunk)
+    # the work of a tile grows with the square of its rows, so small inputs must not be coalesced
+    tiles = tiles.repartition(int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions")), *TILE)
     return tiles.groupBy(*TILE).applyInPandas(_compare_tile(threshold), PAIRS)
 
 
