@@ -7,6 +7,7 @@ texts out of the regex engine.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from typing import NamedTuple
 
@@ -91,6 +92,11 @@ def may_match(text: Column, patterns: list[Pattern]) -> Column:
     return contains_any(text, sorted({a for p in patterns for a in p.anchors}))
 
 
+def any_anchor(patterns: list[Pattern]) -> str:
+    """One regular expression for all anchors, for short texts inside array lambdas."""
+    return "|".join(re.escape(a) for a in sorted({a for p in patterns for a in p.anchors}))
+
+
 def matches(text: Column, patterns: list[Pattern] = PATTERNS) -> Column:
     """Array of (pattern_no, match_no, hit), in pattern order."""
     def one(i: int, p: Pattern) -> Column:
@@ -116,7 +122,8 @@ def redact(text: Column, patterns: list[Pattern] = PATTERNS) -> Column:
     """Mask critical hits, each pattern on the result of the previous one."""
     todo = critical(patterns)
     folded = reduce(lambda c, p: F.regexp_replace(c, *_masking(p)), todo, text)
-    return F.when(may_match(text, todo), folded).otherwise(text)
+    gate = F.lit(True) if any(not p.anchors for p in todo) else text.rlike(any_anchor(todo))
+    return F.when(gate, folded).otherwise(text)
 
 
 def scrub(text: Column, patterns: list[Pattern] = PATTERNS) -> Column:

@@ -51,14 +51,22 @@ def audit_summary(findings: DataFrame, by: list[str]) -> DataFrame:
 
 
 def redact_facts(facts: DataFrame, patterns: list[S.Pattern] = S.PATTERNS) -> DataFrame:
-    """Mask critical secrets in fact values, list items one by one."""
-    return facts.withColumn("value_items", F.transform("value_items", lambda x: S.redact(x, patterns)))
+    """Mask critical secrets in fact values, list items one by one; values without any anchor
+    are passed on untouched."""
+    return (facts.withColumn("_all", F.array_join("value_items", " "))
+            .withColumn("value_items", F.when(
+                S.may_match(F.col("_all"), S.critical(patterns)),
+                F.transform("value_items", lambda x: S.redact(x, patterns))).otherwise(F.col("value_items")))
+            .drop("_all"))
 
 
 def redaction_counts(facts: DataFrame, by: list[str], patterns: list[S.Pattern] = S.PATTERNS) -> DataFrame:
     """(fact, pattern) changes that redact_facts makes, per group."""
     todo = S.critical(patterns)
-    return (facts.where(F.exists("value_items", lambda x: S.may_match(x, todo)))
+    anchors = S.any_anchor(todo)
+    touched = facts if any(not p.anchors for p in todo) else facts.where(
+        F.exists("value_items", lambda x: x.rlike(anchors)))
+    return (touched
             .withColumn("_n", S.redaction_steps(F.col("value_items"), patterns))
             .groupBy(*by).agg(F.sum("_n").alias("changes"), F.count_if(F.col("_n") > 0).alias("facts_changed")))
 

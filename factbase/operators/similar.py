@@ -27,10 +27,12 @@ from factbase.functions.values import norm_value, quality, running_max_before
 from factbase.session import cut_lineage
 
 THRESHOLD = 0.75  # fixed value
-CHUNK = 1000
+CHUNK, CHUNK_CHARS = 1000, 200_000  # texts and characters in a chunk; long texts make smaller chunks
 PACK = ["owner_id", "pack"]
 NODE = ["owner_id", "pack", "pos"]
-BINS = 64
+GRAM = 8
+SLICE = 4096
+LONG_TEXT = 200  # from this length on, the matcher ignores frequent characters as block seeds
 
 
 def distinct_texts(facts: DataFrame) -> DataFrame:
@@ -50,7 +52,8 @@ def comparison_tiles(texts: DataFrame, threshold: float = THRESHOLD, chunk: int
     base = math.log((2 - threshold) / threshold)
     sized = (texts.where(F.length("text") > 0)
              .withColumn("cls", F.floor(F.log(F.length("text").cast("double")) / F.lit(base)).cast("int")))
-    counts = (sized.groupBy(*PACK, "cls").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("n")))
+    load = F.greatest(F.count(F.lit(1)) / chunk, F.sum(F.length("text")) / CHUNK_CHARS)
+    counts = sized.groupBy(*PACK, "cls").agg(F.ceil(load).cast("int").alias("n"))
     near = lambda shift, name: counts.select(*PACK, (F.col("cls") + shift).alias("cls"), F.col("n").alias(name))
     grid = counts.join(near(-1, "n_up"), [*PACK, "cls"], "left").join(near(1, "n_down"), [*PACK, "cls"], "left")
     own = F.pmod(F.xxhash64("text_id"), F.col("n").cast("bigint")).cast("int")
@@ -80,9 +83,84 @@ PAIRS = ("owner_id string, pack string, text_a string, text_b string, pos_a bigi
          "copies_a bigint, copies_b bigint, similarity double, reverse double")
 
 
-def _histogram(text: str) -> np.ndarray:
-    codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
-    return np.bincount(codes % BINS, minlength=BINS)
+class _Profile:
+    """Character counts and q-gram hashes of the texts of one tile."""
+
+    def __init__(self, texts: np.ndarray):
+        self.codes = [np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32) for t in texts]
+        self.lens = np.array([len(c) for c in self.codes], dtype=np.int64)
+        alphabet = np.unique(np.concatenate(self.codes))
+        self.counts = np.stack([np.bincount(np.searchsorted(alphabet, c), minlength=len(alphabet))
+                                for c in self.codes]).astype(np.int32)
+        self._grams: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self._index: tuple[np.ndarray, np.ndarray] | None = None
+
+    def grams(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes by position, and the same sorted without repeats."""
+        if i not in self._grams:
+            hashes = np.zeros(max(0, self.lens[i] - GRAM + 1), dtype=np.uint64)
+            for k in range(GRAM):
+                hashes = hashes * np.uint64(1099511628211) + self.codes[i][k:k + len(hashes)]
+            self._grams[i] = (hashes, np.unique(hashes))
+        return self._grams[i]
+
+    def gram_hits(self, y: int) -> np.ndarray:
+        """For every text, at how many places of text y it shares the GRAM-gram."""
+        if self._index is None:
+            known = [self.grams(i)[1] for i in range(len(self.lens))]
+            owner = np.repeat(np.arange(len(known)), [len(k) for k in known])
+            joined = np.concatenate(known)
+            order = np.argsort(joined, kind="stable")
+            self._index = joined[order], owner[order]
+        grams, owner = self._index
+        hits = np.zeros(len(self.lens), dtype=np.int64)
+        places = self.grams(y)[0]
+        for start in range(0, len(places), SLICE):
+            part = places[start:start + SLICE]
+            low, high = np.searchsorted(grams, part, "left"), np.searchsorted(grams, part, "right")
+            n = high - low
+            at = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+            hits += np.bincount(owner[at], minlength=len(hits))
+        return hits
+
+    def prefix(self, x: int, y: int) -> int:
+        n = min(self.lens[x], self.lens[y])
+        differs = self.codes[x][:n] != self.codes[y][:n]
+        return int(differs.argmax()) if differs.any() else int(n)
+
+    def promising(self, near: np.ndarray, y: int, threshold: float) -> np.ndarray:
+        """Those of `near` that may_reach could accept, by the number of shared grams alone."""
+        if self.lens[y] < LONG_TEXT or len(near) == 0:
+            return near
+        rare = self.counts[y] <= self.lens[y] // 100 + 1
+        seeds = np.minimum(self.counts[near][:, rare], self.counts[y][rare]).sum(axis=1)
+        most = GRAM * self.gram_hits(y)[near] + (GRAM - 1) * seeds
+        need = threshold * (self.lens[near] + self.lens[y]) / 2
+        return np.array([x for x, m, n in zip(near, most, need) if m >= n or m + self.prefix(x, y) >= n], dtype=np.int64)
+
+    def may_reach(self, x: int, y: int, threshold: float) -> bool:
+        """False only if the matcher's ratio of (x, y) is below the threshold.
+
+        In a long right-hand text a matching block holds a rare character, or it is the common
+        prefix. Blocks of at least GRAM characters lie where GRAM-grams of both texts agree;
+        shorter ones are at most as many as there are common rare characters.
+        """
+        if self.lens[y] < LONG_TEXT:
+            return True
+        need = threshold * (self.lens[x] + self.lens[y]) / 2
+        rare = self.counts[y] <= self.lens[y] // 100 + 1
+        seeds = int(np.minimum(self.counts[x][rare], self.counts[y][rare]).sum())
+        prefix = self.prefix(x, y)
+        by_place, known = self.grams(y)[0], self.grams(x)[1]
+        if len(known) == 0:
+            return True
+        at = np.minimum(np.searchsorted(known, by_place), len(known) - 1)
+        hits = np.flatnonzero(known[at] == by_place)
+        edges = np.zeros(self.lens[y] + 1, dtype=np.int32)
+        np.add.at(edges, hits, 1)
+        np.add.at(edges, hits + GRAM, -1)
+        covered = int((np.cumsum(edges) > 0).sum())
+        return prefix + covered + (GRAM - 1) * seeds >= need
 
 
 def ratio_from(matcher: SequenceMatcher, threshold: float) -> float | None:
@@ -118,8 +196,8 @@ def _compare_tile(threshold: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("first_pos", kind="stable").reset_index(drop=True)
         texts, side = pdf["text"].to_numpy(), pdf["side"].to_numpy()
-        lens = np.array([len(t) for t in texts], dtype=np.int64)
-        hist = np.stack([_histogram(t) for t in texts])
+        profile = _Profile(texts)
+        lens, counts = profile.lens, profile.counts
         first, last = pdf["first_pos"].to_numpy(), pdf["last_pos"].to_numpy()
         lo, hi = pdf["key_lo"].to_numpy(), pdf["key_hi"].to_numpy()
         out = []
@@ -127,15 +205,21 @@ def _compare_tile(threshold: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
         for y in range(1, len(pdf)):
             # earlier texts of the other side whose character counts allow the threshold
             meets = (side[:y] == 2) | (side[:y] != side[y])
-            bound = 2.0 * np.minimum(hist[:y], hist[y]).sum(axis=1) >= threshold * (lens[:y] + lens[y]) - 1e-9
-            candidates = [x for x in np.flatnonzero(meets & bound) if not lo[x] == hi[x] == lo[y] == hi[y]]
-            if candidates:
-                matcher.set_seq2(texts[y])  # indexed once for all partners
-            for x in candidates:
-                matcher.set_seq1(texts[x])
-                forward = ratio_from(matcher, threshold)
-                back = None
-                if first[y] < last[x]:
+            meets &= 2.0 * np.minimum(lens[:y], lens[y]) >= threshold * (lens[:y] + lens[y]) - 1e-9
+            near = np.flatnonzero(meets)
+            common = np.minimum(counts[near], counts[y]).sum(axis=1)
+            near = near[2.0 * common >= threshold * (lens[near] + lens[y]) - 1e-9]
+            ahead = set(profile.promising(near, y, threshold).tolist())
+            for x in near:
+                if (x not in ahead and first[y] >= last[x]) or lo[x] == hi[x] == lo[y] == hi[y]:
+                    continue  # out of reach, or one single key on both sides
+                forward = back = None
+                if x in ahead and profile.may_reach(x, y, threshold):
+                    if matcher.b is not texts[y]:
+                        matcher.set_seq2(texts[y])  # indexed once for all partners
+                    matcher.set_seq1(texts[x])
+                    forward = ratio_from(matcher, threshold)
+                if first[y] < last[x] and profile.may_reach(y, x, threshold):
                     back = ratio_from(SequenceMatcher(None, texts[y], texts[x]), threshold)
                 if forward is not None or back is not None:
                     a, b = pdf.iloc[x], pdf.iloc[y]

@@ -207,6 +207,9 @@ for _name, _text in {"CT": _CT, "CF": _CF, "XR": _XR}.items():
     _SPARK[_name], _DUCK[_name] = _fill(_text, True), _fill(_text, False)
 
 
+TEXT_TABLES = {"documents", "pages", "conversations"}
+
+
 class Views:
     """Lazily built Spark frames for one data directory."""
 
@@ -214,7 +217,13 @@ class Views:
         self.spark, self.dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        """One input table. A text table stored as a single small file would be scanned by one
+        task, so it is spread over the cores; tables with enough splits are read as they are."""
+        df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        if name in TEXT_TABLES and df.rdd.getNumPartitions() < cores:
+            return df.repartition(cores)
+        return df
 
     def _sql(self, name: str) -> DataFrame:
         if name in _SPARK:
