@@ -11,7 +11,7 @@ from factbase.operators.validate import elements, field, parse_raw, text_of, val
 NAME_RULE = "^[a-z][a-z0-9_-]*$"
 # A pack longer than this is written as several documents of consecutive positions, so that no
 # task ever assembles an unbounded pack.
-PART_ROWS = 100_000
+PART_ROWS = 10_000
 
 
 def raw_packs_from_json(spark: SparkSession, path: str) -> DataFrame:
