@@ -276,12 +276,15 @@ def compact_profiles(packs: DataFrame, scored: DataFrame, rules: DataFrame, fres
                     F.col("instruction").alias("entry")))
     body = shown.unionByName(told)
     owners = packs.select("owner_id").distinct()
-    some = owners.join(body.select("owner_id").distinct(), "owner_id", "left_semi")
+    # who has any entry at all is read from the slim owner columns, not from the rendered body
+    filled = scored.select(*PACK).unionByName(rules.select(*PACK)).distinct()
+    filled = _of(filled, packs).select("owner_id").distinct()
+    some = owners.join(filled, "owner_id", "left_semi")
     single = lambda df, line: df.select(
         "owner_id", F.lit(4).alias("section"), F.lit("").alias("pack"), F.lit(0.0).alias("rank"),
         F.lit(0).cast("bigint").alias("pos"), line.alias("entry"))
     age = F.concat(F.lit("Context freshness: "), F.col("freshness").cast("string"), F.lit("/100"))
-    bare = owners.join(some, "owner_id", "left_anti")
+    bare = owners.join(filled, "owner_id", "left_anti")
     return (body.unionByName(single(some.join(freshness, "owner_id"), age))
             .unionByName(single(bare, F.lit(NO_PROFILE))))
 

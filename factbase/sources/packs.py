@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factbase.functions.values import as_ts
-from factbase.operators.validate import elements, field, parse_raw, text_of, validate_packs
+from factbase.operators.validate import child, listed, text_of, violations, with_variant
 
 NAME_RULE = "^[a-z][a-z0-9_-]*$"
 # A pack longer than this is written as several documents of consecutive positions, so that no
@@ -20,42 +20,58 @@ def raw_packs_from_json(spark: SparkSession, path: str) -> DataFrame:
             .select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.col("value").alias("doc")))
 
 
+def _judged(raw_packs: DataFrame) -> DataFrame:
+    """raw_packs + v (parsed) + _good; the model's stricter name rule applies on top of validation."""
+    named = F.coalesce(F.try_variant_get("v", "$.name", "string").rlike(NAME_RULE), F.lit(False))
+    return (with_variant(raw_packs)
+            .withColumn("_good", (F.size(violations()) == 0) & named))
+
+
 def split_valid_packs(raw_packs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(good, quarantine); the model's stricter name rule applies on top of validation."""
-    bad = validate_packs(raw_packs).select("file")
-    named = parse_raw(raw_packs).where(~text_of(field("v", "name")).rlike(NAME_RULE)).select("file")
-    bad = bad.unionByName(named).distinct()
-    return raw_packs.join(bad, "file", "left_anti"), raw_packs.join(bad, "file", "left_semi")
+    """(good, quarantine)."""
+    judged = _judged(raw_packs)
+    return tuple(judged.where(cond).select(*raw_packs.columns) for cond in (F.col("_good"), ~F.col("_good")))
 
 
 def read_packs(raw_packs: DataFrame, as_of, owner: str = "me") -> tuple[DataFrame, DataFrame, DataFrame]:
     """packs, facts, rules of the valid documents, with the model's defaults."""
-    good = split_valid_packs(raw_packs)[0]
-    own = raw_packs.select("file", F.col("owner_id") if "owner_id" in raw_packs.columns
-                           else F.lit(owner).alias("owner_id"))
-    docs = parse_raw(good).join(own, "file")
-    get = lambda p, t="string": F.try_variant_get("v", p, t)
-    stamp = lambda p: F.coalesce(F.try_to_timestamp(get(p)).cast("timestamp_ntz"), as_ts(as_of))
-    docs = docs.select(
-        "file", "owner_id", get("$.name").alias("pack"), get("$.scope").alias("scope"), "v",
+    if "owner_id" not in raw_packs.columns:
+        raw_packs = raw_packs.withColumn("owner_id", F.lit(owner))
+
+    def get(path, kind="string"):
+        return F.try_variant_get("v", path, kind)
+
+    def stamp(path):
+        return F.coalesce(F.try_to_timestamp(get(path)).cast("timestamp_ntz"), as_ts(as_of))
+
+    docs = _judged(raw_packs).where("_good").select("owner_id", get("$.name").alias("pack"), "v")
+    packs = docs.select(
+        "owner_id", "pack", get("$.scope").alias("scope"),
         F.coalesce(get("$.meta.schema_version"), F.lit("0.1.0")).alias("schema_version"),
         stamp("$.meta.created_at").alias("created_at"), stamp("$.meta.updated_at").alias("updated_at"),
         get("$.meta.description").alias("description"),
         F.coalesce(get("$.meta.tags", "array<string>"), F.array().cast("array<string>")).alias("tags"))
-    head = docs.select("file", "owner_id", "pack")
-    item = lambda n: text_of(field("e", n))
-    listed = F.try_variant_get(field("e", "value"), "$", "array<string>")
-    stored = F.coalesce(F.try_variant_get(F.col("e"), "$.pos", "bigint"), F.col("i").cast("bigint"))
-    facts = elements(docs, "facts").join(head, "file").select(
-        "owner_id", "pack", stored.alias("pos"), item("key").alias("key"),
-        F.coalesce(listed, F.array(item("value"))).alias("value_items"), listed.isNotNull().alias("value_is_list"),
+
+    def elements(name):
+        return docs.select("owner_id", "pack", F.posexplode(get(f"$.{name}", "array<variant>")).alias("i", "e"))
+
+    def item(name):
+        return text_of(child(F.col("e"), name))
+
+    # later parts of a long pack carry the positions of their items
+    pos = F.coalesce(F.try_variant_get(F.col("e"), "$.pos", "bigint"), F.col("i").cast("bigint")).alias("pos")
+    value = child(F.col("e"), "value")
+    items = F.try_variant_get(value, "$", "array<string>")
+    facts = elements("facts").select(
+        "owner_id", "pack", pos, item("key").alias("key"),
+        F.coalesce(items, F.array(item("value"))).alias("value_items"), listed(value).isNotNull().alias("value_is_list"),
         F.coalesce(item("type"), F.lit("context")).alias("type"),
         F.coalesce(item("confidence"), F.lit("high")).alias("confidence"), item("source").alias("source"),
         F.try_to_timestamp(item("updated_at")).cast("timestamp_ntz").alias("updated_at"))
-    rules = elements(docs, "rules").join(head, "file").select(
-        "owner_id", "pack", stored.alias("pos"), item("instruction").alias("instruction"),
-        F.coalesce(F.try_variant_get(field("e", "priority"), "$", "int"), F.lit(0)).alias("priority"))
-    return docs.drop("file", "v").dropDuplicates(["owner_id", "pack"]), facts, rules
+    rules = elements("rules").select(
+        "owner_id", "pack", pos, item("instruction").alias("instruction"),
+        F.coalesce(F.try_variant_get(F.col("e"), "$.priority", "int"), F.lit(0)).alias("priority"))
+    return packs.dropDuplicates(["owner_id", "pack"]), facts, rules
 
 
 def pack_documents(packs: DataFrame, facts: DataFrame, rules: DataFrame, as_of,

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from factbase.functions import secrets as S
 from factbase.operators.usage import FACT, usage_by_agent
-from factbase.operators.validate import validate_packs
+from factbase.operators.validate import violations, with_variant
 from factbase.session import shared_folder
 
 GAP_MS = 500  # fixed value: bursts closer than this are one reload
@@ -61,8 +61,7 @@ def read_usage_counters(spark: SparkSession, out: str) -> DataFrame:
 
 def checked(batch: DataFrame) -> DataFrame:
     """Documents of one micro-batch with their number of violations."""
-    errors = validate_packs(batch).groupBy("file").agg(F.count(F.lit(1)).alias("errors"))
-    return batch.join(errors, "file", "left").withColumn("errors", F.coalesce("errors", F.lit(0).cast("bigint")))
+    return with_variant(batch).withColumn("errors", F.size(violations()).cast("bigint")).drop("v")
 
 
 def pack_changes(spark: SparkSession, folder: str, out: str, **trigger) -> StreamingQuery:
