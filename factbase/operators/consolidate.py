@@ -33,13 +33,19 @@ def _keepers(facts: DataFrame) -> DataFrame:
 
 
 def exact_duplicates(facts: DataFrame) -> DataFrame:
-    """Every copy but the best one: where it is removed from and where the value stays."""
-    facts = with_norm_id(facts)
-    groups = _keepers(facts).where(F.col("copies") > 1)
-    return (facts.join(groups, DUP)
-            .where((F.col("pack") != F.col("best.pack")) | (F.col("pos") != F.col("best.pos")))
+    """Every copy but the best one: where it is removed from and where the value stays.
+
+    The hot (key, value) groups are shuffled without their values; the values of the losers are
+    fetched by (owner, pack, pos), which is unique and so spreads evenly.
+    """
+    slim = with_norm_id(facts).select(*DUP, "pack", "pos", "confidence", "updated_at")
+    groups = _keepers(slim).where(F.col("copies") > 1)
+    losers = (slim.join(groups, DUP)
+              .where((F.col("pack") != F.col("best.pack")) | (F.col("pos") != F.col("best.pos")))
+              .select("owner_id", "pack", "pos", F.col("best.pack").alias("kept_in"), F.col("best.pos").alias("kept_pos")))
+    return (facts.join(losers, ["owner_id", "pack", "pos"])
             .select("owner_id", "key", "pos", value_text().alias("value"), F.col("pack").alias("removed_from"),
-                    F.col("best.pack").alias("kept_in"), F.col("best.pos").alias("kept_pos")))
+                    "kept_in", "kept_pos"))
 
 
 def drop_exact_duplicates(facts: DataFrame) -> DataFrame:
