@@ -19,6 +19,16 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learned from those that are not held out."""
+    from factbase.llm.language import fit, predict
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4, F.lit(2)) == 2
+    model = fit(docs, where=~held_out)
+    return predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
+    "op4_language": (op4_language, None),
     "op10_bpe": (op10_bpe, None),
 }
