@@ -22,10 +22,10 @@ from pyspark.sql import types as T
 
 from factbase.llm.words import _BYTE, Words, pieces, rolled, runs
 
-STEP = 8 << 20       # bytes of text that are cut at a time
-KEPT = 600_000       # chunks that a task remembers; it starts anew beyond
+STEP = 2 << 20        # bytes of text that are cut at a time
+KEPT = 300_000       # chunks that a task remembers; it starts anew beyond
 LONG, SPAN, SPACING = 256, 16, 64
-GROUP = 20_000       # chunks per call of the tokenizer
+GROUP = 4_000         # chunks per call of the tokenizer
 
 
 class Chunks:
