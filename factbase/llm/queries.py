@@ -19,6 +19,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in shards 0 to 39 with equal numbers of rows."""
+    from factbase.llm.sharding import shard
+    return shard(table(spark, sf_dir, "documents"), shards=40)
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document, learned from those that are not held out."""
     from factbase.llm.language import fit, predict
@@ -28,7 +34,29 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every dialogue from every participant's perspective."""
+    from factbase.llm.chat import rotate
+    spans = F.array_join(F.transform("spans", lambda s: F.concat(s["start"], F.lit("-"), s["end"])), ",")
+    return rotate(table(spark, sf_dir, "conversations")).select(
+        "conv_id", "speaker", "part", "n_turns", "rendered", spans.alias("spans"))
+
+
+RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+         ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page by the fixed rules and the link graph."""
+    from factbase.llm.urls import judge
+    rules = spark.sql("select * from values " + ", ".join(map(repr, RULES)) + " as r(host, path, verdict)")
+    return judge(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES = {
+    "op1_sharding": (op1_sharding, None),
+    "op8_chat": (op8_chat, None),
+    "op9_urls": (op9_urls, None),
     "op4_language": (op4_language, None),
     "op10_bpe": (op10_bpe, None),
 }
