@@ -25,6 +25,13 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 20-word sequences that occur earlier."""
+    from factbase.llm.substrings import remove_repeats
+    return remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document, learned from those that are not held out."""
     from factbase.llm.language import fit, predict
@@ -55,6 +62,7 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": (op1_sharding, None),
+    "op3_substrings": (op3_substrings, None),
     "op8_chat": (op8_chat, None),
     "op9_urls": (op9_urls, None),
     "op4_language": (op4_language, None),

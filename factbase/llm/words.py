@@ -96,8 +96,16 @@ class Words:
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
-    def hashes(self) -> np.ndarray:
-        return rolled(_BYTE[self.data], self.start, self.end)
+    def hashes(self, step: int = 1 << 19) -> np.ndarray:
+        """64-bit hash of each word, about `step` bytes at a time."""
+        out = np.zeros(len(self.start), U64)
+        at = 0
+        while at < len(out):
+            low = self.start[at]
+            to = max(at + 1, int(np.searchsorted(self.end, low + step, "right")))
+            out[at:to] = rolled(_BYTE[self.data[low: self.end[to - 1]]], self.start[at:to] - low, self.end[at:to] - low)
+            at = to
+        return out
 
     def grams(self, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the k words from each word on, and whether these lie in one text."""
