@@ -41,6 +41,12 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the component of its near copies."""
+    from factbase.llm.ngram_join import similar_groups
+    return similar_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every dialogue from every participant's perspective."""
     from factbase.llm.chat import rotate
@@ -63,6 +69,7 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": (op1_sharding, None),
     "op3_substrings": (op3_substrings, None),
+    "op7_ngram_join": (op7_ngram_join, None),
     "op8_chat": (op8_chat, None),
     "op9_urls": (op9_urls, None),
     "op4_language": (op4_language, None),
