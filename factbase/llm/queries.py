@@ -25,6 +25,13 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a document and a benchmark item that it overlaps."""
+    from factbase.llm.decontaminate import find_overlaps
+    found = find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.inline("matches"))
+
+
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the 20-word sequences that occur earlier."""
     from factbase.llm.substrings import remove_repeats
@@ -68,6 +75,7 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": (op1_sharding, None),
+    "op2_decontaminate": (op2_decontaminate, None),
     "op3_substrings": (op3_substrings, None),
     "op7_ngram_join": (op7_ngram_join, None),
     "op8_chat": (op8_chat, None),

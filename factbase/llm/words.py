@@ -28,6 +28,8 @@ _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _BYTE = mix(np.arange(1, 257, dtype=U64))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_PLAIN = _LOWER.copy()
+_PLAIN[[b for b in range(128) if not chr(b).isalnum()]] = 32
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -69,10 +71,11 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """start, end: bytes of each word; doc: number of its text; first: n + 1 places where the words of a text begin."""
 
-    def __init__(self, column: pa.Array, lower: bool = False):
+    def __init__(self, column: pa.Array, lower: bool = False, plain: bool = False):
+        """lower: A-Z as a-z. plain: also every ASCII character but letters and digits as a space."""
         self.data, self.offsets = utf8(column)
-        if lower:
-            self.data = _LOWER[self.data]
+        if lower or plain:
+            self.data = (_PLAIN if plain else _LOWER)[self.data]
         self._find()
 
     def _find(self) -> None:
