@@ -48,6 +48,12 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op5_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from factbase.llm.pages import extract
+    return extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best partners of every fiftieth vector among all others."""
     from factbase.llm.mtree import top_k
@@ -97,6 +103,7 @@ QUERIES = {
     "op1_sharding": (op1_sharding, None),
     "op2_decontaminate": (op2_decontaminate, None),
     "op3_substrings": (op3_substrings, None),
+    "op5_pages": (op5_pages, None),
     "op6_top_k": (op6_top_k, OP6_SQL),
     "op7_ngram_join": (op7_ngram_join, None),
     "op8_chat": (op8_chat, None),
