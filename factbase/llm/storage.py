@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; without one there is no folder that executors share, so this fails."""
+    """The session's spark.checkpoint.dir. Where that is unset, a folder in the warehouse, which executors share too."""
     sc = spark.sparkContext
     folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    folder = folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
     return folder
