@@ -135,18 +135,19 @@ def _prefixes(percent: int, orders: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Prefix shingles of each node under each order that occur in other documents."""
         for batch in batches:
-            out = [(np.zeros(0, np.int8), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            out = [(np.zeros(0, np.int8), np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 4)]
             for rid, raw, kinds in zip(*[batch.column(i).to_pylist() for i in range(3)]):
                 tokens, classes = np.frombuffer(raw, "<u8"), np.frombuffer(kinds, np.uint8)
                 n = len(tokens)
-                size = n - -(-n * percent // 100) + 1
+                size, alone = n - -(-n * percent // 100) + 1, int((classes == 0).sum())
                 for k in range(orders):
-                    first = np.lexsort((mix(tokens ^ np.uint64(k + 1)), classes))[:size]
-                    first = first[classes[first] > 0]
-                    out.append((np.full(len(first), k, np.int8), tokens[first], np.full(len(first), rid), np.full(len(first), n)))
-            k, token, rid, n = (np.concatenate(x) for x in zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int8()), pa.array(token.astype(np.int64)), pa.array(rid), pa.array(n)],
-                                             names=["k", "token", "rid", "n"])
+                    first = np.lexsort((mix(tokens ^ np.uint64(k + 1)), classes))[alone:size]
+                    m = len(first)
+                    out.append((np.full(m, k, np.int8), tokens[first], np.full(m, rid), np.full(m, n), np.arange(alone, size),
+                                np.full(m, alone)))
+            k, token, *numbers = (np.concatenate(x) for x in zip(*out))
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int8()), pa.array(token.astype(np.int64)), *map(pa.array, numbers)],
+                                             names=["k", "token", "rid", "n", "at", "alone"])
     return run
 
 
@@ -165,12 +166,20 @@ def _compare(percent: int):
     return run
 
 
+def _may_link(percent: int, one: str = "", other: str = "2"):
+    """Sizes that allow the threshold, and places of a shared shingle from which on enough of both sets is left."""
+    n, m, at, to = (F.col(c) for c in (f"n{one}", f"n{other}", f"at{one}", f"at{other}"))
+    common = F.ceil((n + m) * percent / (100 + percent))  # shingles that a pair must share
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (at <= n - common) & (to <= m - common)
+
+
 def _links(pairs: DataFrame, tokens: DataFrame, prefixes: DataFrame, orders: int, percent: int) -> DataFrame:
     """The pairs (a, b) that share a prefix shingle under all orders and reach the threshold."""
     for k in range(1, orders):
-        mine = prefixes.where(F.col("k") == k).select("token", "rid")
-        pairs = (pairs.join(mine.withColumnRenamed("rid", "a"), "a").join(mine.withColumnRenamed("rid", "b"), ["b", "token"])
-                 .select("a", "b").distinct())
+        mine = prefixes.where(F.col("k") == k)
+        left = mine.select("token", F.col("rid").alias("a"), "n", "at")
+        right = mine.select("token", F.col("rid").alias("b"), F.col("n").alias("n2"), F.col("at").alias("at2"))
+        pairs = pairs.join(left, "a").join(right, ["b", "token"]).where(_may_link(percent)).select("a", "b").distinct()
     pairs = cut(pairs)
     few = pairs.count() <= FEW
     hint = F.broadcast if few else (lambda df: df)  # few pairs need not shuffle all sets
@@ -215,16 +224,15 @@ def _grouped(docs: DataFrame, k: int, percent: int, orders: int, id_col: str, te
     members = cut(members)
     tokens = stay.select("rid", "tokens")
     prefixes = stay.select("rid", "tokens", "classes").mapInArrow(
-        _prefixes(percent, orders), "k byte, token long, rid long, n long")
+        _prefixes(percent, orders), "k byte, token long, rid long, n long, at long, alone long")
     prefixes = cut(prefixes.join(members.where("rid = rep").select("rid"), "rid", "left_semi"))
 
-    # a: a node, b: the hub of a prefix shingle and length class
+    # a: a node, b: the hub of a prefix shingle and length class, the set with the fewest shingles of its own
     first = prefixes.where("k = 0").withColumn("size", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)))
-    hubs = first.groupBy("token", "size").agg(F.min(F.struct("rid", "n")).alias("hub"), F.count("*").alias("many")).where("many > 1")
-    stars = (first.join(hubs, ["token", "size"]).where("rid != hub.rid")
-             .groupBy(F.col("rid").alias("a"), F.col("hub.rid").alias("b")).agg(F.count("*").alias("shared"),
-                                                                               F.first("n").alias("na"), F.first("hub.n").alias("nb")))
-    stars = cut(stars.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent))
+    hubs = (first.groupBy("token", "size").agg(F.min(F.struct("alone", "rid", "n", "at")).alias("hub"), F.count("*").alias("many"))
+            .where("many > 1").select("token", "size", F.col("hub.rid").alias("b"), F.col("hub.n").alias("n2"), F.col("hub.at").alias("at2")))
+    stars = cut(first.withColumnRenamed("rid", "a").join(hubs, ["token", "size"]).where("a != b").where(_may_link(percent))
+                .groupBy("a", "b").agg(F.count("*").alias("shared")))
     best = stars.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
     links = _links(best, tokens, prefixes, orders, percent)
     ends = prefixes.where("k = 0").select("rid").distinct()
@@ -238,12 +246,11 @@ def _grouped(docs: DataFrame, k: int, percent: int, orders: int, id_col: str, te
     more = _links(rest, tokens, prefixes, orders, percent)
     links = cut(links.union(more))
     labels = cut(components(ends, links))
-    placed = first.select("token", "rid", "n").join(labels, "rid")
+    placed = first.select("token", "rid", "n", "at").join(labels, "rid")
     mixed = placed.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("token")
     placed = placed.join(mixed, "token")
-    other = placed.select("token", *[F.col(c).alias(f"{c}2") for c in ("rid", "n", "label")])
-    pairs = (placed.join(other, "token").where("label < label2")
-             .where(F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent)
+    other = placed.select("token", *[F.col(c).alias(f"{c}2") for c in ("rid", "n", "at", "label")])
+    pairs = (placed.join(other, "token").where("label < label2").where(_may_link(percent))
              .select(F.col("rid").alias("a"), F.col("rid2").alias("b")).distinct())
     tried = stars.select("a", "b").union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
     last = _links(pairs.join(tried, ["a", "b"], "left_anti"), tokens, prefixes, orders, percent)
