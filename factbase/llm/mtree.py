@@ -25,9 +25,9 @@ from pyspark.sql.window import Window
 from factbase.llm.storage import cut
 
 PIVOTS = 256
-TREE_ROWS = 4096
-QUERY_ROWS = 1024
-LEAF, FANOUT = 64, 16
+TREE_ROWS = 8192
+QUERY_ROWS = 512
+LEAF, FANOUT = 512, 16
 SLACK = 1e-6            # for rounding: of distances, as a share of the largest one
 PAGE = "tree long, page int, leaf boolean, ids binary, vectors binary, radius binary, parent binary"
 
@@ -82,8 +82,12 @@ def _pages(ids: np.ndarray, points: np.ndarray, routing: np.ndarray) -> Iterator
 class Tree:
     def __init__(self, pages: pa.Table, width: int):
         read = lambda raw: np.frombuffer(raw, np.float64)
-        self.pages = {p["page"]: (p["leaf"], np.frombuffer(p["ids"], np.int64), read(p["vectors"]).reshape(-1, width),
-                                  read(p["radius"]), read(p["parent"])) for p in pages.to_pylist()}
+        self.pages = {}
+        for p in pages.to_pylist():
+            vectors = read(p["vectors"]).reshape(-1, width)
+            if p["leaf"]:
+                vectors = np.ascontiguousarray(vectors[:, :-1])  # without the raised coordinate
+            self.pages[p["page"]] = p["leaf"], np.frombuffer(p["ids"], np.int64), vectors, read(p["radius"]), read(p["parent"])
 
     def search(self, query: np.ndarray, own: int, k: int, top: float, least: int | None, from_root: float) -> tuple[list, int]:
         """The k best (score, -id) of the tree that reach `least`; from_root: distance to the root's routing object."""
@@ -91,7 +95,8 @@ class Tree:
         slack = SLACK * (1 + np.sqrt(size))
         reach = lambda score: np.sqrt(max(size - 2.0 * score, 0.0)) + slack
         bound = np.inf if least is None else reach(least)
-        raised = np.append(query.astype(np.float64), 0.0)
+        exact = query.astype(np.float64)
+        raised = np.append(exact, 0.0)
         best: list[tuple[int, int]] = []
         queue, seen = [(0.0, 0, from_root)], 0
         while queue and queue[0][0] <= bound:
@@ -100,11 +105,15 @@ class Tree:
             some = np.flatnonzero(np.abs(above - parent) - radius <= bound + slack)
             seen += len(some)
             if leaf:
-                some = some[ids[some] != own]
-                scores = np.rint(vectors[some, :-1]).astype(np.int64) @ query
-                for s, i in zip(scores.tolist(), ids[some].tolist()):
-                    if least is not None and s < least:
-                        continue
+                # products of whole numbers below 2^53 are exact; all of a page at once where most of it is left
+                if 2 * len(some) > len(ids):
+                    scores = (vectors @ exact)[some]
+                else:
+                    scores = vectors[some] @ exact
+                floor = best[0][0] if len(best) == k else -np.inf if least is None else least
+                ahead = np.flatnonzero(scores >= floor)
+                ahead = ahead[ids[some[ahead]] != own]
+                for s, i in zip(scores[ahead].astype(np.int64).tolist(), ids[some[ahead]].tolist()):
                     if len(best) < k:
                         heapq.heappush(best, (s, -i))
                     elif (s, -i) > best[0]:
