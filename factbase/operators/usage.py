@@ -21,9 +21,16 @@ PACK = ["owner_id", "pack"]
 
 
 def usage_by_agent(log: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per (keys, agent): the per-agent call counts behind usage_by_fact / usage_by_pack."""
+    """One row per (keys, agent): the per-agent call counts behind usage_by_fact / usage_by_pack.
+
+    `log` holds single accesses (ts) or counted ones (calls, last_called), as serve_log returns them. Accesses of
+    facts have a key; those of packs have none, and each kind is counted by itself.
+    """
+    counted = "calls" in log.columns
+    calls = F.sum("calls") if counted else F.count(F.lit(1))
+    log = log.where(F.col("key").isNotNull() if "key" in keys else F.col("key").isNull())
     return log.groupBy(*keys, "agent").agg(
-        F.count(F.lit(1)).alias("calls"), F.max("ts").alias("last_called"))
+        calls.alias("calls"), F.max("last_called" if counted else "ts").alias("last_called"))
 
 
 def _totals(log: DataFrame, keys: list[str]) -> DataFrame:
@@ -34,7 +41,7 @@ def _totals(log: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def usage_by_fact(log: DataFrame) -> DataFrame:
-    return _totals(log.where(F.col("key").isNotNull()), FACT)
+    return _totals(log, FACT)
 
 
 def usage_by_pack(log: DataFrame) -> DataFrame:
@@ -57,9 +64,7 @@ def reset_usage(log: DataFrame, pack: str | None = None) -> tuple[DataFrame, Dat
     """(remaining log, entries cleared per owner); an entry is one used fact or one used pack."""
     gone = log if pack is None else log.where(F.col("pack") == pack)
     left = log.limit(0) if pack is None else log.where(~F.col("pack").eqNullSafe(pack))
-    entries = (gone.select("owner_id", "pack", "key").distinct()
-               .groupBy("owner_id", "pack").agg(F.count("key").alias("n_facts"))
-               .groupBy("owner_id").agg((F.sum("n_facts") + F.count(F.lit(1))).alias("cleared")))
+    entries = gone.select("owner_id", "pack", "key").distinct().groupBy("owner_id").agg(F.count(F.lit(1)).alias("cleared"))
     return left, entries
 
 
@@ -107,23 +112,28 @@ def high_priority_facts(scored: DataFrame, threshold: float = THRESHOLD) -> Data
     return scored.where(F.col("score") >= threshold)
 
 
-def serve_log(requests: DataFrame, visible: DataFrame, facts: DataFrame) -> DataFrame:
-    """Accesses that requests leave behind, as (owner_id, pack, key, agent, calls).
+def serve_log(requests: DataFrame, visible: DataFrame, facts: DataFrame, packs: DataFrame) -> DataFrame:
+    """Accesses that requests leave behind, as a counted log (owner_id, pack, key, agent, calls, last_called).
 
-    Card, profile and whole-context requests touch each visible pack once; a pack request touches
-    the pack and every fact in it. `requests` needs (owner_id, agent, tool, pack_arg), `visible`
-    (owner_id, agent, pack). Requests are counted first, so a busy owner is joined as one row per
-    agent and pack, not request by request.
+    Card, profile and whole-context requests touch each visible pack once, whole-context requests with scopes only
+    the packs of these; a pack request touches the pack and every fact in it. `requests` needs (owner_id, agent, tool,
+    pack_arg, scope_arg, ts), where scope_arg is a comma-separated list or null for all; `visible` (owner_id, agent,
+    pack); `packs` the scopes. Requests are counted first, so a busy owner is joined as one row per agent and pack
+    or list of scopes, not request by request.
     """
     who = ["owner_id", "agent"]
-    wide = (requests.where(F.col("tool").isin("card", "profile", "all")).groupBy(*who)
-            .agg(F.count(F.lit(1)).alias("calls")).join(visible, who))
+    counts = [F.count(F.lit(1)).alias("calls"), F.max("ts").alias("last_called")]
+    cols = [*who, "pack", "calls", "last_called"]
+    scoped = visible.join(packs.select(*PACK, "scope"), PACK)
+    within = F.when(F.col("tool") == "all", F.col("scope_arg")).alias("within")
+    wide = (requests.where(F.col("tool").isin("card", "profile", "all")).groupBy(*who, within).agg(*counts).join(scoped, who)
+            .where(F.col("within").isNull() | F.array_contains(F.split("within", ","), F.col("scope"))))
     narrow = (requests.where(F.col("tool") == "pack").withColumnRenamed("pack_arg", "pack").groupBy(*who, "pack")
-              .agg(F.count(F.lit(1)).alias("calls")).join(visible, [*who, "pack"], "left_semi"))
+              .agg(*counts).join(visible, [*who, "pack"], "left_semi"))
     none = F.lit(None).cast("string").alias("key")
-    pack_rows = (wide.select(*who, "pack", "calls").unionByName(narrow.select(*who, "pack", "calls"))
-                 .groupBy(*who, "pack").agg(F.sum("calls").alias("calls")))
+    pack_rows = (wide.select(*cols).unionByName(narrow.select(*cols)).groupBy(*who, "pack")
+                 .agg(F.sum("calls").alias("calls"), F.max("last_called").alias("last_called")))
     per_key = facts.groupBy(*FACT).agg(F.count(F.lit(1)).alias("n"))
     fact_rows = narrow.join(per_key, PACK).select(
-        "owner_id", "pack", "key", "agent", (F.col("calls") * F.col("n")).alias("calls"))
-    return pack_rows.select("owner_id", "pack", none, "agent", "calls").unionByName(fact_rows)
+        "owner_id", "pack", "key", "agent", (F.col("calls") * F.col("n")).alias("calls"), "last_called")
+    return pack_rows.select("owner_id", "pack", none, "agent", "calls", "last_called").unionByName(fact_rows)

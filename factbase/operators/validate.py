@@ -10,10 +10,23 @@ from factbase.schema import CONFIDENCES, FACT_TYPES
 V = "variant"
 
 
+def whole_json(text: Column) -> Column:
+    """The variant of a text that is one JSON value and nothing else, else NULL.
+
+    The parser ignores what follows the first value. So the text is parsed as the first of two elements, the second
+    being a number that only the text itself decides: it is missing where the value ended early, and a text with
+    more than one value gives more than two elements.
+    """
+    seal = F.xxhash64(text).cast("string")
+    pair = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), seal, F.lit("]"))), "$", "array<variant>")
+    sealed = (F.size(pair) == 2) & (F.try_variant_get(F.try_element_at(pair, F.lit(2)), "$", "string") == seal)
+    return F.when(sealed, F.try_element_at(pair, F.lit(1)))
+
+
 def with_variant(raw_packs: DataFrame) -> DataFrame:
-    """raw_packs + v, NULL where the text is not JSON. The one-element explode is a barrier: without
+    """raw_packs + v, NULL where the text is not one JSON value. The one-element explode is a barrier: without
     it, filters on v would be pushed down with one parse per use of v."""
-    return raw_packs.withColumn("v", F.explode(F.array(F.try_parse_json("doc"))))
+    return raw_packs.withColumn("v", F.explode(F.array(whole_json(F.col("doc")))))
 
 
 def parse_raw(raw_packs: DataFrame) -> DataFrame:

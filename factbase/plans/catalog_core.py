@@ -59,26 +59,26 @@ QUERIES = {
     "usage_by_fact": (
         lambda v: usage.usage_by_fact(v.U),
         with_views("U", """select owner_id, pack, key, cast(sum(calls) as bigint) as calls, max(last_called) as last_called, count(*) as n_agents,
- max_by(agent, row(calls, agent)) as top_agent from (select owner_id, pack, key, agent, count(*) as calls, max(ts) as last_called from U group by all) group by owner_id, pack, key""")),
+ max_by(agent, row(calls, agent)) as top_agent from (select owner_id, pack, key, agent, count(*) as calls, max(ts) as last_called from U where key is not null group by all) group by owner_id, pack, key""")),
     "usage_by_fact_agents": (
         lambda v: usage.usage_by_agent(v.U, usage.FACT),
-        with_views("U", "select owner_id, pack, key, agent, count(*) as calls, max(ts) as last_called from U group by all")),
+        with_views("U", "select owner_id, pack, key, agent, count(*) as calls, max(ts) as last_called from U where key is not null group by all")),
     "usage_by_pack": (
         lambda v: usage.usage_by_pack(v.U),
         with_views("U", """select owner_id, pack, cast(sum(calls) as bigint) as calls, max(last_called) as last_called, count(*) as n_agents,
- max_by(agent, row(calls, agent)) as top_agent from (select owner_id, pack, agent, count(*) as calls, max(ts) as last_called from U group by all) group by owner_id, pack""")),
+ max_by(agent, row(calls, agent)) as top_agent from (select owner_id, pack, agent, count(*) as calls, max(ts) as last_called from U where key is null group by all) group by owner_id, pack""")),
     "usage_by_pack_agents": (
         lambda v: usage.usage_by_agent(v.U, usage.PACK),
-        with_views("U", "select owner_id, pack, agent, count(*) as calls, max(ts) as last_called from U group by all")),
+        with_views("U", "select owner_id, pack, agent, count(*) as calls, max(ts) as last_called from U where key is null group by all")),
     "usage_stats": (
         lambda v: usage.usage_stats(v.U),
         with_views("U", f"""with {UF} select owner_id, 'fact' as kind, pack, key, calls, last_called from UF
  qualify row_number() over (partition by owner_id order by calls desc, pack, key) <= 20
- union all select owner_id, 'pack', pack, null, count(*), max(ts) from U group by owner_id, pack""")),
+ union all select owner_id, 'pack', pack, null, count(*), max(ts) from U where key is null group by owner_id, pack""")),
     "reset_usage": (
         lambda v: usage.reset_usage(v.U, "src3")[1].join(
             usage.reset_usage(v.U, "src3")[0].groupBy("owner_id").agg(F.count(F.lit(1)).alias("kept_rows")), "owner_id", "full"),
-        with_views("U", """select owner_id, cleared, kept_rows from (select owner_id, count(distinct key) + 1 as cleared from U where pack = 'src3' group by 1) a
+        with_views("U", """select owner_id, cleared, kept_rows from (select owner_id, count(distinct key) + max(cast(key is null as int)) as cleared from U where pack = 'src3' group by 1) a
  full join (select owner_id, count(*) as kept_rows from U where pack <> 'src3' group by 1) b using (owner_id)""")),
     "drop_opted_out": (
         lambda v: usage.drop_opted_out(v.U, _settings(v)),

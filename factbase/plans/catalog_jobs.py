@@ -187,7 +187,7 @@ def _events_stream(v):
     arr = lambda names, n: F.get(F.array(*[F.lit(x) for x in names]), (e % n).cast("int"))
     return jobs.stream_table(v.spark, v.dir, "events.parquet").select(
         "event_id", arr(["en", "fr", "de", "es"], 4).alias("owner_id"), F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")).alias("pack"),
-        F.concat(F.lit("k"), (F.get_json_object("props", "$.k").cast("int") % 25).cast("string")).alias("key"),
+        F.when(e % 7 != 3, F.concat(F.lit("k"), (F.get_json_object("props", "$.k").cast("int") % 25).cast("string"))).alias("key"),
         F.col("ts").cast("timestamp").alias("ts"), arr(["claude", "cursor", "chatgpt", "gemini", "myapp"], 5).alias("agent"))
 
 
@@ -197,6 +197,12 @@ def _usage_stream(v):
     return jobs.read_usage_counters(v.spark, out).withColumn("last_called", F.col("last_called").cast("timestamp_ntz"))
 
 
+def _debounce_stream(v):
+    out = jobs.new_output(v.spark, "bursts")
+    jobs.debounced_stream(_events_stream(v).select("owner_id", "ts"), out).awaitTermination()
+    return jobs.read_debounced(v.spark, out)
+
+
 def _scrub_stream(v):
     out = jobs.new_output(v.spark, "scrubbed")
     docs = jobs.stream_table(v.spark, v.dir, "documents.parquet").select("doc_id", "text")
@@ -205,13 +211,33 @@ def _scrub_stream(v):
 
 
 def _pack_stream(v):
-    """Pack documents written by Spark as one file each, then watched."""
+    """Pack documents written by Spark as one file each, then watched: all created, then a third deleted and the
+    others rewritten, half of them with text after the document."""
     base = jobs.new_output(v.spark, "packs")
-    (v.RP.repartition("file").select("file", F.col("doc").alias("value")).write.partitionBy("file").text(f"{base}/in"))
-    docs = (v.spark.readStream.schema("value string, file string").option("wholetext", "true").text(f"{base}/in"))
-    jobs.start(docs.select("file", F.col("value").alias("doc"), F.lit(AS_OF).cast("timestamp_ntz").alias("modified")),
-               f"{base}/out", jobs.checked).awaitTermination()
-    return jobs.latest_packs(v.spark, f"{base}/out").select("file", "errors")
+    number = F.regexp_extract("file", "([0-9]+)", 1).cast("int")
+    docs = v.RP.repartition("file").select("file", "doc", number.alias("n"))
+
+    def write(rows, value):
+        (rows.select("file", value.alias("value")).write.mode("overwrite").option("lineSep", " ")
+         .partitionBy("file").text(f"{base}/in"))
+
+    write(docs, F.col("doc"))
+    packs = _watched(v.spark, base, 1)
+    first = packs.groupBy("change").agg(F.count(F.lit(1)).alias("n"), F.sum("errors").alias("errors"))
+    write(docs.where("n % 3 != 0"), F.when(F.col("n") % 2 == 0, F.concat("doc", F.lit(" {}"))).otherwise(F.col("doc")))
+    packs = _watched(v.spark, base, 2)
+    second = packs.groupBy("change").agg(F.count(F.lit(1)).alias("n"), F.sum("errors").alias("errors"))
+    now = jobs.latest_packs(v.spark, f"{base}/out").agg(F.count(F.lit(1)).alias("n"), F.sum("errors").alias("errors"))
+    return (first.select(F.lit(1).alias("look"), "change", "n", "errors").union(second.select(F.lit(2), "change", "n", "errors"))
+            .union(now.select(F.lit(3), F.lit("kept"), "n", "errors")))
+
+
+def _watched(spark, base, run):
+    """The parts that Spark writes have other names than *.json, and new ones each time; they are looked at by folder."""
+    files = spark.read.option("wholetext", "true").text(f"{base}/in").select(
+        F.lit("me").alias("owner_id"), F.concat("file", F.lit("")).alias("path"), F.col("value").alias("doc"),
+        F.lit(run).cast("string").alias("mtime"))
+    return jobs.record_changes(files, f"{base}/out", run)
 
 
 DB = """DB as (select owner_id, ts, case when ts - lag(ts) over w > interval 500 millisecond or lag(ts) over w is null then 1 else 0 end as s from U window w as (partition by owner_id order by ts)),
@@ -265,9 +291,14 @@ QUERIES = {
         lambda v: incremental.hash_cache_stats(cache(v)), f"with {HC} select owner_id, count(*) as entries, max(scanned_at) as last_scan from CC group by 1"),
     "snapshot_changes": (lambda v: incremental.snapshot_changes(snapshot(v, 0), snapshot(v, 40)), f"with {SN}"),
     "stream_usage_counters": (
-        _usage_stream, with_views("U", "select owner_id, pack, key, agent, count(*) as calls, max(ts) as last_called from U group by all")),
+        _usage_stream, with_views("U", "select owner_id, pack, key, agent, count(*) as calls, max(ts) as last_called from U where key is not null group by all")),
     "stream_pack_changes": (
-        _pack_stream, with_views("RP", f"with {VIOLATIONS} select file, count(code) as errors from RP left join VI using (file) group by 1")),
+        _pack_stream, with_views("RP", f"""with {VIOLATIONS}, PE as (select file, cast(regexp_extract(file, '([0-9]+)', 1) as int) as n, count(code) as errors from RP left join VI using (file) group by all),
+ NE as (select file, n, case when n % 2 = 0 then 1 else errors end as errors from PE where n % 3 <> 0)
+ select 1 as look, 'created' as change, count(*) as n, cast(sum(errors) as bigint) as errors from PE union all select 2, 'modified', count(*), cast(sum(errors) as bigint) from NE
+ union all select 2, 'deleted', count(*), null from PE where n % 3 = 0 union all select 3, 'kept', count(*), cast(sum(errors) as bigint) from NE""")),
     "debounced_reloads": (lambda v: jobs.debounced_reloads(v.U), with_views("U", "with " + DB)),
+    "debounced_by_minute": (lambda v: jobs.debounced_reloads(v.U, "minute"), with_views("U", "with " + DB)),
+    "stream_debounced": (_debounce_stream, with_views("U", "with " + DB)),
     "stream_scrub": (_scrub_stream, f"select doc_id, {scrub_sql('text')} as text from documents"),
 }

@@ -145,12 +145,12 @@ QUERIES = {
     "list_permissions": (
         lambda v: access.list_permissions(v.PM), with_views("PM", f"select owner_id, agent, {RULE} from PM")),
     "serve_log": (
-        lambda v: usage.serve_log(_agents(v), access.visible_packs(_agents(v), v.P, v.PM), v.F),
+        lambda v: usage.serve_log(_agents(v), access.visible_packs(_agents(v), v.P, v.PM), v.F, v.P),
         with_views("RQ PM P F", f"""with {RA}, {AP}, {VP.format(extra='')},
- LG as (select r.owner_id, r.agent, v.pack, null as key from RA r join VP v using (owner_id, agent) where tool in ('card','profile','all')
-  union all select r.owner_id, r.agent, v.pack, null from RA r join VP v on r.owner_id = v.owner_id and r.agent = v.agent and r.pack_arg = v.pack where tool = 'pack'
-  union all select r.owner_id, r.agent, v.pack, f.key from RA r join VP v on r.owner_id = v.owner_id and r.agent = v.agent and r.pack_arg = v.pack join F f on f.owner_id = v.owner_id and f.pack = v.pack where tool = 'pack')
- select owner_id, agent, pack, key, count(*) as calls from LG group by all""")),
+ LG as (select r.owner_id, r.agent, v.pack, null as key, ts from RA r join VP v using (owner_id, agent) join P using (owner_id, pack) where tool in ('card','profile') or tool = 'all' and (scope_arg is null or list_contains(string_split(scope_arg, ','), scope))
+  union all select r.owner_id, r.agent, v.pack, null, ts from RA r join VP v on r.owner_id = v.owner_id and r.agent = v.agent and r.pack_arg = v.pack where tool = 'pack'
+  union all select r.owner_id, r.agent, v.pack, f.key, ts from RA r join VP v on r.owner_id = v.owner_id and r.agent = v.agent and r.pack_arg = v.pack join F f on f.owner_id = v.owner_id and f.pack = v.pack where tool = 'pack')
+ select owner_id, agent, pack, key, count(*) as calls, max(ts) as last_called from LG group by all""")),
     "pack_prompt": (
         lambda v: render.pack_prompt(v.P, v.F, v.RU), with_views("F RU P", f"with {PP.format(f='F')} select * from PP")),
     "pack_prompt_text": (

@@ -51,7 +51,7 @@ from supplier""",
 select lang as owner_id, '/home/u/' || source || '/proj' || cast(doc_id % 3 as {str})
  || case doc_id % 11 when 0 then '/.git' when 1 then '/main.py' when 2 then '/app.ts' when 3 then '/package.json' when 4 then '/requirements.txt'
    when 5 then '/node_modules/x.js' when 6 then '/.cursorrules' when 7 then '/go.mod' when 8 then '/Gemfile' when 9 then '/AGENTS.md' else '/lib.rs' end as path,
- max(timestamp '2024-01-01 00:00:00') as mtime,
+ max(timestamp '2024-01-01 00:00:00' + interval '1' hour * (doc_id % 1000)) as mtime,
  max(case doc_id % 11 when 3 then '{{"dependencies":{{"next":"15","react":"19"}},"devDependencies":{{"typescript":"5"}}}}' when 4 then 'fastapi==1 pandas' when 8 then 'gem "rails"' else text end) as content
 from documents group by 1, 2""",
     "RQ": """
@@ -59,7 +59,8 @@ select event_id, user_id, {arr5} as owner_id,
  case user_id % 6 when 0 then 'CLAUDE' when 1 then 'openai-desktop' when 2 then null when 3 then '' when 4 then 'myagent' else 'x-cursor' end as agent_id,
  case user_id % 4 when 0 then 'cursor/0.42.0 VSCode/1.87' when 1 then 'gemini/1.0' when 2 then 'myapp/2.0' else null end as user_agent,
  case event_id % 4 when 0 then 'card' when 1 then 'profile' when 2 then 'all' else 'pack' end as tool,
- 'src' || cast(user_id % 20 as {str}) as pack_arg
+ 'src' || cast(user_id % 20 as {str}) as pack_arg, case user_id % 3 when 0 then 'work' when 1 then 'writing,development' end as scope_arg,
+ cast(ts as {ntz}) as ts
 from events""",
 }
 
@@ -79,7 +80,7 @@ select element_at(array('en','fr','de','es'), cast(p_partkey % 4 as int)+1) as o
 from {part}""",
     "U": """
 select event_id, element_at(array('en','fr','de','es'), cast(event_id % 4 as int)+1) as owner_id, 'src' || cast(user_id % 20 as string) as pack,
- 'k' || cast(cast(get_json_object(props, '$.k') as int) % 25 as string) as key, cast(ts as timestamp_ntz) as ts,
+ case when event_id % 7 <> 3 then 'k' || cast(cast(get_json_object(props, '$.k') as int) % 25 as string) end as key, cast(ts as timestamp_ntz) as ts,
  element_at(array('claude','cursor','chatgpt','gemini','myapp'), cast(event_id % 5 as int)+1) as agent
 from {events}""",
     "PM": """
@@ -113,7 +114,7 @@ select (['en','fr','de','es'])[(p_partkey % 4)+1] as owner_id, 'src' || cast(p_p
 from part""",
     "U": """
 select event_id, (['en','fr','de','es'])[(event_id % 4)+1] as owner_id, 'src' || cast(user_id % 20 as varchar) as pack,
- 'k' || cast(cast(json_extract_string(props, '$.k') as int) % 25 as varchar) as key, ts,
+ case when event_id % 7 <> 3 then 'k' || cast(cast(json_extract_string(props, '$.k') as int) % 25 as varchar) end as key, ts,
  (['claude','cursor','chatgpt','gemini','myapp'])[(event_id % 5)+1] as agent
 from events""",
     "PM": """
@@ -191,7 +192,7 @@ def duck_view(name: str) -> str:
     if name in _DUCK:
         return _DUCK[name].strip()
     arr5 = "(['en','fr','de','es','it'])[(event_id % 5)+1]"
-    return _BOTH[name].format(str="varchar", arr5=arr5).strip()
+    return _BOTH[name].format(str="varchar", arr5=arr5, ntz="timestamp").strip()
 
 
 def with_views(names: str, body: str) -> str:
@@ -207,9 +208,6 @@ for _name, _text in {"CT": _CT, "CF": _CF, "XR": _XR}.items():
     _SPARK[_name], _DUCK[_name] = _fill(_text, True), _fill(_text, False)
 
 
-TEXT_TABLES = {"documents", "pages", "conversations"}
-
-
 class Views:
     """Lazily built Spark frames for one data directory."""
 
@@ -217,20 +215,14 @@ class Views:
         self.spark, self.dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
-        """One input table. A text table stored as a single small file would be scanned by one
-        task, so it is spread over the cores; tables with enough splits are read as they are."""
-        df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
-        cores = self.spark.sparkContext.defaultParallelism
-        if name in TEXT_TABLES and df.rdd.getNumPartitions() < cores:
-            return df.repartition(cores)
-        return df
+        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def _sql(self, name: str) -> DataFrame:
         if name in _SPARK:
             text = _SPARK[name]
         else:
             arr5 = "element_at(array('en','fr','de','es','it'), cast(event_id % 5 as int)+1)"
-            text = _BOTH[name].format(str="string", arr5=arr5).replace("timestamp '", "timestamp_ntz '")
+            text = _BOTH[name].format(str="string", arr5=arr5, ntz="timestamp_ntz").replace("timestamp '", "timestamp_ntz '")
             for t in _TABLES:
                 text = text.replace(f"from {t}", f"from {{{t}}}")
             text = _protect(text)

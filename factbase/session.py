@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 # Hot owners and packs are expected: let AQE split skewed join partitions even
@@ -17,6 +15,7 @@ TUNING = {
     "spark.sql.files.maxPartitionBytes": "128m",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -30,12 +29,10 @@ def build_session(app: str = "factbase", master: str | None = None, **extra: str
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir).
-
-    A private folder is made only where the session names none, i.e. in local tests.
-    """
+    """The cluster's shared folder (spark.checkpoint.dir). Where that is unset, a folder in the warehouse, which
+    executors share too."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return named or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="factbase-")
+    return named or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
