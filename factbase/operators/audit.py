@@ -30,7 +30,7 @@ def pack_texts(facts: DataFrame, rules: DataFrame, packs: DataFrame) -> DataFram
     """(owner_id, pack, key, text) of everything that is audited in a pack."""
     return (facts.select("owner_id", "pack", "key", F.array_join("value_items", " ").alias("text"))
             .unionByName(rules.select("owner_id", "pack",
-                                      F.concat(F.lit("rule:"), F.substring("instruction", 1, 30)).alias("key"),
+                                      F.concat(F.lit("rule:"), F.col("pos").cast("string")).alias("key"),
                                       F.col("instruction").alias("text")))
             .unionByName(packs.where(F.col("description") != "")
                          .select("owner_id", "pack", F.lit("meta.description").alias("key"),

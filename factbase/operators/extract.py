@@ -9,28 +9,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factbase.functions.values import strip
+from factbase.functions.values import bucketed_rank, strip
+from factbase.operators.validate import whole_json
 
-BATCH, MAX_BATCHES, LINE_CHARS = 50, 10, 500  # fixed values
+BATCH = 50  # fixed value
 PROMPT = ("Here are {count} messages a user wrote to assistants.\nScope of interest: {scope}\n\n"
           "{messages}\n\nReturn the facts and rules they state as strict JSON.")
 SOURCE = "llm-extraction"
 RANK = {"high": 3, "medium": 2, "low": 1}  # fixed values; a missing confidence counts as low
 
 
-def extraction_batches(messages: DataFrame, size: int = BATCH, max_batches: int = MAX_BATCHES,
-                       scope: str = "general", template: str = PROMPT) -> DataFrame:
+def extraction_batches(messages: DataFrame, size: int = BATCH, max_batches: int | None = None,
+                       scope: str = "general", template: str = PROMPT, line_chars: int | None = None) -> DataFrame:
     """(owner_id, batch_no, n, prompt): an owner's longest messages first, in numbered lines.
 
-    The top size * max_batches per owner is cut on the map side; a batch has at most `size` lines.
+    All messages, whole, unless `max_batches` or `line_chars` say how much a model may be given. A batch has `size`
+    lines; messages are numbered inside their length, so an owner with most of them is not sorted in one task.
     """
-    w = Window.partitionBy("owner_id").orderBy(F.desc("_len"), "conv_id", "pos")
-    top = (messages.withColumn("_len", F.length("text")).withColumn("_rn", F.row_number().over(w))
-           .where(F.col("_rn") <= size * max_batches))
-    lines = top.select("owner_id", F.floor((F.col("_rn") - 1) / size).cast("bigint").alias("batch_no"), "_rn",
-                       F.concat(F.lit("["), ((F.col("_rn") - 1) % size + 1).cast("string"), F.lit("]: "),
-                                F.substring("text", 1, LINE_CHARS)).alias("line"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rn", "line"))),
+    top = bucketed_rank(messages, ["owner_id"], {"_len": -F.length("text"), "_blk": F.col("conv_id")}, [F.col("pos")], "_no")
+    if max_batches is not None:
+        top = top.where(F.col("_no") <= size * max_batches)
+    text = F.col("text") if line_chars is None else F.substring("text", 1, line_chars)
+    lines = top.select("owner_id", F.floor((F.col("_no") - 1) / size).cast("bigint").alias("batch_no"), "_no",
+                       F.concat(F.lit("["), ((F.col("_no") - 1) % size + 1).cast("string"), F.lit("]: "),
+                                text).alias("line"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_no", "line"))),
                                       lambda x: x["line"]), "\n---\n")
     batches = lines.groupBy("owner_id", "batch_no").agg(F.count(F.lit(1)).alias("n"), joined.alias("_m"))
     head, rest = template.replace("{scope}", scope).split("{count}")
@@ -59,7 +62,7 @@ def parse_extractions(raw: DataFrame) -> DataFrame:
     """raw + v: the JSON object in an answer, fences removed; else what lies between the outer braces."""
     clean = strip(F.regexp_replace(F.regexp_replace(strip("raw"), r"^```(?:json)?\s*", ""), r"\s*```$", ""))
     inner = F.regexp_extract("_c", r"\{[\s\S]*\}", 0)
-    parsed = F.coalesce(F.try_parse_json("_c"), F.when(inner != "", F.try_parse_json(inner)))
+    parsed = F.coalesce(whole_json(F.col("_c")), F.when(inner != "", whole_json(inner)))
     out = raw.withColumn("_c", clean).withColumn("v", parsed).drop("_c")
     return out.where(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")))
 
@@ -126,11 +129,11 @@ def merge_extracted_rules(x: DataFrame) -> DataFrame:
 
 
 def extraction_stats(messages: DataFrame, facts: DataFrame, rules: DataFrame, size: int = BATCH,
-                     max_batches: int = MAX_BATCHES) -> DataFrame:
+                     max_batches: int | None = None) -> DataFrame:
     """Per owner: total, processed, batches, facts, rules."""
     count = lambda df, out: df.groupBy("owner_id").agg(F.count(F.lit(1)).alias(out))
     n = F.col("total")
-    done = F.least(n, F.lit(size * max_batches))
+    done = n if max_batches is None else F.least(n, F.lit(size * max_batches))
     return (count(messages, "total").join(count(facts, "facts"), "owner_id", "left")
             .join(count(rules, "rules"), "owner_id", "left")
             .select("owner_id", "total", done.cast("bigint").alias("processed"), F.ceil(done / size).cast("bigint").alias("batches"),

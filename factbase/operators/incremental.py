@@ -36,7 +36,8 @@ def update_hash_cache(cache: DataFrame, current: DataFrame, as_of) -> DataFrame:
 
 
 def hash_cache_stats(cache: DataFrame) -> DataFrame:
-    return cache.groupBy("owner_id").agg(F.count(F.lit(1)).alias("entries"), F.max("scanned_at").alias("last_scan"))
+    """Entries of each owner and the time of the last full scan that the cache itself states."""
+    return cache.groupBy("owner_id").agg(F.count(F.lit(1)).alias("entries"), F.max("last_full_scan").alias("last_scan"))
 
 
 def snapshot_changes(before: DataFrame, after: DataFrame, suffix: str = ".yaml") -> DataFrame:

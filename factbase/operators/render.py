@@ -20,7 +20,7 @@ from factbase.operators.search import list_packs
 
 PACK = ["owner_id", "pack"]
 PLACE = ["pack", "block", "ord", "ord_n", "pos"]
-MAX_CHARS = 1 << 20
+PART_LINES = 1000
 
 # Key groups of cards and profiles, and their caps.
 ROLE_KEYS = ["role", "role.employment", "role.founder"]
@@ -298,16 +298,16 @@ def full_context(packs: DataFrame, scored: DataFrame, rules: DataFrame, scopes:
     return export_system_prompt(shown, facts, rules, header=False)
 
 
-def assemble(lines: DataFrame, keys: list[str], order: list[str] = PLACE, max_chars: int = MAX_CHARS,
-             sep: str = "\n") -> tuple[DataFrame, DataFrame]:
-    """(whole documents, remaining lines): documents of at most max_chars become one text; the
-    lines of larger ones are returned as they are, for write_documents."""
-    sizes = lines.groupBy(*keys).agg((F.sum(F.length("line")) + F.count(F.lit(1))).alias("_chars"))
-    small = sizes.where(F.col("_chars") <= max_chars).select(*keys)
-    parts = F.array_sort(F.collect_list(F.struct(*order, "line")))
-    docs = (lines.join(small, keys, "left_semi").groupBy(*keys)
+def assemble(lines: DataFrame, keys: list[str], order: list[str] = PLACE, part_lines: int = PART_LINES,
+             sep: str = "\n") -> DataFrame:
+    """(keys, part, text): documents as numbered parts of `part_lines` lines; all parts of a document, joined by `sep`
+    in their order, are the whole text. Lines are numbered inside (keys, leading order column, block of positions)."""
+    rest = [c for c in order if c not in keys]
+    lead = {f"_b{i}": F.col(c) for i, c in enumerate(rest[:-1])}
+    ranked = bucketed_rank(lines, keys, {**lead, "_blk": F.shiftright(rest[-1], 16)}, [F.col(rest[-1])], "_n")
+    parts = F.array_sort(F.collect_list(F.struct("_n", "line")))
+    return (ranked.groupBy(*keys, F.floor((F.col("_n") - 1) / part_lines).cast("bigint").alias("part"))
             .agg(F.array_join(F.transform(parts, lambda x: x["line"]), sep).alias("text")))
-    return docs, lines.join(sizes.where(F.col("_chars") > max_chars).select(*keys), keys, "left_semi")
 
 
 def write_documents(lines: DataFrame, path: str, order: list[str] = PLACE) -> None:

@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from factbase.functions.values import bucketed_rank
+
 # ---- fixed values ----
 REPO_SKIP = ["node_modules", ".cache", "venv", ".venv"]
 FILE_SKIP = ["node_modules", ".git", "venv", ".venv", "__pycache__", "dist", "build", ".next", "target"]
-MAX_REPOS, TOP_LANGUAGES, TOP_FRAMEWORKS, MAX_PROJECTS, SNIPPET = 20, 5, 10, 8, 100
+TOP_LANGUAGES, TOP_FRAMEWORKS, MAX_PROJECTS = 5, 10, 8
 EXTENSIONS = {".py": "Python", ".ts": "TypeScript", ".tsx": "TypeScript", ".js": "JavaScript", ".jsx": "JavaScript",
               ".rs": "Rust", ".go": "Go", ".java": "Java", ".rb": "Ruby", ".php": "PHP", ".swift": "Swift",
               ".kt": "Kotlin", ".cs": "C#", ".cpp": "C++", ".c": "C", ".dart": "Dart", ".lua": "Lua", ".zig": "Zig",
@@ -65,15 +67,17 @@ def _has_any(col: Column, parts: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(col, F.lit(p)) for p in parts])
 
 
-def discover_repos(files: DataFrame, roots: DataFrame, limit: int = MAX_REPOS) -> DataFrame:
-    """Repositories one or two levels below a root, newest first, at most `limit` per owner."""
+def discover_repos(files: DataFrame, roots: DataFrame, limit: int | None = None) -> DataFrame:
+    """Repositories one or two levels below a root, newest first; with `limit` the first ones of each owner."""
     marks = files.where(F.endswith("path", F.lit("/.git"))).select("owner_id", _parent("path").alias("repo"), "mtime")
     placed = marks.select("*", F.posexplode(F.array(_parent("repo", 1), _parent("repo", 2))).alias("depth", "root"))
     found = (placed.join(roots.select("owner_id", "root").distinct(), ["owner_id", "root"])
              .where(~_has_any(F.col("repo"), REPO_SKIP)))
-    w = Window.partitionBy("owner_id").orderBy(F.desc("mtime"), "depth", "repo")
-    return (found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
-            .select("owner_id", "repo", _name("repo").alias("name"), "mtime", "rank"))
+    day = F.date_trunc("day", "mtime")
+    ranked = bucketed_rank(found, ["owner_id"], {"_day": -F.unix_date(day.cast("date"))}, [F.desc("mtime"), F.col("depth"), F.col("repo")], "rank")
+    if limit is not None:
+        ranked = ranked.where(F.col("rank") <= limit)
+    return ranked.select("owner_id", "repo", _name("repo").alias("name"), "mtime", "rank")
 
 
 def _in_repo(files: DataFrame, repos: DataFrame, top_only: bool) -> DataFrame:
@@ -135,17 +139,18 @@ def _list_fact(df: DataFrame, rank: str, item: str, pos: int, key: str, type_: s
                     F.lit(confidence).alias("confidence"), F.lit(source).alias("source")))
 
 
-def owner_stack(files: DataFrame, roots: DataFrame) -> DataFrame:
-    """Top languages, top frameworks and recent projects of each owner as facts."""
+def owner_stack(files: DataFrame, roots: DataFrame, top_languages: int = TOP_LANGUAGES, top_frameworks: int = TOP_FRAMEWORKS,
+                max_projects: int = MAX_PROJECTS) -> DataFrame:
+    """Top languages, top frameworks and recent projects of each owner as facts: top-k lists over all repositories."""
     repos = discover_repos(files, roots)
     langs = (repo_languages(files, repos).join(repos.select(*REPO, "rank"), REPO).groupBy("owner_id", "language")
              .agg(F.sum("files").alias("n"), F.min("rank").alias("first")))
     w = Window.partitionBy("owner_id").orderBy(F.desc("n"), "first", "language")
-    langs = langs.withColumn("r", F.row_number().over(w)).where(F.col("r") <= TOP_LANGUAGES)
+    langs = langs.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top_languages)
     fws = repo_frameworks(files, repos).groupBy("owner_id", "framework").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("owner_id").orderBy(F.desc("n"), "framework")
-    fws = fws.withColumn("r", F.row_number().over(w)).where(F.col("r") <= TOP_FRAMEWORKS)
-    names = repos.where(F.col("rank") <= MAX_PROJECTS)
+    fws = fws.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top_frameworks)
+    names = repos.where(F.col("rank") <= max_projects)
     return (_list_fact(langs, "r", "language", 7, "languages.primary", "skill", "high", "repo-scan")
             .unionByName(_list_fact(fws, "r", "framework", 8, "frameworks", "skill", "high", "repo-scan"))
             .unionByName(_list_fact(names, "rank", "name", 9, "projects.recent", "context", "medium", "repo-scan")))
@@ -164,10 +169,10 @@ def existing_rule_files(files: DataFrame, roots: DataFrame, changed: DataFrame |
     if changed is not None:
         found = found.join(changed.select("owner_id", "path").distinct(), ["owner_id", "path"], "left_semi")
     first = found.groupBy("owner_id", "dir").agg(F.min_by(F.struct(
-        "_o", "_l", F.substring("content", 1, SNIPPET).alias("text")), "_o").alias("f"))
+        "_o", "_l", F.col("content").alias("text")), "_o").alias("f"))
     return first.select(
         "owner_id", (F.col("f._o") + 10).cast("bigint").alias("pos"), F.concat(F.lit("existing_rules."), "f._l").alias("key"),
-        F.array(F.concat(F.lit("Found in "), _name("dir"), F.lit(": "), "f.text", F.lit("..."))).alias("value_items"),
+        F.array(F.concat(F.lit("Found in "), _name("dir"), F.lit(": "), "f.text")).alias("value_items"),
         F.lit(False).alias("value_is_list"), F.lit("context").alias("type"), F.lit("high").alias("confidence"),
         F.concat(F.lit("file-scan-"), "f._l").alias("source"))
 

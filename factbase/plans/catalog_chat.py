@@ -137,7 +137,7 @@ def stub_model(prompt: str) -> str:
 
 
 EB = r"""EB0 as (select *, row_number() over (partition by owner_id order by length(text) desc, conv_id, pos) as rn from M),
-EB1 as (select owner_id, (rn - 1) // 50 as batch_no, rn, '[' || ((rn - 1) % 50 + 1) || ']: ' || substr(text, 1, 500) as line from EB0 where rn <= 500),
+EB1 as (select owner_id, (rn - 1) // 50 as batch_no, rn, '[' || ((rn - 1) % 50 + 1) || ']: ' || text as line from EB0),
 EB as (select owner_id, batch_no, count(*) as n, 'Here are ' || count(*) || ' messages a user wrote to assistants.' || chr(10) || 'Scope of interest: general' || chr(10) || chr(10)
  || string_agg(line, chr(10) || '---' || chr(10) order by rn) || chr(10) || chr(10) || 'Return the facts and rules they state as strict JSON.' as prompt from EB1 group by all)"""
 XP = r"""XC as (select owner_id, batch_no, regexp_replace(regexp_replace(trim(raw), '^```(?:json)?\s*', ''), '\s*```$', '') as c from XR),
@@ -167,7 +167,7 @@ def _stats_x(v):
 
 
 XS = f"""{XM}, RN as (select distinct owner_id, regexp_replace(lower({trim('instruction')}), '[^a-z0-9\\s]', '', 'g') as norm from RU),
-XST as (select owner_id, total, least(total, 500) as processed, cast(ceil(least(total, 500) / 50) as bigint) as batches, coalesce(facts, 0) as facts, coalesce(rules, 0) as rules
+XST as (select owner_id, total, total as processed, cast(ceil(total / 50) as bigint) as batches, coalesce(facts, 0) as facts, coalesce(rules, 0) as rules
  from (select owner_id, count(*) as total from X group by 1) left join (select owner_id, count(*) as facts from XL group by 1) using (owner_id) left join (select owner_id, count(*) as rules from RN group by 1) using (owner_id))"""
 
 
@@ -176,12 +176,52 @@ def _packs_x(v):
     return extract.assemble_extracted_packs(_stats_x(v), said).withColumn("tags", F.array_join("tags", ","))
 
 
+def _zipped_flat(v):
+    """One archive per flat export."""
+    def run(batches):
+        import io
+        import zipfile
+
+        import pandas as pd
+        for pdf in batches:
+            out = []
+            for file, doc in zip(pdf["file"], pdf["doc"]):
+                buffer = io.BytesIO()
+                with zipfile.ZipFile(buffer, "w") as zf:
+                    zf.writestr(f"conversations-{file}.json", doc)
+                    zf.writestr("notes.txt", "x")
+                out.append((f"{file}.zip", buffer.getvalue()))
+            yield pd.DataFrame(out, columns=["path", "content"])
+    return v.CF.select("file", "doc").mapInPandas(run, "path string, content binary")
+
+
+def _broken(v):
+    """Flat exports, some cut off, some followed by more text, some of another type."""
+    n = F.substring("file", 2, 9).cast("int")
+    doc = (F.when(n % 7 == 0, F.expr("substring(doc, 1, length(doc) - 1)")).when(n % 7 == 1, F.concat("doc", F.lit(" [1]")))
+           .when(n % 7 == 2, F.lit('"text"')).otherwise(F.col("doc")))
+    return v.CF.withColumn("doc", doc)
+
+
+BROKEN = """BR as (select owner_id, file, case cast(substr(file, 2) as int) % 7 when 0 then substr(doc, 1, length(doc) - 1) when 1 then doc || ' [1]' when 2 then '"text"' else doc end as doc from CF)"""
+# exports of the second layout with a plain list of messages
+DAMAGED_SQL = with_views("CF", f"""with {BROKEN}, OKD as (select owner_id, file, cast(doc as json) as d from BR where json_valid(doc) and cast(substr(file, 2) as int) % 5 = 2 and json_type(doc) = 'OBJECT'),
+ MS as (select owner_id, file, i, json_extract(d, '$.messages[' || i || ']') as m from (select *, unnest(range(cast(json_array_length(d, '$.messages') as bigint))) as i from OKD))
+ select owner_id, file, 0 as conv_no, i * 1048576 as pos, m->>'$.content' as text from MS where m->>'$.role' = 'user'""")
+
 QUERIES = {
     "read_chat_tree": (lambda v: chats.read_chat_tree(v.CT), TREE_SQL),
     "read_chat_flat": (lambda v: chats.read_chat_flat(v.CF), FLAT_SQL),
     "read_export_archives": (
         lambda v: chats.unpack_archives(_zipped(v), "tree"),
         with_views("CT", "select file, doc, cast(null as varchar) as error from CT")),
+    "read_flat_archives": (
+        lambda v: chats.unpack_archives(_zipped_flat(v), "flat"),
+        with_views("CF", "select file || '.zip!conversations-' || file || '.json' as file, doc, cast(null as varchar) as error from CF")),
+    "unreadable_exports": (
+        lambda v: chats.unreadable_exports(_broken(v), "flat"),
+        with_views("CF", f"with {BROKEN} select owner_id, file, case when not json_valid(doc) then 'unreadable' when json_type(doc) = 'VARCHAR' then 'unexpected str' end as error from BR where not json_valid(doc) or json_type(doc) = 'VARCHAR'")),
+    "read_chat_damaged": (lambda v: chats.read_chat_flat(_broken(v).where(F.substring("file", 2, 9).cast("int") % 5 == 2)), DAMAGED_SQL),
     "limit_conversations": (
         lambda v: chats.limit_conversations(v.M, 5),
         with_views("M", "with FP as (select owner_id, conv_id, min(pos) as p from M group by all), KC as (select owner_id, conv_id from FP qualify row_number() over (partition by owner_id order by p, conv_id) <= 5) select * from M semi join KC using (owner_id, conv_id)")),

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from factbase.functions import secrets as S
 from factbase.operators import audit, validate
+from factbase.streaming.jobs import new_output
 from factbase.plans.fixtures import AS_OF, with_views
 from factbase.sources import packs as docs
 
@@ -21,7 +22,7 @@ def hits_cte(source: str, keep: str, text: str = "text") -> str:
 
 PREVIEW = "case when length(hit) <= 7 then '***REDACTED***' else substr(hit, 1, 4) || '...********' end as preview"
 PT = """PT as (select owner_id, pack, key, array_to_string(value_items, ' ') as text from F
- union all select owner_id, pack, 'rule:' || substr(instruction, 1, 30), instruction from RU
+ union all select owner_id, pack, 'rule:' || pos, instruction from RU
  union all select owner_id, pack, 'meta.description', description from P where description <> '')"""
 COUNTS = """count(*) filter (severity = 'critical') as critical, count(*) filter (severity = 'warning') as warning,
  count(*) filter (severity = 'info') as info, count(*) as total, count(*) filter (severity = 'critical') = 0 as is_clean"""
@@ -135,14 +136,14 @@ _src = "case when coalesce(source, '') <> '' then ',\"source\":' || to_json(sour
 FACT_JSON = f"""'{{"key":' || to_json(key) || ',"value":' || case when value_is_list then to_json(value_items) else to_json(value_items[1]) end
  || case when type <> 'context' then ',"type":' || to_json(type) else '' end || case when confidence <> 'high' then ',"confidence":' || to_json(confidence) else '' end
  || {_src} || case when updated_at is not null then ',"updated_at":"' || strftime(updated_at, '%Y-%m-%dT%H:%M:%S') || '"' else '' end
- || case when part > 0 then ',"pos":' || pos else '' end || '}}'"""
-RULE_JSON = """'{"instruction":' || to_json(instruction) || case when priority > 0 then ',"priority":' || priority else '' end || case when part > 0 then ',"pos":' || pos else '' end || '}'"""
+ || ',"pos":' || pos || '}}'"""
+RULE_JSON = """'{"instruction":' || to_json(instruction) || case when priority > 0 then ',"priority":' || priority else '' end || ',"pos":' || pos || '}'"""
 PART_ROWS = 500
 PACK_DOCS = f"""FP as (select owner_id, pack, part, ',"facts":[' || string_agg({FACT_JSON}, ',' order by pos) || ']' as facts from (select *, pos // {PART_ROWS} as part from F) group by all),
 RP2 as (select owner_id, pack, part, ',"rules":[' || string_agg({RULE_JSON}, ',' order by pos) || ']' as rules from (select *, pos // {PART_ROWS} as part from RU) group by all),
 PA as (select owner_id, pack, part from FP union select owner_id, pack, part from RP2 union select owner_id, pack, 0 from P)
 select owner_id, pack, part, '{{"name":' || to_json(pack) || ',"scope":' || to_json(scope) || ',"meta":{{"schema_version":"0.1.0","created_at":"' || strftime(created_at, '%Y-%m-%dT%H:%M:%S')
- || '","updated_at":"2024-02-01T00:00:00"' || case when coalesce(description, '') <> '' then ',"description":' || to_json(description) else '' end || '}}' || coalesce(facts, '') || coalesce(rules, '') || '}}' as doc
+ || '","updated_at":"2024-02-01T00:00:00"' || case when coalesce(description, '') <> '' then ',"description":' || to_json(description) else '' end || ',"part":' || part || '}}' || coalesce(facts, '') || coalesce(rules, '') || '}}' as doc
 from PA join P using (owner_id, pack) left join FP using (owner_id, pack, part) left join RP2 using (owner_id, pack, part)"""
 
 
@@ -163,6 +164,21 @@ def _read(v):
     return f.unionByName(r).unionByName(p)
 
 
+def _through_files(v):
+    """Packs of all owners written as files and read again."""
+    path = new_output(v.spark, "pack-files")
+    docs.write_packs(v.P, v.F, v.RU, path, AS_OF)
+    packs, facts, rules = docs.read_packs(docs.raw_packs_from_json(v.spark, path, lines=True), AS_OF)
+    none = lambda kind: F.lit(None).cast(kind)
+    f = facts.select("owner_id", "pack", F.lit("fact").alias("kind"), "pos", "key", F.array_join("value_items", "|").alias("value"),
+                     "value_is_list", "type", "confidence", "updated_at", none("int").alias("priority"))
+    r = rules.select("owner_id", "pack", F.lit("rule"), "pos", none("string"), "instruction", none("boolean"), none("string"),
+                     none("string"), none("timestamp_ntz"), "priority")
+    p = packs.select("owner_id", "pack", F.lit("pack"), none("bigint"), none("string"), "description", none("boolean"), "scope",
+                     none("string"), "created_at", none("int"))
+    return f.union(r).union(p)
+
+
 READ_SQL = f"""with {VIOLATIONS}, {GOOD}, G as (select *, {jt('v', '$.name')} as pack from GOOD)
 select pack, 'fact' as kind, i as pos, {jt('e', '$.key')} as key, case when json_type(e, '$.value') = 'ARRAY' then array_to_string(cast({js('e', '$.value')} as varchar[]), '|') else {jt('e', '$.value')} end as value,
  json_type(e, '$.value') = 'ARRAY' as value_is_list, coalesce({jt('e', '$.type')}, 'context') as type, coalesce({jt('e', '$.confidence')}, 'high') as confidence, {jt('e', '$.source')} as source,
@@ -204,10 +220,13 @@ QUERIES = {
         lambda v: validate.validation_summary(v.RP),
         with_views("RP", f"with {VIOLATIONS} select file, count(code) = 0 as valid, count(code) as errors from RP left join VI using (file) group by 1")),
     "split_valid_packs": (
-        lambda v: docs.split_valid_packs(v.RP)[0].withColumn("good", F.lit(True)).unionByName(
-            docs.split_valid_packs(v.RP)[1].withColumn("good", F.lit(False))),
+        lambda v: docs.judge_packs(v.RP),
         with_views("RP", f"with {VIOLATIONS}, {GOOD} select file, doc, file in (select file from GOOD) as good from RP")),
     "read_packs": (_read, with_views("RP", READ_SQL)),
+    "packs_through_files": (
+        _through_files, with_views("F RU P", """select owner_id, pack, 'fact' as kind, pos, key, array_to_string(value_items, '|') as value, value_is_list, type, confidence, updated_at, null as priority from F semi join P using (owner_id, pack)
+ union all select owner_id, pack, 'rule', pos, null, instruction, null, null, null, null, greatest(priority, 0) from RU semi join P using (owner_id, pack)
+ union all select owner_id, pack, 'pack', null, null, description, null, scope, null, created_at, null from P""")),
     "write_packs": (
         lambda v: docs.pack_documents(v.P, v.F, v.RU, AS_OF, part_rows=PART_ROWS),
         with_views("F RU P", "with " + PACK_DOCS)),

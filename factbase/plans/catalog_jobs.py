@@ -116,7 +116,7 @@ def has_any(x, parts):
 
 RE = f"""RE as (select owner_id, rp as repo, list_last(string_split(rp, '/')) as name, mtime, row_number() over (partition by owner_id order by mtime desc, depth, rp) as rank
  from (select owner_id, mtime, regexp_replace(path, '/\\.git$', '') as rp, case when regexp_matches(path, '^{ROOT}/[^/]+/\\.git$') then 0 else 1 end as depth from FI where regexp_matches(path, '^{ROOT}/[^/]+(/[^/]+)?/\\.git$'))
- where not {has_any('rp', repo.REPO_SKIP)} qualify rank <= 20)"""
+ where not {has_any('rp', repo.REPO_SKIP)} )"""
 _ext = values(list(repo.EXTENSIONS.items()))
 LG = f"""LG as (select f.owner_id, repo, language, count(*) as files from FI f join RE r on f.owner_id = r.owner_id and starts_with(f.path, r.repo || '/')
  join {_ext} x(ext, language) on regexp_extract(list_last(string_split(f.path, '/')), '^.+(\\.[^.]+)$', 1) = ext where not {has_any('f.path', repo.FILE_SKIP)} group by all)"""
@@ -134,7 +134,7 @@ OW as (select owner_id, framework as x, row_number() over (partition by owner_id
 OSK as (select owner_id, 7 as pos, 'languages.primary' as key, string_agg(x, '|' order by r) as value, true as value_is_list, 'skill' as type, 'high' as confidence, 'repo-scan' as source from OL group by 1
  union all select owner_id, 8, 'frameworks', string_agg(x, '|' order by r), true, 'skill', 'high', 'repo-scan' from OW group by 1
  union all select owner_id, 9, 'projects.recent', string_agg(name, '|' order by rank), true, 'context', 'medium', 'repo-scan' from RE where rank <= 8 group by 1)"""
-RF = """RF as (select owner_id, o + 10 as pos, 'existing_rules.' || l as key, 'Found in ' || list_last(string_split(dir, '/')) || ': ' || substr(content, 1, 100) || '...' as value, false as value_is_list, 'context' as type, 'high' as confidence, 'file-scan-' || l as source
+RF = """RF as (select owner_id, o + 10 as pos, 'existing_rules.' || l as key, 'Found in ' || list_last(string_split(dir, '/')) || ': ' || content as value, false as value_is_list, 'context' as type, 'high' as confidence, 'file-scan-' || l as source
  from (select f.*, regexp_extract(path, '^(.*)/[^/]+$', 1) as dir, o, l from FI f join (values ('.cursorrules', 0, 'cursorrules'), ('AGENTS.md', 1, 'agents-md'), ('.editorconfig', 2, 'editorconfig')) t(n, o, l) on list_last(string_split(path, '/')) = n)
  where regexp_matches(dir, '^/home/u/[^/]+/[^/]+$') qualify row_number() over (partition by owner_id, dir order by o) = 1)"""
 
@@ -153,15 +153,16 @@ def sources(v):
 
 
 def cache(v):
-    """Hashes known for the labelled documents; every fifth of them is out of date."""
+    """A cache from an earlier run that knew the labelled documents only; every fifth hash is out of date."""
     old = v.table("documents").join(v.table("labels").select("doc_id"), "doc_id", "left_semi")
     text = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
     return old.select(F.col("lang").alias("owner_id"), F.col("doc_id").cast("string").alias("source_key"), F.sha2(text, 256).alias("hash"),
-                      F.expr("timestamp_ntz '2024-01-01 00:00:00'").alias("scanned_at"))
+                      F.expr("timestamp_ntz '2024-01-01 00:00:00'").alias("scanned_at"),
+                      F.expr("timestamp_ntz '2024-01-03 00:00:00'").alias("last_full_scan"))
 
 
 HC = """CU as (select lang as owner_id, cast(doc_id as varchar) as source_key, sha256(text) as hash from documents),
-CC as (select lang as owner_id, cast(doc_id as varchar) as source_key, sha256(case when doc_id % 5 = 0 then text || '!' else text end) as hash, timestamp '2024-01-01 00:00:00' as scanned_at from documents semi join labels using (doc_id)),
+CC as (select lang as owner_id, cast(doc_id as varchar) as source_key, sha256(case when doc_id % 5 = 0 then text || '!' else text end) as hash, timestamp '2024-01-01 00:00:00' as scanned_at, timestamp '2024-01-03 00:00:00' as last_full_scan from documents semi join labels using (doc_id)),
 CG as (select owner_id, source_key, CU.hash, CU.hash is null or CC.hash is null or CU.hash <> CC.hash as changed from CU left join CC using (owner_id, source_key)),
 UC as (select owner_id, source_key, coalesce(CU.hash, CC.hash) as hash, case when CU.hash is not null then {ts} else scanned_at end as scanned_at, {ts} as last_full_scan from CC full join CU using (owner_id, source_key))""".format(ts=TS)
 
@@ -288,7 +289,7 @@ QUERIES = {
     "update_hash_cache": (
         lambda v: incremental.update_hash_cache(cache(v), incremental.content_hashes(sources(v)), AS_OF), f"with {HC} select * from UC"),
     "hash_cache_stats": (
-        lambda v: incremental.hash_cache_stats(cache(v)), f"with {HC} select owner_id, count(*) as entries, max(scanned_at) as last_scan from CC group by 1"),
+        lambda v: incremental.hash_cache_stats(cache(v)), f"with {HC} select owner_id, count(*) as entries, max(last_full_scan) as last_scan from CC group by 1"),
     "snapshot_changes": (lambda v: incremental.snapshot_changes(snapshot(v, 0), snapshot(v, 40)), f"with {SN}"),
     "stream_usage_counters": (
         _usage_stream, with_views("U", "select owner_id, pack, key, agent, count(*) as calls, max(ts) as last_called from U where key is not null group by all")),

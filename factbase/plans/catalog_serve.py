@@ -114,14 +114,7 @@ def _full(v):
 
 
 def _text(v):
-    return render.assemble(render.pack_prompt(v.P, v.F, v.RU), ["owner_id", "pack"], ["block", "ord", "ord_n", "pos"])[0]
-
-
-def _long(v):
-    docs, rest = render.assemble(render.pack_prompt(v.P, v.F, v.RU), ["owner_id", "pack"],
-                                 ["block", "ord", "ord_n", "pos"], max_chars=20000)
-    return docs.select("owner_id", "pack", F.lit("whole").alias("kind"), F.col("text").alias("line")).unionByName(
-        rest.select("owner_id", "pack", F.lit("line").alias("kind"), "line"))
+    return render.assemble(render.pack_prompt(v.P, v.F, v.RU), ["owner_id", "pack"], ["block", "ord", "ord_n", "pos"], 25)
 
 
 def _profile(v, cap=None):
@@ -154,11 +147,7 @@ QUERIES = {
     "pack_prompt": (
         lambda v: render.pack_prompt(v.P, v.F, v.RU), with_views("F RU P", f"with {PP.format(f='F')} select * from PP")),
     "pack_prompt_text": (
-        _text, with_views("F RU P", f"with {PP.format(f='F')} select owner_id, pack, string_agg(line, chr(10) order by block, ord, ord_n, pos) as text from PP group by all")),
-    "pack_prompt_bounded": (
-        _long, with_views("F RU P", f"""with {PP.format(f='F')}, BG as (select owner_id, pack from PP group by all having sum(length(line) + 1) > 20000)
- select owner_id, pack, 'whole' as kind, string_agg(line, chr(10) order by block, ord, ord_n, pos) as line from PP anti join BG using (owner_id, pack) group by owner_id, pack
- union all select owner_id, pack, 'line', line from PP semi join BG using (owner_id, pack)""")),
+        _text, with_views("F RU P", f"with {PP.format(f='F')}, PN as (select *, row_number() over (partition by owner_id, pack order by block, ord, ord_n, pos) as n from PP) select owner_id, pack, (n - 1) // 25 as part, string_agg(line, chr(10) order by n) as text from PN group by all")),
     "export_system_prompt": (
         lambda v: render.export_system_prompt(v.P, v.F, v.RU),
         with_views("F RU P", f"with {PP.format(f='F')} select * from PP union all select owner_id, pack, -1, '', 0, 0, '' from P union all select distinct owner_id, '', 0, '', 0, 0, {INTRO} from P")),

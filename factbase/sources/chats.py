@@ -6,7 +6,6 @@
 from __future__ import annotations
 
 import io
-import json
 import zipfile
 from collections.abc import Iterator
 
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factbase.functions.values import strip
+from factbase.operators.validate import kind, whole_json
 
 TREE = ("array<struct<mapping: map<string, struct<message: struct<"
         "author: struct<role: string>, content: struct<parts: array<variant>>>>>>>")
@@ -39,7 +39,8 @@ def read_chat_tree(exports: DataFrame, max_conversations: int | None = None) ->
 
     A typed from_json keeps the nodes in file order (a variant object would sort them).
     """
-    convs = exports.select("owner_id", "file", F.posexplode(F.from_json("doc", TREE)).alias("conv_no", "c"))
+    convs = exports.where(whole_json(F.col("doc")).isNotNull()).select(
+        "owner_id", "file", F.posexplode(F.from_json("doc", TREE)).alias("conv_no", "c"))
     if max_conversations:
         convs = convs.where(F.col("conv_no") < max_conversations)
     nodes = convs.select("owner_id", "file", "conv_no",
@@ -50,9 +51,18 @@ def read_chat_tree(exports: DataFrame, max_conversations: int | None = None) ->
             .where(F.length("text") > MIN_CHARS))
 
 
+def unreadable_exports(exports: DataFrame, layout: str) -> DataFrame:
+    """(owner_id, file, error) of the export files that the readers give no messages for: not one JSON value, or one
+    of another shape than the layout (`tree`: a list of objects; `flat`: a list or an object)."""
+    v = exports.select("owner_id", "file", F.explode(F.array(whole_json(F.col("doc")))).alias("v"))
+    shape = kind(F.col("v")) == "list" if layout == "tree" else kind(F.col("v")).isin("list", "dict")
+    error = F.when(F.col("v").isNull(), "unreadable").when(~shape, F.concat(F.lit("unexpected "), kind(F.col("v"))))
+    return v.select("owner_id", "file", error.alias("error")).where(F.col("error").isNotNull())
+
+
 def conversations_of(exports: DataFrame) -> DataFrame:
     """(owner_id, file, conv_no, conv): elements of a top-level list, or the single object."""
-    v = exports.select("owner_id", "file", F.try_parse_json("doc").alias("v"))
+    v = exports.select("owner_id", "file", whole_json(F.col("doc")).alias("v"))
     listed = F.try_variant_get("v", "$", "array<variant>")
     single = F.when(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")), F.array("v"))
     return v.select("owner_id", "file", F.posexplode(F.coalesce(listed, single)).alias("conv_no", "conv"))
@@ -106,8 +116,8 @@ def _pick(names: list[str], layout: str) -> list[str]:
 def unpack_archives(archives: DataFrame, layout: str) -> DataFrame:
     """(path, content) of zip files to (file, doc, error): one row per archive, all in parallel.
 
-    Tree exports use the first entry named conversations.json; flat exports concatenate all
-    conversation files.
+    Tree exports use the first entry named conversations.json, flat exports each conversation file: one row per
+    entry, named archive!entry, so an unreadable entry costs only itself.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -118,14 +128,12 @@ def unpack_archives(archives: DataFrame, layout: str) -> DataFrame:
                         entries = _pick(zf.namelist(), layout)
                         if not entries:
                             raise ValueError("no conversation file")
-                        if layout == "tree":
-                            rows.append((path, zf.read(entries[0]).decode("utf-8"), None))
-                            continue
-                        merged: list = []
                         for name in entries:
-                            data = json.loads(zf.read(name))
-                            merged += data if isinstance(data, list) else [data] if isinstance(data, dict) else []
-                        rows.append((path, json.dumps(merged, ensure_ascii=False), None))
+                            place = path if layout == "tree" else f"{path}!{name}"
+                            try:
+                                rows.append((place, zf.read(name).decode("utf-8"), None))
+                            except Exception as exc:
+                                rows.append((place, None, f"{type(exc).__name__}: {exc}"))
                 except Exception as exc:  # a bad archive is a row, not a failed job
                     rows.append((path, None, f"{type(exc).__name__}: {exc}"))
             yield pd.DataFrame(rows, columns=["file", "doc", "error"])

@@ -2,39 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factbase.functions.values import as_ts
 from factbase.operators.validate import child, listed, text_of, violations, with_variant
 
 NAME_RULE = "^[a-z][a-z0-9_-]*$"
-# A pack longer than this is written as several documents of consecutive positions, so that no
-# task ever assembles an unbounded pack.
-PART_ROWS = 10_000
+# Every pack is written as numbered documents of so many consecutive positions, so that no task ever assembles an
+# unbounded pack.
+PART_ROWS = 1000
 
 
-def raw_packs_from_json(spark: SparkSession, path: str) -> DataFrame:
-    """(file, doc): one whole JSON document per file."""
-    return (spark.read.text(path, wholetext=True)
-            .select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.col("value").alias("doc")))
+def raw_packs_from_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(owner_id, file, doc): one JSON document per file, or with `lines` one per line. Folders named owner_id=.. give
+    the owner; files elsewhere are of the owner `me`."""
+    place = F.col("_metadata.file_path")
+    owner = F.regexp_extract(place, "/owner_id=([^/]+)/", 1)
+    files = spark.read.option("recursiveFileLookup", "true").schema("value string").text(path, wholetext=not lines)
+    return files.select(F.when(owner != "", F.url_decode(owner)).otherwise("me").alias("owner_id"),
+                        F.element_at(F.split(place, "/"), -1).alias("file"), F.col("value").alias("doc"))
+
+
+def _stamp(path: str) -> Column:
+    return F.try_to_timestamp(F.try_variant_get("v", path, "string")).cast("timestamp_ntz")
 
 
 def _judged(raw_packs: DataFrame) -> DataFrame:
-    """raw_packs + v (parsed) + _good; the model's stricter name rule applies on top of validation."""
+    """raw_packs + v (parsed) + good; the model's stricter name rule and readable dates come on top of validation."""
     named = F.coalesce(F.try_variant_get("v", "$.name", "string").rlike(NAME_RULE), F.lit(False))
-    return (with_variant(raw_packs)
-            .withColumn("_good", (F.size(violations()) == 0) & named))
+    dated = F.lit(True)
+    for path in ("$.meta.created_at", "$.meta.updated_at"):
+        dated = dated & (F.try_variant_get("v", path, "variant").isNull() | F.is_variant_null(F.try_variant_get("v", path, "variant"))
+                         | _stamp(path).isNotNull())
+    return with_variant(raw_packs).withColumn("good", (F.size(violations()) == 0) & named & dated)
+
+
+def judge_packs(raw_packs: DataFrame) -> DataFrame:
+    """raw_packs + good: one relation for both sides, parsed and validated once; bad ones are the quarantine."""
+    return _judged(raw_packs).drop("v")
 
 
 def split_valid_packs(raw_packs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(good, quarantine)."""
-    judged = _judged(raw_packs)
-    return tuple(judged.where(cond).select(*raw_packs.columns) for cond in (F.col("_good"), ~F.col("_good")))
+    """(good, quarantine). Each side reads the documents; to read them once, persist judge_packs and filter it."""
+    judged = judge_packs(raw_packs)
+    return tuple(judged.where(cond).select(*raw_packs.columns) for cond in (F.col("good"), ~F.col("good")))
 
 
 def read_packs(raw_packs: DataFrame, as_of, owner: str = "me") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """packs, facts, rules of the valid documents, with the model's defaults."""
+    """packs, facts, rules of the valid documents, with the model's defaults.
+
+    A pack is one document, or the numbered parts that write_packs makes (meta.part). Of several documents for one
+    part of a pack the first by file name counts, as a whole, so positions stay unique.
+    """
     if "owner_id" not in raw_packs.columns:
         raw_packs = raw_packs.withColumn("owner_id", F.lit(owner))
 
@@ -42,11 +62,16 @@ def read_packs(raw_packs: DataFrame, as_of, owner: str = "me") -> tuple[DataFram
         return F.try_variant_get("v", path, kind)
 
     def stamp(path):
-        return F.coalesce(F.try_to_timestamp(get(path)).cast("timestamp_ntz"), as_ts(as_of))
-
-    docs = _judged(raw_packs).where("_good").select("owner_id", get("$.name").alias("pack"), "v")
+        return F.coalesce(_stamp(path), as_ts(as_of))
+
+    file = F.col("file") if "file" in raw_packs.columns else F.lit("")
+    docs = _judged(raw_packs).where("good").select(
+        "owner_id", get("$.name").alias("pack"), F.coalesce(get("$.meta.part", "bigint"), F.lit(0)).alias("part"),
+        F.struct(file.alias("file"), F.xxhash64("doc").alias("print")).alias("origin"), "v")
+    first = docs.groupBy("owner_id", "pack", "part").agg(F.min("origin").alias("origin"))
+    docs = docs.join(first, ["owner_id", "pack", "part", "origin"], "left_semi")
     packs = docs.select(
-        "owner_id", "pack", get("$.scope").alias("scope"),
+        "owner_id", "pack", "part", get("$.scope").alias("scope"),
         F.coalesce(get("$.meta.schema_version"), F.lit("0.1.0")).alias("schema_version"),
         stamp("$.meta.created_at").alias("created_at"), stamp("$.meta.updated_at").alias("updated_at"),
         get("$.meta.description").alias("description"),
@@ -71,6 +96,8 @@ def read_packs(raw_packs: DataFrame, as_of, owner: str = "me") -> tuple[DataFram
     rules = elements("rules").select(
         "owner_id", "pack", pos, item("instruction").alias("instruction"),
         F.coalesce(F.try_variant_get(F.col("e"), "$.priority", "int"), F.lit(0)).alias("priority"))
+    lead = packs.groupBy("owner_id", "pack").agg(F.min("part").alias("part"))
+    packs = packs.join(lead, ["owner_id", "pack", "part"], "left_semi").drop("part")
     return packs.dropDuplicates(["owner_id", "pack"]), facts, rules
 
 
@@ -79,11 +106,10 @@ def pack_documents(packs: DataFrame, facts: DataFrame, rules: DataFrame, as_of,
     """(owner_id, pack, part, doc): JSON documents with defaults left out.
 
     Facts and rules are grouped by (pack, block of positions): a block is bounded, and part 0
-    always exists. Each further part repeats the head and keeps its items' positions.
+    always exists. Every part has the head with its number, and every item its position.
     """
     part = F.floor(F.col("pos") / part_rows).cast("bigint")
     keys = ["owner_id", "pack", "part"]
-    later_pos = F.when(F.col("part") > 0, F.col("pos")).alias("pos")
 
     def iso(c):
         return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
@@ -94,7 +120,7 @@ def pack_documents(packs: DataFrame, facts: DataFrame, rules: DataFrame, as_of,
     def fact_json(value):
         return F.to_json(F.struct("key", value.alias("value"), unless("type", "context"),
                                   unless("confidence", "high"), unless("source", ""),
-                                  iso("updated_at").alias("updated_at"), later_pos))
+                                  iso("updated_at").alias("updated_at"), "pos"))
 
     def bundle(df, text, out):
         rows = F.array_sort(F.collect_list(F.struct("pos", text.alias("j"))))
@@ -105,15 +131,14 @@ def pack_documents(packs: DataFrame, facts: DataFrame, rules: DataFrame, as_of,
     fact_parts = bundle(facts, F.when(F.col("value_is_list"), fact_json(F.col("value_items")))
                         .otherwise(fact_json(F.get("value_items", F.lit(0)))), "facts")
     rule_parts = bundle(rules, F.to_json(F.struct(
-        "instruction", F.when(F.col("priority") > 0, F.col("priority")).alias("priority"), later_pos)), "rules")
+        "instruction", F.when(F.col("priority") > 0, F.col("priority")).alias("priority"), "pos")), "rules")
     tags = F.col("tags") if "tags" in packs.columns else F.array().cast("array<string>")
     head = F.to_json(F.struct(F.col("pack").alias("name"), "scope", F.struct(
         "schema_version", iso("created_at").alias("created_at"), iso(as_ts(as_of)).alias("updated_at"),
-        unless("description", ""), F.when(F.size(tags) > 0, tags).alias("tags")).alias("meta")))
-    heads = packs.select("owner_id", "pack", head.alias("head"))
+        unless("description", ""), F.when(F.size(tags) > 0, tags).alias("tags"), "part").alias("meta")))
     parts = (fact_parts.select(*keys).unionByName(rule_parts.select(*keys))
              .unionByName(packs.select("owner_id", "pack", F.lit(0).cast("bigint").alias("part"))).distinct())
-    whole = (parts.join(heads, ["owner_id", "pack"]).join(fact_parts, keys, "left")
+    whole = (parts.join(packs, ["owner_id", "pack"]).withColumn("head", head).join(fact_parts, keys, "left")
              .join(rule_parts, keys, "left"))
     open_head = F.substring(F.col("head"), F.lit(1), F.length("head") - 1)
     return whole.select(*keys, F.concat(open_head, F.coalesce("facts", F.lit("")),
@@ -121,6 +146,6 @@ def pack_documents(packs: DataFrame, facts: DataFrame, rules: DataFrame, as_of,
 
 
 def write_packs(packs: DataFrame, facts: DataFrame, rules: DataFrame, path: str, as_of) -> None:
-    """One JSON line per document, partitioned by owner."""
+    """One JSON document per line, partitioned by owner; raw_packs_from_json(.., lines=True) reads them."""
     (pack_documents(packs, facts, rules, as_of).select("owner_id", F.col("doc").alias("value"))
      .write.mode("overwrite").partitionBy("owner_id").text(path))
