@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 SKIP = 65535
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from factbase.llm.blocks import bucket_count, dealt, ids_of, in_order, pack, strings, unpack
-from factbase.llm.words import Words, runs
+from factbase.llm.words import Words, pieces, runs
 
 ANCHOR = 8
 SPLIT = 100_000
@@ -190,17 +190,21 @@ def _kept(window: int, as_is: bool, names: list[str], kinds: list):
         gone = np.cumsum(edge)[:n] > 0
         removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[words.first])
         # the kept words, each followed by a space; the last space of a text is left out
-        kept = np.flatnonzero(~gone)
-        size = words.end[kept] - words.start[kept] + 1
-        place = runs(words.start[kept], size)
-        place[np.cumsum(size) - 1] = len(words.data)
-        data = np.append(words.data, np.uint8(32))[place]
-        first = np.searchsorted(kept, words.first)
-        ends = np.concatenate([[0], np.cumsum(size)])[first]
-        full = np.diff(first) > 0
-        data = np.delete(data, ends[1:][full] - 1)
-        ends = ends - np.concatenate([[0], np.cumsum(full)])
-        text = strings(data, ends)
+        parts, sizes = [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)]
+        for a, b in pieces(bucket.column("text"), 1 << 19):
+            low, high = words.first[a], words.first[b]
+            kept = low + np.flatnonzero(~gone[low:high])
+            size = words.end[kept] - words.start[kept] + 1
+            place = runs(words.start[kept], size)
+            last = np.cumsum(size) - 1
+            data = words.data[np.minimum(place, len(words.data) - 1)] if len(place) else parts[0]
+            data[last] = 32
+            first = np.searchsorted(kept, words.first[a: b + 1])
+            ends = np.concatenate([[0], last + 1])[first]
+            full = np.diff(first) > 0
+            parts.append(np.delete(data, ends[1:][full] - 1))
+            sizes.append(np.diff(ends) - full)
+        text = strings(np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]))
         if as_is:
             text = pa.compute.if_else(pa.array(removed == 0), bucket.column("text").combine_chunks().cast(pa.string()), text)
         edges = np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))
