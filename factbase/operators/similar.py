@@ -27,6 +27,7 @@ from factbase.functions.values import norm_value, quality, running_max_before
 from factbase.session import cut_lineage
 
 THRESHOLD = 0.75  # fixed value
+SETTLE_EDGES = 1_000_000  # edges of a pack that one task walks
 CHUNK, CHUNK_CHARS = 1000, 200_000  # texts and characters in a chunk; long texts make smaller chunks
 PACK = ["owner_id", "pack"]
 NODE = ["owner_id", "pack", "pos"]
@@ -268,8 +269,22 @@ def _split_dominated(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return f.where(~F.col("_loses")).drop("_loses"), f.where(F.col("_loses")).drop("_loses")
 
 
-def _fact_edges(f: DataFrame, facts: DataFrame, threshold: float, chunk: int) -> DataFrame:
-    """(owner, pack, a, b, better): similar facts with different keys, a before b."""
+def _stairs(f: DataFrame, forward: bool) -> DataFrame:
+    """Of the facts of one text and key those that are better than all before them (forward) or all after them.
+
+    Forward: an earlier fact that is at least as good removes whatever a later one removes, and stands whenever the
+    later one does, so only these need to be looked at as removers. Backward: of several later facts the best one is
+    the hardest to remove, so only these need to be looked at as the better ones that a fact may meet.
+    """
+    keys = [*PACK, "text_id", "key"]
+    f = f.withColumn("_at", F.col("pos") if forward else -F.col("pos"))
+    f = running_max_before(f, keys, "_at", "q", "_best")
+    return f.where(F.col("_best").isNull() | (F.col("q") > F.col("_best"))).drop("_at", "_best")
+
+
+def _fact_edges(f: DataFrame, facts: DataFrame, threshold: float, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """(kills, beats) as (owner, pack, a, b): similar facts with different keys, a before b; a at least as good as b,
+    or b better. Copies meet only the stairs of other copies, so a hot text gives edges in proportion to its copies."""
     pairs = similar_texts(facts, threshold, chunk)
     ahead = pairs.where(F.col("similarity") >= threshold).select(*PACK, "text_a", "text_b")
     back = (pairs.where(F.col("reverse") >= threshold)
@@ -277,45 +292,77 @@ def _fact_edges(f: DataFrame, facts: DataFrame, threshold: float, chunk: int) ->
     several = (f.groupBy(*PACK, "text_id").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
                .where(F.col("lo") != F.col("hi"))
                .select(*PACK, F.col("text_id").alias("text_a"), F.col("text_id").alias("text_b")))
-    links = ahead.unionByName(back).unionByName(several)
-    side = lambda s: f.select(*PACK, F.col("text_id").alias(f"text_{s}"), F.col("pos").alias(s),
-                              F.col("key").alias(f"key_{s}"), F.col("q").alias(f"q_{s}"))
-    return (links.join(side("a"), [*PACK, "text_a"]).join(side("b"), [*PACK, "text_b"])
-            .where((F.col("a") < F.col("b")) & (F.col("key_a") != F.col("key_b")))
-            .select(*PACK, "a", "b", (F.col("q_a") >= F.col("q_b")).alias("better")))
+    links = cut_lineage(ahead.unionByName(back).unionByName(several))
 
+    def side(df: DataFrame, s: str) -> DataFrame:
+        return df.select(*PACK, F.col("text_id").alias(f"text_{s}"), F.col("pos").alias(s),
+                         F.col("key").alias(f"key_{s}"), F.col("q").alias(f"q_{s}"))
 
-def similar_losers(facts: DataFrame, threshold: float = THRESHOLD, chunk: int = CHUNK) -> DataFrame:
-    """(owner, pack, pos) of facts that lose against a similar fact.
+    def met(first: DataFrame, second: DataFrame, better) -> DataFrame:
+        both = links.join(side(first, "a"), [*PACK, "text_a"]).join(side(second, "b"), [*PACK, "text_b"])
+        return both.where((F.col("a") < F.col("b")) & (F.col("key_a") != F.col("key_b")) & better).select(*PACK, "a", "b")
 
-    The rule walks a pack in order: a fact that still stands removes every later, similar fact
-    that is not better, and is removed itself by a better one that still stands (it then goes on
-    to compare). "Stands at its turn" is settled for all packs at once in rounds: a fact stands
-    when all facts that could remove it have fallen, and falls when one of them stands.
+    return (met(_stairs(f, True), f, F.col("q_a") >= F.col("q_b")), met(f, _stairs(f, False), F.col("q_a") < F.col("q_b")))
+
+
+def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The facts of a pack that may be removed, in order: one stands when none of its removers stands."""
+    stands: dict[int, bool] = {}
+    pdf = pdf.sort_values("pos", kind="stable")
+    for pos, sources in pdf.groupby("pos", sort=False)["src"]:
+        stands[pos] = not any(stands.get(src, True) for src in sources)
+    out = pd.DataFrame({"pos": list(stands), "stands": list(stands.values())})
+    return out.assign(owner_id=pdf["owner_id"].iloc[0], pack=pdf["pack"].iloc[0])[["owner_id", "pack", "pos", "stands"]]
+
+
+def _settle(kills: DataFrame) -> DataFrame:
+    """(owner, pack, pos, stands) of all facts that kills (owner, pack, src, pos) name.
+
+    A pack with up to SETTLE_EDGES edges is walked in order by one task, so a long chain costs no rounds. The edges of
+    larger packs are settled for all of them at once in rounds: a fact stands when all that could remove it have
+    fallen, and falls when one of them stands.
     """
-    todo, sure = _split_dominated(facts)
-    edges = cut_lineage(_fact_edges(todo, facts, threshold, chunk))
-    kills = edges.where("better").select(*PACK, F.col("a").alias("src"), F.col("b").alias("pos"))
-    ends = edges.select(*PACK, F.col("a").alias("pos")).unionByName(edges.select(*PACK, F.col("b").alias("pos")))
-    state = (ends.distinct().join(kills.select(*NODE).distinct().withColumn("open", F.lit(True)), NODE, "left")
-             .select(*NODE, F.when(F.col("open"), F.lit(None).cast("boolean")).otherwise(F.lit(True)).alias("stands")))
-    state = cut_lineage(state)
+    size = kills.groupBy(*PACK).agg(F.count(F.lit(1)).alias("_n"))
+    small, large = (kills.join(size.where(c).select(*PACK), PACK, "left_semi")
+                    for c in (F.col("_n") <= SETTLE_EDGES, F.col("_n") > SETTLE_EDGES))
+    free = kills.select(*PACK, F.col("src").alias("pos")).distinct().join(kills.select(*NODE).distinct(), NODE, "left_anti")
+    walked = small.groupBy(*PACK).applyInPandas(_walk, "owner_id string, pack string, pos bigint, stands boolean")
+    done = free.withColumn("stands", F.lit(True)).unionByName(walked)
+    if large.isEmpty():
+        return cut_lineage(done)
+    state = large.select(*NODE).distinct().withColumn("stands", F.lit(None).cast("boolean"))
+    state = cut_lineage(state.unionByName(free.join(size.where(F.col("_n") > SETTLE_EDGES).select(*PACK), PACK, "left_semi")
+                                          .withColumn("stands", F.lit(True))))
     while not state.where(F.col("stands").isNull()).isEmpty():
         source = state.select(*PACK, F.col("pos").alias("src"), F.col("stands").alias("src_stands"))
-        seen = kills.join(source, [*PACK, "src"]).groupBy(*NODE).agg(
+        seen = large.join(source, [*PACK, "src"]).groupBy(*NODE).agg(
             F.bool_or(F.coalesce("src_stands", F.lit(False))).alias("hit"),
             F.bool_and(F.coalesce(~F.col("src_stands"), F.lit(False))).alias("clear"))
         state = cut_lineage(state.join(seen, NODE, "left").select(
             *NODE, F.when(F.col("stands").isNotNull(), F.col("stands")).when(F.col("hit"), False)
             .when(F.col("clear"), True).alias("stands")))
+    return cut_lineage(done.unionByName(state).distinct())
+
+
+def similar_losers(facts: DataFrame, threshold: float = THRESHOLD, chunk: int = CHUNK) -> DataFrame:
+    """(owner, pack, pos) of facts that lose against a similar fact.
+
+    The rule walks a pack in order: a fact that still stands removes every later, similar fact
+    that is not better, and is removed itself by a better one that still stands (it then goes on
+    to compare).
+    """
+    todo, sure = _split_dominated(facts)
+    kills, beats = _fact_edges(todo, facts, threshold, chunk)
+    kills = cut_lineage(kills.select(*PACK, F.col("a").alias("src"), F.col("b").alias("pos")))
+    state = _settle(kills)
     standing = state.where("stands").select(*PACK, F.col("pos").alias("src"))
+    down = state.where(~F.col("stands")).select(*NODE)
     fallen = (kills.join(standing, [*PACK, "src"], "left_semi").groupBy(*NODE)
               .agg(F.min("src").alias("at")).withColumnRenamed("pos", "b"))
-    beaten = (edges.where(~F.col("better")).join(standing.withColumnRenamed("src", "a"), [*PACK, "a"], "left_semi")
+    beaten = (beats.join(down.withColumnRenamed("pos", "a"), [*PACK, "a"], "left_anti")
               .join(fallen, [*PACK, "b"], "left")
               .where(F.col("at").isNull() | (F.col("at") >= F.col("a"))).select(*PACK, F.col("a").alias("pos")))
-    return (state.where(~F.col("stands")).select(*NODE).unionByName(beaten)
-            .unionByName(sure.select(*NODE)).distinct())
+    return down.unionByName(beaten).unionByName(sure.select(*NODE)).distinct()
 
 
 def drop_similar_facts(facts: DataFrame, threshold: float = THRESHOLD, chunk: int = CHUNK) -> DataFrame:

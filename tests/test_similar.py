@@ -128,3 +128,38 @@ def test_exact_duplicates_keep_best(spark):
     got = {(r.removed_from, r.pos, r.kept_in) for r in C.exact_duplicates(df).collect()}
     assert got == {("dev", 0, "work"), ("work", 0, "work")}
     assert C.drop_exact_duplicates(df).count() == 1
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_losers_by_rounds_and_by_walk(spark, monkeypatch, most):
+    monkeypatch.setattr(similar, "SETTLE_EDGES", most)
+    facts = make_facts(11, False)
+    got = {tuple(r) for r in similar.similar_losers(spark.createDataFrame(facts, FACTS)).collect()}
+    assert got == losers_by_rule(facts)
+
+
+def test_copies_of_a_hot_text_give_few_edges(spark):
+    rng = random.Random(4)
+    n = 3000
+    facts = [dict(owner_id="a", pack="p", pos=i, key=f"k{i % 3}", value_items=["the same text"], value_is_list=False, type="skill",
+                  confidence=rng.choice(list(RANK)), source=None, updated_at=datetime(2024, 1, 1) + timedelta(days=rng.randrange(300)))
+             for i in range(n)]
+    df = spark.createDataFrame(facts, FACTS)
+    todo, sure = similar._split_dominated(df)
+    assert sure.count() == 0
+    kills, beats = similar._fact_edges(todo, df, 0.75, 1000)
+    assert kills.count() + beats.count() < 60 * n  # every copy meets stairs only; all pairs would be 1000 n
+    got = {r.pos for r in similar.similar_losers(df).collect()}
+    few = facts[:300]
+    short = {tuple(r) for r in similar.similar_losers(spark.createDataFrame(few, FACTS)).collect()}
+    assert short == losers_by_rule(few) and len(got) > n - 30
+
+
+def test_long_chain_needs_no_rounds(spark, monkeypatch):
+    """Each fact is similar to its neighbours only; the walk settles a chain at once."""
+    calls = []
+    cut = similar.cut_lineage
+    monkeypatch.setattr(similar, "cut_lineage", lambda df: calls.append(1) or cut(df))
+    kills = spark.range(1000).selectExpr("'a' as owner_id", "'p' as pack", "id as src", "id + 1 as pos")
+    state = {r.pos: r.stands for r in similar._settle(kills).collect()}
+    assert state == {i: i % 2 == 0 for i in range(1001)} and len(calls) == 1
