@@ -83,6 +83,7 @@ FRENCH_SHARE, CODE_SHARE = 0.2, 0.3
 CODE_MARKS = ["```", "def ", "function ", "import "]
 BREVITY = [(50, "Very concise — short messages"), (150, "Concise — moderate length messages")]
 LONG, LONG_TEXT = 500, "Detailed — long, thorough messages"
+FRENCH_TEXT, CODE_TEXT = "Uses French frequently", "Frequently shares code in conversations"
 FLAT_SOURCE = "claude-import"
 
 FACT = ["owner_id", "pos", "key", "value_items", "value_is_list", "type", "confidence", "source"]
@@ -237,9 +238,9 @@ def message_style(messages: DataFrame) -> DataFrame:
     rows = F.array(
         F.struct(F.lit(3).alias("p"), F.lit("style.brevity").alias("k"), brevity.alias("v")),
         F.struct(F.lit(4).alias("p"), F.lit("style.language").alias("k"),
-                 F.when(F.col("french") > F.col("n") * FRENCH_SHARE, "Uses French frequently").alias("v")),
+                 F.when(F.col("french") > F.col("n") * FRENCH_SHARE, FRENCH_TEXT).alias("v")),
         F.struct(F.lit(5).alias("p"), F.lit("style.code_heavy").alias("k"),
-                 F.when(F.col("code") > F.col("n") * CODE_SHARE, "Frequently shares code in conversations").alias("v")))
+                 F.when(F.col("code") > F.col("n") * CODE_SHARE, CODE_TEXT).alias("v")))
     out = per.select("owner_id", F.inline(rows)).where(F.col("v").isNotNull())
     return _fact(out, F.col("p"), F.col("k"), F.array("v"), False, "style", "low", FLAT_SOURCE)
 
@@ -250,6 +251,31 @@ def message_count(messages: DataFrame) -> DataFrame:
 
 
 def import_chat_flat(messages: DataFrame) -> DataFrame:
-    """All facts of the flat import, in stored order."""
-    return reduce(DataFrame.unionByName, [f(messages) for f in (
-        mentioned_languages, mentioned_frameworks, topic_frequency, message_style, message_count)])
+    """All facts of the flat import, in stored order, from one pass over the messages."""
+    low = messages.select("owner_id", "text", F.lower("text").alias("_low"))
+    flags = {f"_{kind}{i}": F.bool_or(F.col("_low").rlike("(?U)" + p)) for kind, table in (("l", MENTIONED_LANGUAGES), ("f", MENTIONED_FRAMEWORKS))
+             for i, p in enumerate(table.values())}
+    sums = {f"_s{i}": F.sum(F.regexp_count("_low", F.lit("(?U)" + p))) for i, p in enumerate(TOPIC_PATTERNS.values())}
+    per = low.groupBy("owner_id").agg(
+        *[c.alias(n) for n, c in {**flags, **sums}.items()], F.avg(F.length("text")).alias("avg_len"), F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("_low").rlike(FRENCH)).alias("french"), F.count_if(contains_any(F.col("text"), CODE_MARKS)).alias("code"))
+
+    def named(kind: str, table: dict[str, str]) -> Column:
+        return F.filter(F.array(*[F.when(F.col(f"_{kind}{i}"), F.lit(n)) for i, n in enumerate(table)]), lambda x: x.isNotNull())
+
+    hits = F.array(*[F.struct((-F.col(f"_s{i}")).alias("less"), F.lit(i).alias("n"), F.lit(t).alias("hit")) for i, t in enumerate(TOPIC_PATTERNS)])
+    topics = F.transform(F.slice(F.array_sort(F.filter(hits, lambda x: x["less"] <= -MIN_TOPIC_HITS)), 1, TOP_TOPIC_HITS), lambda x: x["hit"])
+    avg = F.col("avg_len")
+    brevity = (F.when(avg < BREVITY[0][0], BREVITY[0][1]).when(avg < BREVITY[1][0], BREVITY[1][1]).when(avg > LONG, LONG_TEXT))
+    one = lambda v: F.array(v.cast("string"))
+    facts = [("languages.mentioned", named("l", MENTIONED_LANGUAGES), True, "skill", "medium"),
+             ("frameworks.mentioned", named("f", MENTIONED_FRAMEWORKS), True, "skill", "medium"),
+             ("topics.frequent", topics, True, "context", "medium"), ("style.brevity", one(brevity), False, "style", "low"),
+             ("style.language", one(F.when(F.col("french") > F.col("n") * FRENCH_SHARE, FRENCH_TEXT)), False, "style", "low"),
+             ("style.code_heavy", one(F.when(F.col("code") > F.col("n") * CODE_SHARE, CODE_TEXT)), False, "style", "low"),
+             ("import.message_count", one(F.col("n")), False, "context", "high")]
+    rows = F.array(*[F.struct(F.lit(i).cast("bigint").alias("pos"), F.lit(key).alias("key"), items.alias("value_items"), F.lit(many).alias("value_is_list"),
+                              F.lit(kind).alias("type"), F.lit(sure).alias("confidence"), F.lit(FLAT_SOURCE).alias("source"))
+                     for i, (key, items, many, kind, sure) in enumerate(facts)])
+    full = lambda x: (F.size(x["value_items"]) > 0) & F.get(x["value_items"], F.lit(0)).isNotNull()
+    return per.select("owner_id", F.inline(F.filter(rows, full)))

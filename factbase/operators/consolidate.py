@@ -32,27 +32,29 @@ def _keepers(facts: DataFrame) -> DataFrame:
         F.max_by(place, F.struct(quality().alias("q"), place.alias("at"))).alias("best"))
 
 
+def _losing_copies(facts: DataFrame) -> DataFrame:
+    """(owner_id, pack, pos, kept_in, kept_pos) of every copy but the best one, without values."""
+    slim = with_norm_id(facts).select(*DUP, "pack", "pos", "confidence", "updated_at")
+    groups = _keepers(slim).where(F.col("copies") > 1)
+    return (slim.join(groups, DUP)
+              .where((F.col("pack") != F.col("best.pack")) | (F.col("pos") != F.col("best.pos")))
+              .select("owner_id", "pack", "pos", F.col("best.pack").alias("kept_in"), F.col("best.pos").alias("kept_pos")))
+
+
 def exact_duplicates(facts: DataFrame) -> DataFrame:
     """Every copy but the best one: where it is removed from and where the value stays.
 
     The hot (key, value) groups are shuffled without their values; the values of the losers are
     fetched by (owner, pack, pos), which is unique and so spreads evenly.
     """
-    slim = with_norm_id(facts).select(*DUP, "pack", "pos", "confidence", "updated_at")
-    groups = _keepers(slim).where(F.col("copies") > 1)
-    losers = (slim.join(groups, DUP)
-              .where((F.col("pack") != F.col("best.pack")) | (F.col("pos") != F.col("best.pos")))
-              .select("owner_id", "pack", "pos", F.col("best.pack").alias("kept_in"), F.col("best.pos").alias("kept_pos")))
+    losers = _losing_copies(facts)
     return (facts.join(losers, ["owner_id", "pack", "pos"])
             .select("owner_id", "key", "pos", value_text().alias("value"), F.col("pack").alias("removed_from"),
                     "kept_in", "kept_pos"))
 
 
 def drop_exact_duplicates(facts: DataFrame) -> DataFrame:
-    keyed = with_norm_id(facts)
-    return (keyed.join(_keepers(keyed), DUP)
-            .where((F.col("pack") == F.col("best.pack")) & (F.col("pos") == F.col("best.pos")))
-            .select(*facts.columns))
+    return facts.join(_losing_copies(facts).select("owner_id", "pack", "pos"), ["owner_id", "pack", "pos"], "left_anti")
 
 
 def contradictory_keys(facts: DataFrame) -> DataFrame:

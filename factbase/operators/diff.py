@@ -11,9 +11,9 @@ KEYS = ["owner_id", "pack", "key"]
 
 
 def _last_by_key(facts: DataFrame, side: str) -> DataFrame:
-    """A repeated key counts with its last fact."""
-    return facts.groupBy(*KEYS).agg(
-        F.max_by(F.struct("value_items", "value_is_list", "pos"), "pos").alias(side))
+    """A repeated key counts with its last fact. Places are settled first, so values are moved once and never sorted."""
+    last = facts.groupBy(*KEYS).agg(F.max("pos").alias("pos"))
+    return facts.join(last, [*KEYS, "pos"], "left_semi").select(*KEYS, F.struct("value_items", "value_is_list", "pos").alias(side))
 
 
 def _same_value(a: str, b: str) -> F.Column:

@@ -87,14 +87,29 @@ def check_secrets(findings: DataFrame) -> DataFrame:
     return _issue(loud, level, "secret", detail=F.concat_ws(" in ", "pattern", "key"))
 
 
+def _several(df: DataFrame, checks: list[tuple]) -> DataFrame:
+    """One pass for checks (condition, severity, code, detail, number) on rows of packs."""
+    none = F.lit(None)
+    issues = [F.when(cond, F.struct(F.lit(severity).alias("severity"), F.col("pack").alias("pack"), F.lit(code).alias("code"),
+                                    (none if detail is None else detail).cast("string").alias("detail"),
+                                    (none if number is None else number).cast("bigint").alias("number")))
+              for cond, severity, code, detail, number in checks]
+    return df.select("owner_id", F.inline(F.filter(F.array(*issues), lambda x: x.isNotNull())))
+
+
 def diagnose(facts: DataFrame, rules: DataFrame, packs: DataFrame, as_of,
              owners: DataFrame | None = None) -> DataFrame:
     """All checks. Owners listed in `owners` that have no pack get a single warning."""
-    sizes = list_packs(packs, facts, rules)
-    checks = [
-        check_pack_sizes(sizes), check_empty_packs(sizes), check_duplicate_facts(facts),
-        check_missing_development(packs), check_missing_description(packs), check_stale_packs(packs, as_of),
-        check_no_rules(sizes), check_secrets(audit.audit_packs(facts, rules, packs))]
+    n_facts, n_rules = F.col("n_facts"), F.col("n_rules")
+    sizes = _several(list_packs(packs, facts, rules), [
+        (n_facts > MAX_FACTS, "warning", "too_many_facts", None, n_facts), (n_rules > MAX_RULES, "info", "too_many_rules", None, n_rules),
+        ((n_facts == 0) & (n_rules == 0), "warning", "empty_pack", None, None),
+        ((n_facts > 0) & (n_rules == 0), "info", "no_rules", None, None)])
+    heads = _several(packs, [
+        (F.coalesce("description", F.lit("")) == "", "info", "no_description", None, None),
+        (F.col("updated_at") < as_ts(as_of) - F.make_dt_interval(F.lit(STALE_DAYS)), "info", "stale_pack", None, age_days(as_of, "updated_at"))])
+    checks = [sizes, heads, check_duplicate_facts(facts), check_missing_development(packs),
+              check_secrets(audit.audit_packs(facts, rules, packs))]
     if owners is not None:
         bare = owners.select("owner_id").distinct().join(packs.select("owner_id"), "owner_id", "left_anti")
         checks.append(_issue(bare, "warning", "no_packs", pack=F.lit(NO_PACK)))

@@ -32,16 +32,16 @@ NO_CARD = "No user identity configured."
 NO_PROFILE = "No user context available."
 
 
-def _lines(df: DataFrame, block: int, line: Column, ord: str | None = None, ord_n: Column | None = None,
+def _lines(df: DataFrame, block: int | Column, line: Column, ord: str | None = None, ord_n: Column | None = None,
            has_pos: bool = True) -> DataFrame:
     return df.select(
-        "owner_id", "pack", F.lit(block).alias("block"),
+        "owner_id", "pack", (block if isinstance(block, Column) else F.lit(block)).alias("block"),
         (F.col(ord) if ord else F.lit("")).alias("ord"),
         (F.lit(0) if ord_n is None else ord_n).cast("bigint").alias("ord_n"),
         (F.col("pos") if has_pos else F.lit(0).cast("bigint")).alias("pos"), line.alias("line"))
 
 
-def _head(df: DataFrame, block: int, line: Column) -> DataFrame:
+def _head(df: DataFrame, block: int | Column, line: Column) -> DataFrame:
     return _lines(df, block, line, has_pos=False)
 
 
@@ -177,22 +177,20 @@ def export_identity_md(packs: DataFrame, facts: DataFrame, rules: DataFrame) ->
     for i, name in enumerate(names):
         section = F.when(F.col("type") == name, i).otherwise(section)
     mine = _of(facts, packs).withColumn("_s", section)
-    used = mine.select(*PACK, "_s").distinct()
     ruled = _of(rules, packs)
-    with_rules = ruled.select(*PACK).distinct()
-    parts = [_head(packs, 0, F.concat(title, under, F.lit("\n")))]
-    for i in range(len(names) + 1):
-        base = 10 * (i + 1)
-        here, shown = mine.where(F.col("_s") == i), used.where(F.col("_s") == i)
-        heading = SECTIONS[i][1] if i < len(names) else None
-        if heading:
-            parts.append(_head(shown, base, F.lit(heading)))
-        bold = F.concat(F.lit("- **"), "key", F.lit("**: "), value_text())
-        parts.append(_lines(here, base + 1, bold if i == 0 else _entry()))
-        parts.append(_head(shown, base + 2, F.lit("")))
-    parts += [_head(with_rules, 90, F.lit("**Rules** (sorted by priority):")), _by_priority(ruled, 91, tagged=True),
-              _head(with_rules, 92, F.lit(""))]
-    return _union(parts)
+    bold = F.concat(F.lit("- **"), "key", F.lit("**: "), value_text())
+    entries = _lines(mine, F.col("_s") * 10 + 11, F.when(F.col("_s") == 0, bold).otherwise(_entry()))
+    headings = F.lit(None).cast("string")
+    for i, (_, heading) in enumerate(SECTIONS):
+        headings = F.when(F.col("_s") == i, F.lit(heading)).otherwise(headings)
+    frames = F.array(F.struct((F.col("_s") * 10 + 10).alias("_b"), headings.alias("_l")),
+                     F.struct((F.col("_s") * 10 + 12).alias("_b"), F.lit("").alias("_l")))
+    used = mine.select(*PACK, "_s").distinct().select(*PACK, F.inline(frames)).where(F.col("_l").isNotNull())
+    rule_frames = F.array(F.struct(F.lit(90).alias("_b"), F.lit("**Rules** (sorted by priority):").alias("_l")),
+                          F.struct(F.lit(92).alias("_b"), F.lit("").alias("_l")))
+    framed = used.unionByName(ruled.select(*PACK).distinct().select(*PACK, F.inline(rule_frames)))
+    return _union([_head(packs, 0, F.concat(title, under, F.lit("\n"))), entries, _head(framed, F.col("_b"), F.col("_l")),
+                   _by_priority(ruled, 91, tagged=True)])
 
 
 def export_agents_md(packs: DataFrame, facts: DataFrame, rules: DataFrame) -> DataFrame:
