@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factbase.llm import oracles
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -63,20 +65,6 @@ def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-OP6_SQL = """
-with v as (
-    select vec_id, list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as q from embeddings
-    where vec_id is not null and embedding is not null
-      and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
-s as (
-    select a.vec_id as query_id, b.vec_id,
-           cast(list_sum(list_transform(generate_series(1, len(a.q)), i -> a.q[i] * b.q[i])) as bigint) as score
-    from v a join v b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
-r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
-select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 5
-"""
-
-
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the component of its near copies."""
     from factbase.llm.ngram_join import similar_groups
@@ -105,12 +93,12 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": (op1_sharding, None),
     "op2_decontaminate": (op2_decontaminate, None),
-    "op3_substrings": (op3_substrings, None),
+    "op3_substrings": (op3_substrings, oracles.SUBSTRINGS),
     "op5_pages": (op5_pages, None),
-    "op6_top_k": (op6_top_k, OP6_SQL),
-    "op7_ngram_join": (op7_ngram_join, None),
-    "op8_chat": (op8_chat, None),
-    "op9_urls": (op9_urls, None),
+    "op6_top_k": (op6_top_k, oracles.TOP_K),
+    "op7_ngram_join": (op7_ngram_join, oracles.NGRAM_JOIN),
+    "op8_chat": (op8_chat, oracles.CHAT),
+    "op9_urls": (op9_urls, oracles.urls(RULES)),
     "op4_language": (op4_language, None),
     "op10_bpe": (op10_bpe, None),
 }
