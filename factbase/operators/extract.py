@@ -153,6 +153,21 @@ def assemble_extracted_packs(stats: DataFrame, summaries: DataFrame, name: str =
         F.array(F.lit("extracted"), F.lit("llm"), F.lit(scope)).alias("tags"))
 
 
+DEFAULT_PRIORITY = 5  # fixed value
+
+
+def extracted_pack_rules(rules: DataFrame, name: str = "extracted") -> DataFrame:
+    """Merged rules as rules of the extracted pack, with the default priority where the model gave none."""
+    return merge_extracted_rules(rules).select("owner_id", F.lit(name).alias("pack"), "pos", "instruction",
+                                               F.coalesce("priority", F.lit(DEFAULT_PRIORITY)).alias("priority"))
+
+
+def extracted_pack_facts(facts: DataFrame, name: str = "extracted") -> DataFrame:
+    """Merged facts as facts of the extracted pack, without values: merged_items has these by key, as rows."""
+    return extracted_defaults(merge_extracted_facts(facts)).select(
+        "owner_id", F.lit(name).alias("pack"), F.col("first_pos").alias("pos"), "key", "value_is_list", "type", "confidence", "source")
+
+
 def extracted_defaults(facts: DataFrame) -> DataFrame:
     """Facts as stored: type context, confidence medium, fixed source."""
     return facts.withColumns({"type": F.coalesce("type", F.lit("context")),

@@ -164,6 +164,26 @@ def export_custom_instructions(packs: DataFrame, facts: DataFrame, rules: DataFr
     return about.unionByName(style)
 
 
+FIELDS = [("about_you", "FIELD 1: what the assistant should know about you"), ("response_style", "FIELD 2: how the assistant should answer")]
+
+
+def custom_instructions_text(packs: DataFrame, facts: DataFrame, rules: DataFrame) -> DataFrame:
+    """(owner_id, field, part, text): the two fields for copying, each under its heading and without outer blank lines.
+    An owner without facts or rules has an empty field."""
+    lines = export_custom_instructions(packs, facts, rules)
+    last = lines.where("line = ''").groupBy("owner_id", "field").agg(F.max(F.struct("pack", "block")).alias("last"))
+    kept = (lines.join(last, ["owner_id", "field"], "left")
+            .where(~((F.col("line") == "") & (F.struct("pack", "block") == F.col("last")))).drop("last"))
+    parts = assemble(kept, ["owner_id", "field"], ["pack", "block", "ord_n", "pos"])
+    heads = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(h).alias("head")) for f, h in FIELDS])
+    every = packs.select("owner_id").distinct().select("owner_id", F.inline(heads))
+    first = F.coalesce("part", F.lit(0)).cast("bigint")
+    ruler = F.lit("=" * 60)
+    head = F.concat(ruler, F.lit("\n"), "head", F.lit("\n"), ruler, F.lit("\n\n"))
+    return every.join(parts, ["owner_id", "field"], "left").select(
+        "owner_id", "field", first.alias("part"), F.concat(F.when(first == 0, head).otherwise(""), F.coalesce("text", F.lit(""))).alias("text"))
+
+
 # Sections of the identity document: (type or None for all others, heading, line start).
 SECTIONS = [("identity", None), ("skill", "**Stack:**"), ("preference", "**Preferences:**"), ("style", "**Style:**")]
 
@@ -287,6 +307,20 @@ def compact_profiles(packs: DataFrame, scored: DataFrame, rules: DataFrame, fres
             .unionByName(single(bare, F.lit(NO_PROFILE))))
 
 
+# Labels of the sections of a profile.
+PROFILE_LABELS = ["Identity: ", "Stack: ", "Context: ", "Rules: "]
+
+
+def profile_text(entries: DataFrame) -> DataFrame:
+    """(owner_id, section, part, line) from compact_profiles: one line per section, entries joined by bars. A section of
+    very many entries is several parts, of which the first has the label."""
+    label = F.lit("")
+    for i, name in enumerate(PROFILE_LABELS):
+        label = F.when(F.col("section") == i, F.lit(name)).otherwise(label)
+    parts = assemble(entries.withColumnRenamed("entry", "line"), ["owner_id", "section"], ["pack", "rank", "pos"], sep=" | ")
+    return parts.select("owner_id", "section", "part", F.concat(F.when(F.col("part") == 0, label).otherwise(""), "text").alias("line"))
+
+
 def full_context(packs: DataFrame, scored: DataFrame, rules: DataFrame, scopes: list[str] | None = None,
                  max_facts: int | None = None) -> DataFrame:
     """Prompt lines without head over visible packs, optionally by scope and capped per pack."""

@@ -200,6 +200,16 @@ def inventory_to_facts(observations: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def scanned_packs(facts: DataFrame, as_of) -> DataFrame:
+    """Pack rows of a scan; the observed system, if any, is the last tag."""
+    system = F.max(F.when(F.col("key") == "system.os", F.lower(F.get("value_items", F.lit(0)))))
+    tags = F.array(F.lit("scanned"), F.lit("auto"), "system")
+    return facts.groupBy("owner_id").agg(system.alias("system")).select(
+        "owner_id", F.lit("scanned").alias("pack"), F.lit("development").alias("scope"),
+        F.concat(F.lit("Auto-scanned on "), F.date_format(F.lit(as_of).cast("timestamp_ntz"), "yyyy-MM-dd")).alias("description"),
+        F.filter(tags, lambda t: t.isNotNull()).alias("tags"))
+
+
 def scan_to_packs(facts: list[DataFrame], previous: DataFrame | None = None) -> DataFrame:
     """All scan facts as pack "scanned". Facts of sources that were skipped as unchanged are
     carried over from the previous scan, unless the new scan has the key."""

@@ -261,6 +261,13 @@ QUERIES = {
         lambda v: extract.merge_extracted_rules(_rules_as_x(v)),
         with_views("RU", f"""with RN as (select *, regexp_replace(lower({trim('instruction')}), '[^a-z0-9\\s]', '', 'g') as norm from RU)
  select owner_id, pos, instruction, priority from RN qualify row_number() over (partition by owner_id, norm order by pos) = 1""")),
+    "extracted_pack_rules": (
+        lambda v: extract.extracted_pack_rules(_rules_as_x(v).withColumn("priority", F.nullif("priority", F.lit(3)))),
+        with_views("RU", f"""with RN as (select *, regexp_replace(lower({trim('instruction')}), '[^a-z0-9\\s]', '', 'g') as norm from RU)
+ select owner_id, 'extracted' as pack, pos, instruction, coalesce(nullif(priority, 3), 5) as priority from RN qualify row_number() over (partition by owner_id, norm order by pos) = 1""")),
+    "extracted_pack_facts": (
+        lambda v: extract.extracted_pack_facts(v.X),
+        with_views("X", f"with {XM} select owner_id, 'extracted' as pack, first_pos as pos, key, w_list as value_is_list, 'context' as type, coalesce(confidence, 'medium') as confidence, 'llm-extraction' as source from XL")),
     "extraction_stats": (lambda v: _stats_x(v), with_views("X RU", f"with {XS} select * from XST")),
     "assemble_extracted_packs": (
         _packs_x, with_views("X RU XR", f"""with {XS}, {XP}, SU as (select owner_id, min_by(v->>'$.summary', batch_no) as s from XV where v->>'$.summary' <> '' group by 1)

@@ -280,6 +280,12 @@ QUERIES = {
     "scan_to_packs": (
         lambda v: flat(_scan(v)),
         with_views("FI", f"with {OS}, {RF}, {INV} select *, 'scanned' as pack from OSK union all select *, 'scanned' from RF union all select *, 'scanned' from INV")),
+    "scan_carry_forward": (
+        lambda v: flat(repo.scan_to_packs([repo.owner_stack(v.FI, roots(v)), repo.inventory_to_facts(observations(v))], previous=_scan(v))),
+        with_views("FI", f"with {OS}, {RF}, {INV} select *, 'scanned' as pack from OSK union all select *, 'scanned' from RF union all select *, 'scanned' from INV")),
+    "scanned_packs": (
+        lambda v: tags(repo.scanned_packs(_scan(v), AS_OF)),
+        with_views("FI", f"with {OS}, {RF}, {INV}, SC as (select owner_id, key, value from OSK union all select owner_id, key, value from RF union all select owner_id, key, value from INV) select owner_id, 'scanned' as pack, 'development' as scope, 'Auto-scanned on 2024-02-01' as description, concat_ws(',', 'scanned', 'auto', max(lower(value)) filter (key = 'system.os')) as tags from SC group by 1")),
     "content_hashes": (lambda v: incremental.content_hashes(sources(v)), f"with {HC} select * from CU"),
     "changed_sources": (
         lambda v: incremental.changed_sources(incremental.content_hashes(sources(v)), cache(v)), f"with {HC} select * from CG"),

@@ -122,6 +122,14 @@ def _profile(v, cap=None):
     return render.compact_profiles(v.P, _scored(v), v.RU, fresh, cap).drop("rank")
 
 
+_PS = profile_sql("")
+PROFILE_LINES = f"""{_PS[: _PS.index('BO as (select owner_id, section')]} BO as (select owner_id, section, pack, c * 1000e0 - score as rank, pos, key || ': ' || {scrub_sql('v')} as entry from CX
+ union all select owner_id, 3, pack, 0e0, pos, instruction from (select * from RU semi join P using (owner_id, pack) qualify row_number() over (partition by owner_id order by pack, pos) <= 5)),
+ BX as (select * from BO union all select owner_id, 4, '', 0e0, 0, 'Context freshness: ' || freshness || '/100' from OFR semi join BO using (owner_id)
+ union all select distinct owner_id, 4, '', 0e0, 0, 'No user context available.' from P anti join BO using (owner_id)),
+ BL as (select owner_id, section, entry, row_number() over (partition by owner_id, section order by pack, rank, pos) - 1 as n from BX)
+ select owner_id, section, n // 1000 as part, case when n // 1000 > 0 then '' when section < 4 then (['Identity: ', 'Stack: ', 'Context: ', 'Rules: '])[section + 1] else '' end || string_agg(entry, ' | ' order by n) as line from BL group by owner_id, section, n // 1000"""
+
 QUERIES = {
     "resolve_agents": (
         lambda v: _agents(v).select("event_id", "owner_id", "agent"),
@@ -191,6 +199,19 @@ QUERIES = {
     "compact_profiles_capped": (
         lambda v: _profile(v, 4),
         with_views("F RU P", "with " + profile_sql("qualify row_number() over (partition by owner_id, pack order by c, score desc, pos) <= 4"))),
+    "profile_text": (
+        lambda v: render.profile_text(render.compact_profiles(v.P, _scored(v), v.RU, owner_freshness(v.F, v.P, AS_OF))),
+        with_views("F RU P", "with " + PROFILE_LINES)),
+    "custom_instructions_text": (
+        lambda v: render.custom_instructions_text(v.P, v.F, v.RU),
+        with_views("F RU P", f"""with {SIZES}, CI as (select owner_id, pack, 0 as block, 0 as ord_n, 0 as pos, '[' || upper(scope) || ']' as line, 'about_you' as field from SZ where n_facts > 0
+ union all select owner_id, pack, 1, 0, pos, {ENTRY}, 'about_you' from F semi join P using (owner_id, pack) union all select owner_id, pack, 2, 0, 0, '', 'about_you' from SZ where n_facts > 0
+ union all select owner_id, pack, 0, 0, 0, '[' || upper(scope) || ']', 'response_style' from SZ where n_rules > 0
+ union all select owner_id, pack, 1, -priority, pos, '- ' || instruction, 'response_style' from RU semi join P using (owner_id, pack) union all select owner_id, pack, 2, 0, 0, '', 'response_style' from SZ where n_rules > 0),
+ CN as (select *, row_number() over w - 1 as n, count(*) over (partition by owner_id, field) as all_n from CI window w as (partition by owner_id, field order by pack, block, ord_n, pos)),
+ CT as (select owner_id, field, n // 1000 as part, string_agg(line, chr(10) order by n) as text from CN where n < all_n - 1 group by all),
+ OW as (select distinct owner_id, field, head from P, (values ('about_you', 'FIELD 1: what the assistant should know about you'), ('response_style', 'FIELD 2: how the assistant should answer')) t(field, head))
+ select owner_id, field, coalesce(part, 0) as part, case when coalesce(part, 0) = 0 then repeat('=', 60) || chr(10) || head || chr(10) || repeat('=', 60) || chr(10) || chr(10) else '' end || coalesce(text, '') as text from OW left join CT using (owner_id, field)""")),
     "full_context": (
         _full,
         with_views("F RU P PM", f"""with AG as (select distinct owner_id, 'cursor' as agent from P), {AP.split('),', 1)[1].strip()}, VX as (select p.* from P p join AP a on a.owner_id = p.owner_id and (a.allow_all or list_contains(a.packs, p.pack)) where scope in ('development', 'work')),
