@@ -32,7 +32,7 @@ def _keepers(facts: DataFrame) -> DataFrame:
         F.max_by(place, F.struct(quality().alias("q"), place.alias("at"))).alias("best"))
 
 
-def _losing_copies(facts: DataFrame) -> DataFrame:
+def losing_copies(facts: DataFrame) -> DataFrame:
     """(owner_id, pack, pos, kept_in, kept_pos) of every copy but the best one, without values."""
     slim = with_norm_id(facts).select(*DUP, "pack", "pos", "confidence", "updated_at")
     groups = _keepers(slim).where(F.col("copies") > 1)
@@ -47,14 +47,14 @@ def exact_duplicates(facts: DataFrame) -> DataFrame:
     The hot (key, value) groups are shuffled without their values; the values of the losers are
     fetched by (owner, pack, pos), which is unique and so spreads evenly.
     """
-    losers = _losing_copies(facts)
+    losers = losing_copies(facts)
     return (facts.join(losers, ["owner_id", "pack", "pos"])
             .select("owner_id", "key", "pos", value_text().alias("value"), F.col("pack").alias("removed_from"),
                     "kept_in", "kept_pos"))
 
 
 def drop_exact_duplicates(facts: DataFrame) -> DataFrame:
-    return facts.join(_losing_copies(facts).select("owner_id", "pack", "pos"), ["owner_id", "pack", "pos"], "left_anti")
+    return facts.join(losing_copies(facts).select("owner_id", "pack", "pos"), ["owner_id", "pack", "pos"], "left_anti")
 
 
 def contradictory_keys(facts: DataFrame) -> DataFrame:

@@ -345,7 +345,13 @@ def _settle(kills: DataFrame) -> DataFrame:
 
 
 def similar_losers(facts: DataFrame, threshold: float = THRESHOLD, chunk: int = CHUNK) -> DataFrame:
-    """(owner, pack, pos) of facts that lose against a similar fact.
+    """(owner, pack, pos) of facts that lose against a similar fact."""
+    return removals(facts, threshold, chunk).select(*NODE)
+
+
+def removals(facts: DataFrame, threshold: float = THRESHOLD, chunk: int = CHUNK) -> DataFrame:
+    """(owner, pack, pos, by) of facts that lose against a similar fact; by: the first fact that removes it, null for a
+    copy that an earlier copy of the same text outdoes from the start.
 
     The rule walks a pack in order: a fact that still stands removes every later, similar fact
     that is not better, and is removed itself by a better one that still stands (it then goes on
@@ -361,14 +367,43 @@ def similar_losers(facts: DataFrame, threshold: float = THRESHOLD, chunk: int =
               .agg(F.min("src").alias("at")).withColumnRenamed("pos", "b"))
     beaten = (beats.join(down.withColumnRenamed("pos", "a"), [*PACK, "a"], "left_anti")
               .join(fallen, [*PACK, "b"], "left")
-              .where(F.col("at").isNull() | (F.col("at") >= F.col("a"))).select(*PACK, F.col("a").alias("pos")))
-    return down.unionByName(beaten).unionByName(sure.select(*NODE)).distinct()
+              .where(F.col("at").isNull() | (F.col("at") >= F.col("a")))
+              .groupBy(*PACK, F.col("a").alias("pos")).agg(F.min("b").alias("by")))
+    hit = fallen.select(*PACK, F.col("b").alias("pos"), F.col("at").alias("by"))
+    return hit.unionByName(beaten).unionByName(sure.select(*NODE, F.lit(None).cast("bigint").alias("by")))
 
 
 def drop_similar_facts(facts: DataFrame, threshold: float = THRESHOLD, chunk: int = CHUNK) -> DataFrame:
     return facts.join(similar_losers(facts, threshold, chunk), NODE, "left_anti")
 
 
+def consolidation_report(facts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """What consolidation does, in its order: (owner_id, step, pack, pos, key, kept_in, kept_pos).
+
+    Steps: `exact` copies that go and where the value stays; then `contradiction`, every entry of a key with several
+    values among the facts left; then `similar` facts that go and the fact that removes them.
+    """
+    from factbase.operators.consolidate import contradictions, drop_exact_duplicates, losing_copies
+    cols = ["owner_id", "step", "pack", "pos", "key", "kept_in", "kept_pos"]
+    rest = cut_lineage(drop_exact_duplicates(facts))
+    keys = facts.select(*NODE, "key")
+    exact = losing_copies(facts).join(keys, NODE).withColumn("step", F.lit("exact"))
+    apart = contradictions(rest).select(*NODE, "key", F.lit("contradiction").alias("step"),
+                                        F.lit(None).cast("string").alias("kept_in"), F.lit(None).cast("bigint").alias("kept_pos"))
+    similar = removals(rest, threshold).join(keys, NODE).select(
+        *NODE, "key", F.lit("similar").alias("step"), F.col("pack").alias("kept_in"), F.col("by").alias("kept_pos"))
+    return exact.select(*cols).unionByName(apart.select(*cols)).unionByName(similar.select(*cols))
+
+
+def consolidation_totals(report: DataFrame) -> DataFrame:
+    """Per owner: merged (exact and similar facts that go) = removed, contradictory keys, packs that lose facts."""
+    gone = F.col("step") != "contradiction"
+    return report.groupBy("owner_id").agg(
+        F.count_if(F.col("step") == "exact").alias("exact"), F.count_if(F.col("step") == "similar").alias("similar"),
+        F.count_if(gone).alias("removed"), F.count_distinct(F.when(~gone, F.col("key"))).alias("contradictions"),
+        F.count_distinct(F.when(gone, F.col("pack"))).alias("modified_packs"))
+
+
 def consolidate(facts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Facts after removing exact duplicates, then similar values."""
     from factbase.operators.consolidate import drop_exact_duplicates

@@ -147,6 +147,7 @@ QUERIES = {
         lambda v: C.consolidation_summary(v.F),
         with_views("F", f"""with {DUPS}, {CONFLICT} select owner_id, coalesce(merged, 0) as merged, coalesce(modified_packs, 0) as modified_packs, coalesce(contradictions, 0) as contradictions
  from (select owner_id, count(*) as merged, count(distinct removed_from) as modified_packs from LOSE group by 1) full join (select owner_id, count(*) as contradictions from CK group by 1) using (owner_id)""")),
+    "consolidation_totals": (lambda v: similar.consolidation_totals(similar.consolidation_report(v.F)), None),
     "similar_facts": (lambda v: similar.similar_facts(v.F), None),
     "drop_similar_facts": (lambda v: similar.drop_similar_facts(v.F).select("owner_id", "pack", "pos", "key"), None),
     "consolidate": (lambda v: similar.consolidate(v.F).select("owner_id", "pack", "pos", "key"), None),

@@ -12,7 +12,7 @@ from check_oracle import compare, duck  # noqa: E402
 from factbase.plans.catalog import duck_queries, spark_queries  # noqa: E402
 
 SF_DIR = "/root/testdata/sf0.001"
-SLOW_WITHOUT_ORACLE = {"similar_facts", "drop_similar_facts", "consolidate"}  # see test_similar.py
+SLOW_WITHOUT_ORACLE = {"similar_facts", "drop_similar_facts", "consolidate", "consolidation_totals"}  # see test_similar.py
 
 
 @pytest.fixture(scope="module")

@@ -163,3 +163,20 @@ def test_long_chain_needs_no_rounds(spark, monkeypatch):
     kills = spark.range(1000).selectExpr("'a' as owner_id", "'p' as pack", "id as src", "id + 1 as pos")
     state = {r.pos: r.stands for r in similar._settle(kills).collect()}
     assert state == {i: i % 2 == 0 for i in range(1001)} and len(calls) == 1
+
+
+def test_report_lists_every_step(spark):
+    base = dict(owner_id="a", pack="p", value_is_list=False, type="skill", source=None, updated_at=None)
+    rows = [dict(base, pos=0, key="k", value_items=["works with spark daily"], confidence="high"),
+            dict(base, pos=1, key="l", value_items=["works with spark daily!"], confidence="low"),
+            dict(base, pos=2, key="m", value_items=["dark"], confidence="low"),
+            dict(base, pos=3, key="m", value_items=["light and bright"], confidence="low"),
+            dict(base, pack="q", pos=0, key="k", value_items=["works with spark daily"], confidence="medium")]
+    df = spark.createDataFrame(rows, FACTS)
+    report = similar.consolidation_report(df)
+    got = {(r.step, r.pack, r.pos, r.kept_in, r.kept_pos) for r in report.collect()}
+    assert got == {("exact", "q", 0, "p", 0), ("contradiction", "p", 2, None, None), ("contradiction", "p", 3, None, None),
+                   ("similar", "p", 1, "p", 0)}
+    total = similar.consolidation_totals(report).first()
+    assert (total.exact, total.similar, total.removed, total.contradictions, total.modified_packs) == (1, 1, 2, 1, 2)
+    assert similar.consolidate(df).count() == 3
