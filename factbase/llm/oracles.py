@@ -84,3 +84,41 @@ s0 as materialized (select kind, host, seed as score from d),
 h as (select host, coalesce(sum(score) filter (kind = 'trust'), 0) as trust, coalesce(sum(score) filter (kind = 'distrust'), 0) as distrust from s{steps} group by host)
 select page_id, host, path, rule, coalesce(said, case when coalesce(distrust, 0) > coalesce(trust, 0) then 'block' else 'allow' end) as verdict from j left join h using (host)
 """
+
+
+def _crc_table() -> list[int]:
+    """Remainders of all byte values for the reflected polynomial of CRC-32."""
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = (c >> 1) ^ (0xEDB88320 if c & 1 else 0)
+        out.append(c)
+    return out
+
+
+def sharding(shards: int, vnodes: int, bits: int) -> str:
+    """The ring walked step by step: two laps over all virtual nodes in a recursive query."""
+    n = shards * vnodes
+    return f"""
+with recursive tab as (select {_crc_table()}::bigint[] as t),
+b as (select doc_id, text, octet_length(encode(text)) as size, list_transform(regexp_extract_all(hex(text), '..'), lambda x: cast('0x' || x as bigint)) as bytes from documents),
+c as (select doc_id, coalesce(size, 0) + 16 as size, case when text is not null then
+    xor(list_reduce(list_prepend(4294967295::bigint, bytes), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295::bigint) end as text_crc32 from b, tab),
+k as (select *, md5(coalesce(cast(doc_id as varchar), 'text-' || text_crc32, 'null')) as digest from c),
+nodes as (select i // {vnodes} as shard, md5('node-' || i) as digest from range({n}) t(i)),
+arcs as (select cast(row_number() over (order by digest) - 1 as int) as arc, cast(shard as int) as shard, cast('0x' || digest[1:4] as int) >> {16 - bits} as cell from nodes),
+cells as (select cell, (select count(*) from arcs where arcs.cell < t.cell) % {n} as arc from range({1 << bits}) t(cell)),
+r as (select k.*, arc, row_number() over (order by arc, digest, doc_id nulls first, text_crc32 nulls first, size) - 1 as rank
+    from k join cells on cells.cell = cast('0x' || digest[1:4] as int) >> {16 - bits}),
+total as (select count(*) as n from r),
+steps as (select arc as step, shard, (select count(*) from r where r.arc = arcs.arc) as n from arcs union all select arc + {n}, shard, 0 from arcs),
+room as (select list(n // {shards} + case when s < n % {shards} then 1 else 0 end order by s) as room from total, range({shards}) t(s)),
+fold(step, waiting, start, free, take, shard, slot) as (
+    select -1, 0::bigint, 0::bigint, room, 0::bigint, 0, 0::bigint from room
+    union all
+    select step, waiting - take, start + take, list_transform(free, lambda f, i: case when i = shard + 1 then f - take else f end), take, shard, room[shard + 1] - free[shard + 1]
+    from (select s.step, s.shard, f.free, f.start, f.waiting + s.n as waiting, least(f.waiting + s.n, f.free[s.shard + 1]) as take
+        from fold f join steps s on s.step = f.step + 1), room),
+takes as (select start - take as start, take, shard, slot from fold where take > 0)
+select doc_id, size, text_crc32, 'rows' as law, shard, slot + rank - start as slot, cast(null as int) as grown_shard from r asof join takes on r.rank >= takes.start
+"""

@@ -91,7 +91,7 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_sharding": (op1_sharding, None),
+    "op1_sharding": (op1_sharding, oracles.sharding(40, 64, 14)),
     "op2_decontaminate": (op2_decontaminate, None),
     "op3_substrings": (op3_substrings, oracles.SUBSTRINGS),
     "op5_pages": (op5_pages, None),
