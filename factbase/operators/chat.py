@@ -173,9 +173,60 @@ def detect_topics(messages: DataFrame) -> DataFrame:
 
 
 def import_chat_tree(messages: DataFrame) -> DataFrame:
-    """All facts of the tree import, in stored order."""
-    return reduce(DataFrame.unionByName, [f(messages) for f in (
-        detect_languages, detect_frameworks, self_identification, detect_preferences, detect_topics)])
+    """All facts of the tree import, in stored order, from one pass over the messages.
+
+    Hits of all rules become one array per message; they are counted by (owner, rule, hit), ranked inside each rule, and
+    only the top hits of an owner, a few dozen rows at most, meet again in one row.
+    """
+    low = messages.select("owner_id", "conv_id", "pos", "text", F.lower("text").alias("_low"))
+    hit = lambda rule, n, i, m: F.struct(F.lit(rule).alias("rule"), n.cast("int").alias("n"), i.cast("int").alias("i"), m.alias("hit"))
+    none = F.lit(0)
+
+    def matches(rule: str, n: int, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all("text", F.lit("(?iU)" + pattern), F.lit(1)), lambda m, i: hit(rule, F.lit(n), i, strip(m)))
+
+    def words(rule: str, table: dict[str, list[str]]) -> Column:
+        return F.array(*[F.when(contains_any(F.col("_low"), [w.lower() for w in ws]), hit(rule, F.lit(i), none, F.lit(name)))
+                         for i, (name, ws) in enumerate(table.items())])
+
+    told = [hit(f"self.{key}", F.lit(n), none, strip(F.regexp_extract("text", "(?iU)" + p, 1))) for n, (key, _, p) in enumerate(SELF)]
+    found = F.concat(*[matches("language", n, p) for n, p in enumerate(LANGUAGE_PATTERNS)], words("framework", {w: [w] for w in FRAMEWORKS}),
+                     F.array(*told), matches("preference", 0, PREFERENCE), words("topic", TOPICS))
+    rule, text = F.col("h.rule"), F.col("h.hit")
+    fits = (F.when(rule == "language", F.lower(text).isin(LANGUAGES)).when(F.startswith(rule, F.lit("self.")), F.length(text).between(3, 59))
+            .when(rule == "preference", F.length(text).between(4, 79)).otherwise(True))
+    counted = (low.select("owner_id", "conv_id", "pos", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("h")).where(fits)
+               .groupBy("owner_id", rule.alias("rule"), text.alias("hit")).agg(
+                   F.count(F.lit(1)).alias("n"), F.min(_at(F.col("h.n"), F.col("h.i"))).alias("at")))
+    own = F.startswith("rule", F.lit("self."))
+    order = Window.partitionBy("owner_id", "rule").orderBy(F.when(own, 0).otherwise(-F.col("n")), "at")
+    ranked = counted.withColumn("rank", F.row_number().over(order))
+    limits = {"language": (TOP_LANGUAGES, 1), "framework": (TOP_FRAMEWORKS, MIN_FRAMEWORK), "preference": (TOP_PREFERENCES, MIN_PREFERENCE),
+              "topic": (TOP_TOPICS, MIN_TOPIC)}
+    keep = own & (F.col("rank") == 1)
+    for name, (k, least) in limits.items():
+        keep = keep | ((F.col("rule") == name) & (F.col("rank") <= k) & (F.col("n") >= least))
+    top = ranked.where(keep).groupBy("owner_id").agg(F.array_sort(F.collect_list(F.struct("rule", "rank", "hit", "at"))).alias("top"))
+
+    def fact(pos, key, items, many: bool, type_, confidence: str) -> Column:
+        col = lambda x: x if isinstance(x, Column) else F.lit(x)
+        return F.struct(col(pos).cast("bigint").alias("pos"), col(key).alias("key"), items.alias("value_items"), F.lit(many).alias("value_is_list"),
+                        col(type_).alias("type"), F.lit(confidence).alias("confidence"), F.lit(TREE_SOURCE).alias("source"))
+
+    def listed(name: str) -> Column:
+        return F.transform(F.filter("top", lambda x: x["rule"] == name), lambda x: x["hit"])
+
+    kinds = F.create_map(*[F.lit(x) for key, type_, _ in SELF for x in (f"self.{key}", type_)])
+    selves = F.array_sort(F.transform(F.filter("top", lambda x: F.startswith(x["rule"], F.lit("self."))),
+                                      lambda x: F.struct(x["at"].alias("at"), x["rule"].alias("rule"), x["hit"].alias("hit"))))
+    facts = F.concat(
+        F.filter(F.array(fact(0, "languages.detected", listed("language"), True, "skill", "medium"),
+                         fact(1, "frameworks.detected", listed("framework"), True, "skill", "medium"),
+                         fact(10, "topics.frequent", listed("topic"), True, "context", "medium")), lambda x: F.size(x["value_items"]) > 0),
+        F.transform(selves, lambda x, i: fact(i + 2, F.substring(x["rule"], 6, 100), F.array(x["hit"]), False, F.element_at(kinds, x["rule"]), "low")),
+        F.transform(F.filter("top", lambda x: x["rule"] == "preference"),
+                    lambda x: fact(x["rank"] + 4, "preferences.detected", F.array(x["hit"]), False, "preference", "low")))
+    return top.select("owner_id", F.inline(facts))
 
 
 def import_pack(stats: DataFrame, tags: list[str], name: str) -> DataFrame:

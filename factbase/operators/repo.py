@@ -178,26 +178,26 @@ def existing_rule_files(files: DataFrame, roots: DataFrame, changed: DataFrame |
 
 
 def inventory_to_facts(observations: DataFrame) -> DataFrame:
-    """observations(owner_id, kind, name). Lists follow the fixed vocabularies, so they are short."""
-    spark = observations.sparkSession
-    vocab = spark.createDataFrame([(k, n, i) for k, names in INVENTORY.items() for i, n in enumerate(names)],
-                                  "kind string, name string, rank int")
-    seen = observations.select("owner_id", "kind", "name").distinct().join(F.broadcast(vocab), ["kind", "name"])
-    editors = seen.where(F.col("kind") == "editor")
-    single = lambda df, pos, key, value, type_, conf, source: df.select(
-        "owner_id", F.lit(pos).cast("bigint").alias("pos"), F.lit(key).alias("key"), F.array(value).alias("value_items"),
-        F.lit(False).alias("value_is_list"), F.lit(type_).alias("type"), F.lit(conf).alias("confidence"), F.lit(source).alias("source"))
-    parts = [single(editors.groupBy("owner_id").agg(F.min_by("name", "rank").alias("v")), 2, "editor", F.col("v"),
-                    "preference", "medium", "tool-scan")]
-    for kind, (pos, key, type_, source) in LISTS.items():
-        fact = _list_fact(seen.where(F.col("kind") == kind), "rank", "name", pos, key, type_, "high", source)
-        parts.append(fact.where(F.size("value_items") > 1) if kind == "editor" else fact)
-    for kind, (pos, key, type_, source) in SINGLES.items():
-        one = (observations.where((F.col("kind") == kind) & (F.col("name") != "")).groupBy("owner_id")
-               .agg(F.min("name").alias("v")))
-        value = _name("v") if kind == "shell" else F.col("v")
-        parts.append(single(one, pos, key, value, type_, "high", source))
-    return reduce(DataFrame.unionByName, parts)
+    """observations(owner_id, kind, name). Lists follow the fixed vocabularies, so they are short; one pass."""
+    kind, name = F.col("kind"), F.col("name")
+    seen = {(k, i): F.bool_or((kind == k) & (name == n)).alias(f"_{k}{i}") for k, names in INVENTORY.items() for i, n in enumerate(names)}
+    least = {k: F.min(F.when((kind == k) & (name != ""), name)).alias(f"_{k}") for k in SINGLES}
+    per = observations.groupBy("owner_id").agg(*seen.values(), *least.values())
+    have = {k: F.filter(F.array(*[F.when(F.col(f"_{k}{i}"), F.lit(n)) for i, n in enumerate(names)]), lambda x: x.isNotNull())
+            for k, names in INVENTORY.items()}
+
+    def fact(cond: Column, pos: int, key: str, items: Column, many: bool, type_: str, confidence: str, source: str) -> Column:
+        return F.when(cond, F.struct(
+            F.lit(pos).cast("bigint").alias("pos"), F.lit(key).alias("key"), items.alias("value_items"), F.lit(many).alias("value_is_list"),
+            F.lit(type_).alias("type"), F.lit(confidence).alias("confidence"), F.lit(source).alias("source")))
+
+    rows = [fact(F.size(have["editor"]) > 0, 2, "editor", F.slice(have["editor"], 1, 1), False, "preference", "medium", "tool-scan")]
+    for k, (pos, key, type_, source) in LISTS.items():
+        rows.append(fact(F.size(have[k]) > (1 if k == "editor" else 0), pos, key, have[k], True, type_, "high", source))
+    for k, (pos, key, type_, source) in SINGLES.items():
+        value = _name(f"_{k}") if k == "shell" else F.col(f"_{k}")
+        rows.append(fact(F.col(f"_{k}").isNotNull(), pos, key, F.array(value), False, type_, "high", source))
+    return per.select("owner_id", F.inline(F.filter(F.array(*rows), lambda x: x.isNotNull())))
 
 
 def scanned_packs(facts: DataFrame, as_of) -> DataFrame:
