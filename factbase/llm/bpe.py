@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factbase.llm.words import _BYTE, Words, pieces, rolled, runs
+from factbase.llm.words import _BYTE, Words, lean_stream, pieces, rolled, runs
 
 STEP = 2 << 20        # bytes of text that are cut at a time
 KEPT = 300_000       # chunks that a task remembers; it starts anew beyond
@@ -187,4 +187,4 @@ def encode_decode(docs: DataFrame, tokenizer_file: str, keep: list[str] | None =
                     [*part.columns[:-1], pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())],
                     names=[f.name for f in schema.fields])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean_stream(run), schema)

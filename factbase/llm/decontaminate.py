@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factbase.llm.words import Words, mix, pieces, rolled
+from factbase.llm.words import Words, lean_stream, mix, pieces, rolled
 
 MASKS = ("111010110111", "110110101111", "111101011011")  # 12 words, nine of them compared
 SPAN = len(MASKS[0])
@@ -125,8 +125,9 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
     items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null")
     total = items.agg(F.sum(F.size(F.split("t", r"\s+")))).first()[0] or 0
     blocks = -(-total // block_words)
-    names = [f"k{i}" for i in range(len(keep))]
-    out = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], F.col(text).alias("text"),
+    rest = [c for c in keep if c != text]  # the text goes through the tasks once
+    names = [f"k{i}" for i in range(len(rest))]
+    out = docs.select(*[F.col(c).alias(n) for c, n in zip(rest, names)], F.col(text).alias("text"),
                       F.array().cast(MATCH).alias("matches"))
     schema = out.schema
     for block in range(blocks):
@@ -146,5 +147,6 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
                         had = pa.array([(x or []) + [dict(zip(fields, m)) for m in y] for x, y in zip(had.to_pylist(), found)], kind)
                     yield pa.RecordBatch.from_arrays([*part.columns[:-1], had], names=[*names, "text", "matches"])
 
-        out = out.mapInArrow(run, schema)
-    return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], "matches")
+        out = out.mapInArrow(lean_stream(run), schema)
+    at = {**dict(zip(rest, names)), text: "text"}
+    return out.select(*[F.col(at[c]).alias(c) for c in keep], "matches")

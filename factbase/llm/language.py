@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factbase.llm.words import mix, pieces, utf8
+from factbase.llm.words import lean_stream, mix, pieces, utf8
 
 FEATURES = 1 << 15
 ORDERS = (1, 2, 3, 4)
@@ -103,7 +103,7 @@ def fit(docs: DataFrame, label: str = "lang", text: str = "text", where: Column
             [pa.array(kind, pa.int32()), pa.array(feature, pa.int32()),
              pa.array(total.reshape(len(labels), -1)[kind, feature], pa.int64())], names=["kind", "feature", "n"])
 
-    summed = (chosen.select("l", "t").mapInArrow(count, "kind int, feature int, n long")
+    summed = (chosen.select("l", "t").mapInArrow(lean_stream(count), "kind int, feature int, n long")
               .groupBy("kind", "feature").agg(F.sum("n").alias("n")).toArrow())
     counts = np.zeros((len(labels), FEATURES))
     counts[summed["kind"].to_numpy(), summed["feature"].to_numpy()] = summed["n"].to_numpy()
@@ -119,8 +119,10 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None
     posteriors go to the label that sorts first. Columns beside `keep` and `text` are not looked at.
     """
     keep = ["doc_id"] if keep is None else keep
-    source = docs.select(*[F.col(c) for c in keep], F.col(text).rlike(r"\p{L}").alias("__any"), F.col(text).alias("__text"))
-    schema = T.StructType([*source.schema.fields[:-2], T.StructField("lang_pred", T.StringType()),
+    own = [c for c in keep if c != text]  # the text goes through the tasks once
+    source = docs.select(*[F.col(c) for c in own], F.col(text).rlike(r"\p{L}").alias("__any"), F.col(text).alias("__text"))
+    kept = source.schema.fields[:-2] + ([docs.schema[text]] if text in keep else [])
+    schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()),
                            T.StructField("score", T.DoubleType())])
     held = docs.sparkSession.sparkContext.broadcast((model.labels, model.weights, model.prior))
 
@@ -146,7 +148,7 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None
                     best = [labels[t] if ok else UNKNOWN for t, ok in zip(top.tolist(), some.tolist())]
                     score = np.where(some, score, 0.0)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-2], pa.array(best, pa.string()), pa.array(score, pa.float64())],
+                    [*part.columns[:-2], *([part.columns[-1]] if text in keep else []), pa.array(best, pa.string()), pa.array(score, pa.float64())],
                     names=[f.name for f in schema.fields])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean_stream(run), schema).select(*keep, "lang_pred", "score")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from factbase.llm.blocks import bucket_count, dealt, in_order, pack, unpack
 from factbase.llm.storage import cut
-from factbase.llm.words import Words, mix, rolled
+from factbase.llm.words import Words, lean, lean_stream, mix, rolled
 
 CODE = 28
 FEW = 200_000            # pairs whose ends may be broadcast (3 MB)
@@ -186,7 +186,7 @@ def _links(pairs: DataFrame, tokens: DataFrame, prefixes: DataFrame, orders: int
     left = tokens.join(hint(pairs), tokens["rid"] == pairs["a"]).select("a", "b", F.col("tokens").alias("left"))
     ends = hint(pairs.select(F.col("b").alias("rid")).distinct())
     right = tokens.join(ends, "rid", "left_semi").select(F.col("rid").alias("b"), F.col("tokens").alias("right"))
-    return cut(left.join(right, "b").select("a", "b", "left", "right").mapInArrow(_compare(percent), "a long, b long"))
+    return cut(left.join(right, "b").select("a", "b", "left", "right").mapInArrow(lean_stream(_compare(percent)), "a long, b long"))
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -212,9 +212,9 @@ def _grouped(docs: DataFrame, k: int, percent: int, orders: int, id_col: str, te
     n = bucket_count(docs, text)
     buckets = dealt(docs, n, [], id_col, text)
     by_bucket = buckets.groupBy("bucket")
-    counted = by_bucket.applyInArrow(_count(k, n), COUNTED)
-    known = counted.groupBy("target").applyInArrow(_classes, COUNTED)
-    nodes = cut(by_bucket.cogroup(known.groupBy("source")).applyInArrow(_nodes(k, n, percent), NODE))
+    counted = by_bucket.applyInArrow(lean(_count(k, n)), COUNTED)
+    known = counted.groupBy("target").applyInArrow(lean(_classes), COUNTED)
+    nodes = cut(by_bucket.cogroup(known.groupBy("source")).applyInArrow(lean(_nodes(k, n, percent)), NODE))
 
     stay = nodes.where("tokens is not null")
     equal = ["fa", "fb", "n"]
@@ -224,7 +224,7 @@ def _grouped(docs: DataFrame, k: int, percent: int, orders: int, id_col: str, te
     members = cut(members)
     tokens = stay.select("rid", "tokens")
     prefixes = stay.select("rid", "tokens", "classes").mapInArrow(
-        _prefixes(percent, orders), "k byte, token long, rid long, n long, at long, alone long")
+        lean_stream(_prefixes(percent, orders)), "k byte, token long, rid long, n long, at long, alone long")
     prefixes = cut(prefixes.join(members.where("rid = rep").select("rid"), "rid", "left_semi"))
 
     # a: a node, b: the hub of a prefix shingle and length class, the set with the fewest shingles of its own
@@ -290,4 +290,4 @@ def keep_first(docs: DataFrame, k: int = 5, percent: int = 80, orders: int = 3,
         bucket = in_order(bucket).take(first.column("at").combine_chunks().sort())
         return bucket.select([f"k{i}" for i in range(len(names))]).rename_columns(names)
 
-    return buckets.groupBy("bucket").cogroup(heads.groupBy("source")).applyInArrow(run, docs.schema)
+    return buckets.groupBy("bucket").cogroup(heads.groupBy("source")).applyInArrow(lean(run), docs.schema)

@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from factbase.llm.storage import cut
 from factbase.llm.urls import host_of
+from factbase.llm.words import lean_stream
 
 DECAY, PRIOR = 0.9, 0.6
 FEW = 100_000            # pages with dropped nodes that may be broadcast
@@ -217,7 +218,7 @@ def extract(pages: DataFrame, keep: list[str] | None = None, page_id: str = "pag
         raise ValueError("prior must be above 1/2")
     rows = pages.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], host_of(F.col(url)).alias("host"),
                         F.xxhash64(F.col(page_id), F.col(url), F.col(html)).alias("key"), F.col(html).alias("html"))
-    seen = rows.select("host", "key", "html").mapInArrow(_features, FEATURES)
+    seen = rows.select("host", "key", "html").mapInArrow(lean_stream(_features), FEATURES)
     counts = cut(seen.groupBy("host", "node", "kind", "feature").agg(F.count("*").alias("n"), F.first("ups", True).alias("ups")))
     weak = importance(counts, decay).where(F.lit(prior / 2) + F.lit(1 - prior) * F.col("importance") < 0.5)
     dropped = cut(counts.where("kind = 'o'").select("host", "node", F.col("feature").alias("key")).join(weak, ["host", "node"])
@@ -239,4 +240,4 @@ def extract(pages: DataFrame, keep: list[str] | None = None, page_id: str = "pag
 
     joined = rows.join(dropped, "key", "left").select(*names, "html", "dropped")
     schema = T.StructType([*rows.select(*names).schema.fields, T.StructField("text", T.StringType())])
-    return joined.mapInArrow(run, schema).select(*[F.col(n).alias(c) for n, c in zip(names, keep)], "text")
+    return joined.mapInArrow(lean_stream(run), schema).select(*[F.col(n).alias(c) for n, c in zip(names, keep)], "text")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from factbase.llm.blocks import bucket_count, dealt, ids_of, in_order, pack, strings, unpack
-from factbase.llm.words import Words, pieces, runs
+from factbase.llm.words import Words, lean, pieces, runs
 
 ANCHOR = 8
 SPLIT = 100_000
@@ -239,13 +239,13 @@ def remove_repeats(docs: DataFrame, window: int = 20, keep: list[str] | None = N
     n = bucket_count(docs, text)
     buckets = dealt(docs, n, keep, id_col, text)
     by_bucket = buckets.groupBy("bucket")
-    counted = by_bucket.applyInArrow(_census(window, anchor, n), COUNTED)
-    known = counted.groupBy("target").applyInArrow(_frequent(split), COUNTED)
-    sent = by_bucket.cogroup(known.groupBy("source")).applyInArrow(_leaves(window, anchor, n), SENT)
-    marked = sent.groupBy("target").applyInArrow(_nodes, "source int, marks binary")
+    counted = by_bucket.applyInArrow(lean(_census(window, anchor, n)), COUNTED)
+    known = counted.groupBy("target").applyInArrow(lean(_frequent(split)), COUNTED)
+    sent = by_bucket.cogroup(known.groupBy("source")).applyInArrow(lean(_leaves(window, anchor, n)), SENT)
+    marked = sent.groupBy("target").applyInArrow(lean(_nodes), "source int, marks binary")
     fields = [T.StructField(c, docs.schema[c].dataType) for c in keep]
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
                            T.StructField("kept", T.StringType()), T.StructField("spans", span)])
     kinds = [to_arrow_type(f.dataType) for f in fields]
-    return by_bucket.cogroup(marked.groupBy("source")).applyInArrow(_kept(window, as_is, keep, kinds), schema)
+    return by_bucket.cogroup(marked.groupBy("source")).applyInArrow(lean(_kept(window, as_is, keep, kinds)), schema)
