@@ -72,8 +72,6 @@ class Chunks:
         """Places of the chunks data[start:end], new ones encoded first."""
         keys = rolled(_BYTE[data], start, end)
         unique, first, which = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.keys) > KEPT:
-            self.clear()
         new = np.flatnonzero(self.find(unique) < 0)
         if len(new):
             raw = data.tobytes()
@@ -125,8 +123,6 @@ def _repair(chunks: Chunks, data: np.ndarray, start: np.ndarray, end: np.ndarray
     apart, together = chunks.places(data, start, end), chunks.places(data, start[joins], end[joins + 1])
     ids, offsets = chunks.flat[1]
     get = lambda p: ids[offsets[p]: offsets[p + 1]]
-    if len(chunks.keys) and apart.max() >= len(offsets) - 1:
-        raise AssertionError("chunk table was renewed between two look-ups")
     bad = np.array([not np.array_equal(np.concatenate([get(apart[j]), get(apart[j + 1])]), get(t))
                     for j, t in zip(joins.tolist(), together.tolist())])
     merged = joins[bad]
@@ -134,6 +130,8 @@ def _repair(chunks: Chunks, data: np.ndarray, start: np.ndarray, end: np.ndarray
 
 
 def _coded(column: pa.Array, chunks: Chunks, every: int) -> tuple[np.ndarray, list[bytes], list[str]]:
+    if len(chunks.keys) > KEPT:  # only here: places stay valid while a column is worked on
+        chunks.clear()
     words = Words(column)
     start, end, glued = _cuts(words, every)
     start, end = _repair(chunks, words.data, start, end, glued)

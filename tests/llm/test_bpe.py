@@ -30,6 +30,14 @@ def test_same_as_whole(spark, every):
         assert r.decoded == tok.decode(want, skip_special_tokens=False)
 
 
+def test_table_of_chunks_is_renewed(spark, monkeypatch):
+    """A task forgets its chunks between steps, never inside one."""
+    from factbase.llm import bpe
+    monkeypatch.setattr(bpe, "KEPT", 3)
+    monkeypatch.setattr(bpe, "STEP", 300)
+    test_same_as_whole(spark, 1)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert encode_decode(docs, FILE).collect() == []
