@@ -43,18 +43,21 @@ def ids_of(bucket: pa.Table) -> np.ndarray:
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Sorted whole numbers as 16-bit steps; a longer step is written as several."""
+    """Sorted whole numbers below 2 ** 32 as steps: of 16 bits, a longer one as several, or of 32 bits where that is shorter."""
     steps = np.diff(values.astype(np.int64), prepend=0)
     skips = steps // SKIP
-    if not skips.any():
-        return steps.astype("<u2").tobytes()
-    out = np.full(len(steps) + int(skips.sum()), SKIP, "<u2")
+    more = int(skips.sum())
+    if more > len(steps):
+        return b"\x01" + steps.astype("<u4").tobytes()
+    out = np.full(len(steps) + more, SKIP, "<u2")
     out[np.cumsum(skips + 1) - 1] = steps % SKIP
-    return out.tobytes()
+    return b"\x00" + out.tobytes()
 
 
 def unpack(raw: bytes) -> np.ndarray:
-    steps = np.frombuffer(raw, "<u2")
+    if raw[0]:
+        return np.cumsum(np.frombuffer(raw, "<u4", offset=1), dtype=np.int64)
+    steps = np.frombuffer(raw, "<u2", offset=1)
     return np.cumsum(steps, dtype=np.int64)[steps != SKIP]
 
 

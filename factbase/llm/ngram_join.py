@@ -29,7 +29,7 @@ from factbase.llm.blocks import bucket_count, dealt, in_order, pack, unpack
 from factbase.llm.storage import cut
 from factbase.llm.words import Words, lean, lean_stream, mix, rolled
 
-CODE = 28
+CODE = 26                # bits of a shingle beside its group: a bucket's share of shingles fills them to a hundredth
 FEW = 200_000            # pairs whose ends may be broadcast (3 MB)
 COUNTED = "target int, source int, once binary, more binary, counts binary"
 NODE = "rid long, id long, n long, fa long, fb long, tokens binary, classes binary"

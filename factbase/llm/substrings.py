@@ -28,7 +28,7 @@ from factbase.llm.words import Words, lean, pieces, runs
 
 ANCHOR = 8
 SPLIT = 100_000
-CODE = 28                 # bits of a gram that the census keeps beside its group
+CODE = 24                 # bits of a gram that the census keeps beside its group
 _PLACE = 27               # bits for a word's place in its bucket
 _HEAD = np.dtype([("gram", "<u8"), ("id", "<i8"), ("at", "<u4"), ("n", "u1")])
 _LEAF = np.dtype([("window", "<u8"), ("back", "u1")])
