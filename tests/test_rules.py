@@ -227,7 +227,7 @@ def test_repo_scan(spark):
     assert got["languages.primary"] == ["Python"] and got["projects.recent"] == ["app"]
     assert sorted(got["frameworks"]) == ["FastAPI", "React", "TypeScript", "pandas"]
     rule = repo.existing_rule_files(files, roots).first()
-    assert (rule.key, rule.value_items) == ("existing_rules.agents-md", ["Found in app: be kind..."])
+    assert (rule.key, rule.value_items) == ("existing_rules.agents-md", ["Found in app: be kind"])
 
 
 def test_hash_cache(spark):
@@ -253,7 +253,7 @@ def test_documents_in_order(spark, tmp_path):
     facts = facts_of(spark, fact("b", "2"), fact("a", "1", pos=1))
     packs, rules = packs_of(spark, "p"), rules_of(spark, ("low", 0), ("high", 8))
     lines = render.pack_prompt(packs, facts, rules)
-    text = render.assemble(lines, ["owner_id"])[0].first().text
+    text = render.assemble(lines, ["owner_id"]).first().text
     assert text == ("## Context: p (work)\n\nd\n\n\n### Known facts\n- **a**: 1\n- **b**: 2\n\n"
                     "### Rules & preferences\n- [P8] high\n- low")
     render.write_documents(lines, str(tmp_path / "docs"))
@@ -265,9 +265,9 @@ def test_pack_watch_keeps_latest(spark, tmp_path):
     folder, out = tmp_path / "in", str(tmp_path / "out")
     folder.mkdir()
     (folder / "a.json").write_text('{"name": "a", "scope": "s"}')
-    jobs.pack_changes(spark, str(folder), out).awaitTermination()
+    jobs.pack_changes(spark, str(folder), out, 1)
     (folder / "b.json").write_text('{"scope": 1}')
-    jobs.pack_changes(spark, str(folder), out).awaitTermination()
+    jobs.pack_changes(spark, str(folder), out, 2)
     assert {r.file: r.errors for r in jobs.latest_packs(spark, out).collect()} == {"a.json": 0, "b.json": 2}
 
 
