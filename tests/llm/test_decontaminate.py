@@ -78,6 +78,50 @@ def test_planted(spark):
     assert find_overlaps(frame.limit(0), bench).count() == 0
 
 
+def every_diagonal(docs, items, at_least=12):
+    """(text, item, equal words) of all matches, whatever the seeds."""
+    out = set()
+    for d, text in docs:
+        w = words(text)
+        for i, item in items:
+            v, most = words(item), 0
+            for s in range(-len(v) + 1, len(w)):
+                low, points, floor, top, n = max(0, -s), 0, (0, 0), 0, 0
+                equal = 0
+                for j in range(low, min(len(v), len(w) - s)):
+                    same = w[s + j] == v[j]
+                    points, equal = points + (1 if same else -PENALTY), equal + same
+                    if points - floor[0] > top:
+                        top, n = points - floor[0], equal - floor[1]
+                    if points < floor[0]:
+                        floor = (points, equal)
+                most = max(most, n)
+            if most >= min(at_least, len(v)) and v:
+                out.add((d, i, most))
+    return out
+
+
+def test_every_accepted_stretch_has_a_seed(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=n))) for i, n in enumerate([5, 11, 12, 13, 16, 18, 24, 33, 45, 59])]
+    plants = []
+    for i, item in items:
+        v = item.split()
+        plants += [(i, [x if j % gap != at else "other" for j, x in enumerate(v)]) for gap in (3, 4, 5, 6, 7) for at in range(gap)]
+        plants += [(i, ["other" if rng.random() < share else x for x in v]) for share in (0.1, 0.2, 0.3) for _ in range(6)]
+        plants += [(i, ["other" if j in (4, 10) else x for j, x in enumerate(v)])]
+    docs = [(d, " ".join(rng.choices(vocabulary, k=rng.randrange(9)) + w + rng.choices(vocabulary, k=rng.randrange(9))))
+            for d, (_, w) in enumerate(plants)]
+    want = every_diagonal(docs, items)
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, m.item_id, m.n_matched) for r in find_overlaps(frame, bench).collect() for m in r.matches}
+    assert {w[:2] for w in want} == {g[:2] for g in got} and len(want) > 150
+    assert got == want
+    few = {(r.doc_id, m.item_id) for r in find_overlaps(frame, bench, at_least=6).collect() for m in r.matches}
+    assert few == {w[:2] for w in every_diagonal(docs, items, 6)}
+
+
 def test_query(spark):
     folder = "/root/testdata/sf0.01"
     docs = {r.doc_id: " ".join(words(r.text)) for r in table(spark, folder, "documents").collect()}
