@@ -7,6 +7,10 @@ node (logarithms to base m; 1 where m is 1):
 * presentation: of the distribution of its style nodes, a part 1 - DECAY^(styles - 1) of the node's importance;
 * content: 1 less the mean of log c over its texts, each found on c of the m pages, averaged over the node's subtree.
 
+Words like `sidebar` count as a sign of noise only as whole tokens of a class, id or role, never on body, article or main
+and never on a branch with most of the page's text, unless an article or main stands beside it. An article or main inside a branch that only such words (or a form)
+call noise is main text all the same, unless the page has more main text elsewhere or the branch is part of an article.
+
 A branch is noise only if all nodes in it are, so a node counts for as much as the best one below it. A block of a page
 is kept if PRIOR x what its markup says (1 inside article or main, 0 inside menus, footers, adverts and the like, else 1/2) and
 (1 - PRIOR) x its importance add up to 1/2. Counts are summed by (host, node, feature) before anything else; only
@@ -33,18 +37,21 @@ from factbase.llm.words import lean_stream
 DECAY, PRIOR = 0.9, 0.6
 FEW = 100_000            # pages with dropped nodes that may be broadcast
 NOISE, OPEN, MAIN = 0, 1, 2
+WEAK, BOXED = 3, 4       # while a page is read: noise by words or form alone; an article or main inside it
+MOST, MOST_IN_MAIN = 0.5, 0.9  # shares of a page's text above which a branch is no noise by words or form
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template svg math xmp noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small "
                    "span strike strong sub sup time tt u var wbr img br html".split())
-NOISY_TAGS = frozenset("nav footer aside form button select dialog menu head fieldset".split())
+NOISY_TAGS = frozenset("nav footer aside button select dialog menu head fieldset".split())
 NOISY_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie "
                         "cookies consent gdpr notice notices alert sidebar aside nav navbar navigation menu breadcrumb breadcrumbs "
                         "footer comment comments reply replies disqus related recommended share sharing social newsletter "
                         "subscribe signup popup modal overlay pagination pager search login contentinfo complementary".split())
 HEAD_WORDS = frozenset(["header", "masthead", "topbar"])
 MAIN_WORDS = frozenset(["main", "article"])
+WRAPPERS = frozenset(["body", "main", "article"])
 #: An open element that ends when one of these begins.
 ENDS = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]),
         "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
@@ -59,15 +66,63 @@ def _number(text: str) -> int:
 
 
 @lru_cache(maxsize=50_000)
-def _role(name: str, words: tuple[str, ...], above: int) -> int:
-    """What an element's own markup says, else what stands above it."""
-    if name in NOISY_TAGS or NOISY_WORDS.intersection(words):
-        return NOISE
-    if above != MAIN and (name == "header" or HEAD_WORDS.intersection(words)):
-        return NOISE
-    if above == OPEN and (name in ("article", "main") or MAIN_WORDS.intersection(words)):
-        return MAIN
-    return above
+def _signs(name: str, names: tuple[str, ...]) -> tuple[bool, bool, bool]:
+    """Whether an element's form or names say noise, head of a page, main text. `names`: values of class, id and role."""
+    pieces = [set(WORDS.findall(token)) for value in names for token in value.split()]
+    pieces = [x for x in pieces if x]
+    weak = name == "form" or any(x <= NOISY_WORDS for x in pieces)
+    head = any(x <= HEAD_WORDS for x in pieces)
+    main = name in MAIN_WORDS or any(x & MAIN_WORDS and not x & (NOISY_WORDS | HEAD_WORDS) for x in pieces)
+    return (False, False, main) if name in WRAPPERS else (weak, head, main)
+
+
+def _roles(elements: list[tuple[int, str, tuple[str, ...]]], own: list[int]) -> list[int]:
+    """Role of each element (element above, name, names), from its markup and the characters of text that it holds itself."""
+    hard = [False] * len(elements)
+    for i, (up, name, _) in enumerate(elements):
+        hard[i] = name in NOISY_TAGS or i > 0 and hard[up]
+    size = [0 if h else n for h, n in zip(hard, own)]
+    for i in range(len(elements) - 1, 0, -1):
+        size[elements[i][0]] += size[i]
+    signs = [_signs(name, names) for _, name, names in elements]
+    in_main, branch = [False] * len(elements), [0] * len(elements)  # the nearest element with a sign of noise, or 0
+    beside = [0] * len(elements)  # text of articles by such branches
+    for i in range(1, len(elements)):
+        up, (weak, head, main) = elements[i][0], signs[i]
+        in_main[i] = in_main[up] or main
+        branch[i] = i if weak or head else branch[up]
+        if in_main[i] and not hard[i]:
+            beside[branch[i]] += own[i]
+
+    def most(i: int, inside: bool) -> bool:
+        """Whether a branch holds so much of the page's text that words and form say nothing about it."""
+        if size[i] <= size[0] * (MOST_IN_MAIN if inside else MOST):
+            return False
+        while i and not inside:
+            i = branch[elements[i][0]]
+            if beside[i]:
+                return False
+        return True
+
+    roles, in_article = [OPEN] * len(elements), [False] * len(elements)
+    for i in range(1, len(elements)):
+        up, name, names = elements[i]
+        above, (weak, head, main) = roles[up], signs[i]
+        in_article[i] = in_article[up] or name == "article"
+        inside = above in (MAIN, BOXED)
+        if above == NOISE or hard[i] or name == "header" and not inside:
+            roles[i] = NOISE
+        elif (weak or head and not inside) and not most(i, inside):
+            roles[i] = NOISE if in_article[i] else WEAK
+        elif above == WEAK and (name in MAIN_WORDS or "main" in names):
+            roles[i] = BOXED
+        elif above == OPEN and main:
+            roles[i] = MAIN
+        else:
+            roles[i] = above
+    held = {r: sum(n for n, x in zip(own, roles) if x == r) for r in (MAIN, BOXED)}
+    boxed = MAIN if held[BOXED] >= held[MAIN] else NOISE
+    return [{WEAK: NOISE, BOXED: boxed}.get(r, r) for r in roles]
 
 
 @lru_cache(maxsize=50_000)
@@ -121,7 +176,9 @@ def read_page(html: str | None) -> tuple[dict[int, tuple], list[tuple[int, int,
     """Element nodes {node: (nodes above, children)} and blocks (node, role, text) of a page, in page order."""
     nodes: dict[int, tuple[tuple[int, ...], list[str]]] = {0: ((), [])}
     blocks: list[tuple[int, int, str]] = []
-    stack: list[tuple[str, int, int]] = [("", 0, OPEN)]  # name, node, role
+    stack: list[tuple[str, int, int]] = [("", 0, 0)]  # name, node, element
+    elements: list[tuple[int, str, tuple[str, ...]]] = [(0, "", ())]
+    own = [0]
     held: list[str] = []
 
     def flush() -> None:
@@ -129,7 +186,8 @@ def read_page(html: str | None) -> tuple[dict[int, tuple], list[tuple[int, int,
             text = " ".join("".join(held).split())
             held.clear()
             if text:
-                blocks.append((stack[-1][1], stack[-1][2], text))
+                blocks.append((*stack[-1][1:], text))
+                own[stack[-1][2]] += len(text)
 
     for kind, name, rest in _tokens(html or ""):
         if kind == "text":
@@ -148,19 +206,24 @@ def read_page(html: str | None) -> tuple[dict[int, tuple], list[tuple[int, int,
                 stack.pop()
             if name == "hr":
                 continue
+            names: tuple[str, ...] = ()
             words: tuple[str, ...] = ()
             if "=" in rest:
-                words = tuple(sorted({w for m in NAMES.finditer(rest) for w in WORDS.findall((m[1] or m[2] or m[3] or "").lower())}))
-            _, above, role = stack[-1]
+                names = tuple((m[1] or m[2] or m[3] or "").lower() for m in NAMES.finditer(rest))
+                words = tuple(sorted({w for x in names for w in WORDS.findall(x)}))
+            _, above, element = stack[-1]
             node = _node(above, name, words)
             ups, children = nodes[above]
             if not children or children[-1] != name:
                 children.append(name)
             if node not in nodes:
                 nodes[node] = ((*ups, above), [])
-            stack.append((name, node, _role(name, words, role)))
+            stack.append((name, node, len(elements)))
+            elements.append((element, name, names))
+            own.append(0)
     flush()
-    return nodes, blocks
+    roles = _roles(elements, own)
+    return nodes, [(node, roles[element], text) for node, element, text in blocks]
 
 
 FEATURES = "host string, node long, kind string, feature long, ups array<long>"

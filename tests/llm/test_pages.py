@@ -49,6 +49,40 @@ def test_markup(spark):
     assert extract(frame.limit(0)).count() == 0
 
 
+LONG = "a long text of the article that the page is about"
+NAMED = [
+    (f"<body class='single no-sidebar'><article>{LONG}</article></body>", LONG),
+    (f"<div class='content-with-sidebar'><p>{LONG}</p></div>", LONG),
+    (f"<body class='search search-results'><main>{LONG}</main><div class=sidebar>links</div></body>", LONG),
+    (f"<article class='post category-notices tag-newsletter newsletter'>{LONG}</article>", LONG),
+    (f"<body><form id=aspnetForm action=x><nav>{LONG}</nav><div class=text><p>{LONG}</p></div></form></body>", LONG),
+    (f"<body><form><div class=login>name</div><article>{LONG}<form>say</form></article></form></body>", LONG),
+    (f"<main><form><p>{LONG}</p></form></main>", LONG),
+    (f"<div class=overlay><article>{LONG[:20]}</article></div><div>{LONG}</div>", f"{LONG[:20]}\n{LONG}"),
+    (f"<main><div class='promo'><article>x y</article></div><article>{LONG}</article></main>", LONG),
+    (f"<article>{LONG}<section class=comments><article class=comment>{LONG}</article></section></article>", LONG),
+    (f"<div class='cookie-notice'>ok?</div><div id=ad-2>buy</div><div class='box related'>r</div><p>{LONG}</p>", LONG),
+    (f"<div class=search><p>{LONG}</p></div><div class=related><article>t</article></div>", f"{LONG}\nt"),
+    (f"<article>short</article><div class=ad>{LONG}</div>", "short"),
+    (f"<form><article>short</article><div class=ad>{LONG}</div></form>", "short"),
+    (f"<main class=ad><p>{LONG}</p></main><div class=masthead>m</div>", LONG),
+]
+
+
+def test_noisy_words_of_wrappers(spark):
+    frame = spark.createDataFrame([(i, f"http://h{i}.org/", page) for i, (page, _) in enumerate(NAMED)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract(frame).collect()}
+    for i, (_, want) in enumerate(NAMED):
+        assert got[i] == want, i
+
+
+def test_noisy_words_of_wrappers_on_one_site(spark):
+    page = ("<body class='single no-sidebar'><div class=top>Welcome to our site</div><form><div class='content-with-sidebar'><h2>T{0}</h2>"
+            "<p>text number {0} of this site</p></div><div class=sidebar>links {0}</div></form></body>")
+    frame = spark.createDataFrame([(i, "http://h.org/", page.format(i)) for i in range(9)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in extract(frame).collect()} == {i: f"T{i}\ntext number {i} of this site" for i in range(9)}
+
+
 def by_hand(pages, decay=0.9):
     seen = defaultdict(lambda: defaultdict(Counter))
     for host, page in pages:
