@@ -164,3 +164,26 @@ def test_fixed_values():
     assert len(secrets.PATTERNS) == 27 and len(templates.TEMPLATES) == 14
     assert repo.EXTENSIONS[".py"] == "Python" and repo.EXTENSIONS[".rs"] == "Rust"
     assert access.ALIASES and all(k == k.lower() for k in access.ALIASES)
+
+
+def test_damaged_exports_of_all_layouts(spark):
+    from factbase.plans import catalog_chat
+    from factbase.plans.catalog import spark_queries
+    from factbase.plans.fixtures import Views
+    folder, want = "/root/testdata/sf0.001", set()
+    for r in catalog_chat._broken(Views(spark, folder)).collect():
+        try:
+            doc = json.loads(r.doc)
+        except ValueError:
+            continue
+        for c, conv in enumerate(doc if isinstance(doc, list) else [doc] if isinstance(doc, dict) else []):
+            first = "chat_messages" in conv
+            for n, m in enumerate(conv.get("chat_messages") or conv.get("messages") or [conv]):
+                body = m.get("text", m.get("content"))
+                if m.get("sender", m.get("role")) in ("human", "user"):
+                    for k, text in enumerate([body] if isinstance(body, str) else [x["text"] for x in body if x["type"] == "text"]):
+                        if text or not first:
+                            want.add((r.owner_id, r.file, c, n * 1048576 + k, text))
+    got = spark_queries()["read_chat_damaged_layouts"](spark, folder).select("owner_id", "file", "conv_no", "pos", "text").collect()
+    assert {int(w[1][1:]) % 5 for w in want} == {0, 1, 2, 3, 4}
+    assert len(got) == len(want) and set(map(tuple, got)) == want
