@@ -90,6 +90,14 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document, and whether it has more than 1024 tokens."""
+    import public_tokenizers
+    from factbase.llm.token_counts import count_tokens
+    counted = count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
 QUERIES = {
     "op1_sharding": (op1_sharding, oracles.sharding(40, 64, 14)),
     "op2_decontaminate": (op2_decontaminate, None),
@@ -101,4 +109,5 @@ QUERIES = {
     "op9_urls": (op9_urls, oracles.urls(RULES)),
     "op4_language": (op4_language, None),
     "op10_bpe": (op10_bpe, None),
+    "op13_token_counts": (op13_token_counts, None),
 }
