@@ -122,3 +122,33 @@ fold(step, waiting, start, free, take, shard, slot) as (
 takes as (select start - take as start, take, shard, slot from fold where take > 0)
 select doc_id, size, text_crc32, 'rows' as law, shard, slot + rank - start as slot, cast(null as int) as grown_shard from r asof join takes on r.rank >= takes.start
 """
+
+
+def _crc(number: str) -> str:
+    """CRC-32 of the decimal digits of a number, with t from the table `tab`."""
+    digits = f"list_transform(string_split(cast({number} as varchar), ''), lambda x: cast(ascii(x) as bigint))"
+    return (f"xor(list_reduce(list_prepend(4294967295::bigint, {digits}), "
+            "lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295::bigint)")
+
+
+def runs() -> str:
+    """Stretches of equal words at each distance, by numbering; the smallest period of each stretch."""
+    return f"""
+with tab as (select {_crc_table()}::bigint[] as t),
+d as (select doc_id, {WORDS.format(text='text')} as ws, {_crc('doc_id')} as h from documents, tab),
+n as (select *, len(ws) as n, h // 10 as g from d),
+a as (select *, case when h % 10 = 0 and n > 0 then g % n else n end as a from n),
+p as (select *, 1 + (n - a) // (3 + g % 8) as p from a),
+e as materialized (select doc_id, n, i, ws[case when i >= a then a + (i - a) % p else i end + 1] as word from (select *, unnest(range(n)) as i from p)),
+l as (select x.doc_id, x.i, y.i - x.i as q from e x join e y on x.doc_id = y.doc_id and x.word = y.word and y.i > x.i and 3 * (y.i - x.i) <= x.n),
+s as (select doc_id, q as period, min(i) as start, count(*) + q as length
+    from (select *, i - row_number() over (partition by doc_id, q order by i) as island from l) group by doc_id, q, island),
+r as materialized (select doc_id, start, length, min(period) as period from s where length >= greatest(24, 3 * period) group by all),
+gone as (select distinct doc_id, i from (select doc_id, unnest(range(start + period, start + length)) as i from r)),
+kept as (select doc_id, string_agg(word, ' ' order by i) as text from e anti join gone using (doc_id, i) group by doc_id),
+best as (select * from r qualify row_number() over (partition by doc_id order by length / period desc, start, period) = 1),
+said as (select doc_id, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as lines from r group by doc_id)
+select d.doc_id, coalesce(n_runs, 0) as n_runs, start, length, period, (1000 * length) // period as exponent_milli,
+    sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(kept.text, '')) as collapsed_sha256
+from d left join best using (doc_id) left join said using (doc_id) left join kept using (doc_id)
+"""

@@ -90,6 +90,33 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def planted_repeats(docs: DataFrame) -> DataFrame:
+    """In documents whose crc32(decimal doc_id), h, is divisible by 10, words from a on repeat the p words from a on:
+    g = floor(h / 10), a = g % n, p = 1 + floor((n - a) / (3 + g % 8)) for n words. A null doc_id has no h."""
+    words = F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
+    g = F.floor(F.crc32(F.col("doc_id").cast("string").cast("binary")) / 10)
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
+    rows = docs.select("doc_id", "text", F.when(chosen, words).alias("w"), g.alias("g"))
+    rows = rows.withColumn("n", F.size("w")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    rows = rows.withColumn("p", (F.lit(1) + F.floor((F.col("n") - F.col("a")) / (F.lit(3) + F.col("g") % 8))).cast("int"))
+    times = F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
+    repeated = F.slice(F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), times)), F.lit(1), F.col("n") - F.col("a"))
+    planted = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), repeated), " ")
+    return rows.select("doc_id", F.when(F.col("n") > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, in every tenth one after planting repeats, and the text without them."""
+    from factbase.llm.periods import collapse_runs
+    found = collapse_runs(planted_repeats(table(spark, sf_dir, "documents")))
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    lines = F.concat(F.array_join(line, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document, and whether it has more than 1024 tokens."""
     import public_tokenizers
@@ -109,5 +136,6 @@ QUERIES = {
     "op9_urls": (op9_urls, oracles.urls(RULES)),
     "op4_language": (op4_language, None),
     "op10_bpe": (op10_bpe, None),
+    "op12_runs": (op12_runs, oracles.runs()),
     "op13_token_counts": (op13_token_counts, None),
 }
