@@ -152,3 +152,29 @@ select d.doc_id, coalesce(n_runs, 0) as n_runs, start, length, period, (1000 * l
     sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(kept.text, '')) as collapsed_sha256
 from d left join best using (doc_id) left join said using (doc_id) left join kept using (doc_id)
 """
+
+
+def trie() -> str:
+    """Prefixes of each rebuilt conversation as strings; subtrees through each node's own ancestors."""
+    return f"""
+with tab as (select {_crc_table()}::bigint[] as t),
+o as (select conv_id, row_number() over (partition by conv_id order by turn nulls first, step) - 1 as pos, step, chars from (
+    select conv_id, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as step, length(coalesce(text, '')) as chars
+    from conversations where conv_id is not null)),
+c as (select conv_id, {_crc('conv_id')} % 6 as h, conv_id - conv_id % 100 as base from (select distinct conv_id from o), tab),
+b as (select c.conv_id, 0 as own, pos, step, chars from c join o on o.conv_id = c.base and pos < h
+    union all select conv_id, 1, pos, step, chars from c join o using (conv_id) where pos >= h),
+n as (select *, row_number() over (partition by conv_id order by own, pos) as depth from b),
+p as materialized (select conv_id, depth, chars, string_agg(step, '') over (partition by conv_id order by depth) as node from n
+    union all select conv_id, 0, 0, '' from c),
+v as materialized (select node, depth, min(conv_id) as conv_id, count(*) as n_convs, any_value(chars) as chars from p group by node, depth),
+u as (select v.*, p.node as up from v left join p on p.conv_id = v.conv_id and p.depth = v.depth - 1),
+k as (select up as node, count(*) as n_children from u where up is not null group by up),
+w as materialized (select u.*, coalesce(n_children, 0) as n_children, a.conv_id as parent_conv_id from u left join k on k.node = u.node left join v a on a.node = u.up),
+s as (select p.node, sum((n_convs - 1) * w.chars) as saved, sum(cast(n_children = 0 as int)) as n_leaves
+    from w join p on p.conv_id = w.conv_id and p.depth <= w.depth group by p.node),
+e as (select node, sha256(string_agg(conv_id, ',' order by conv_id)) as digest from (select conv_id, max_by(node, depth) as node from p group by conv_id) group by node)
+select w.conv_id, w.depth, w.parent_conv_id, w.n_convs, w.n_children, cast(s.n_leaves as bigint) as n_leaves, cast(s.saved as bigint) as saved_tokens,
+    coalesce(e.digest, sha256('')) as ends_sha256
+from w join s using (node) left join e using (node)
+"""

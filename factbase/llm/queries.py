@@ -90,6 +90,31 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def rebuilt(turns: DataFrame, group: int = 100, most: int = 6) -> DataFrame:
+    """Turns (conv_id, pos, digest, chars) where conversation c begins with the first h turns of conversation
+    c - c % group, then has its own after its first h; h = crc32(decimal c) % most. A row with null pos for each conversation."""
+    h = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % most).alias("h")
+    base = (F.col("conv_id") - F.col("conv_id") % group).alias("base")
+    heads = turns.where((F.col("conv_id") % group == 0) & (F.col("pos") < most - 1)).withColumnRenamed("conv_id", "base")
+    convs = turns.select("conv_id").distinct().select("conv_id", h, base)
+    lent = convs.join(heads, "base").where("pos < h").select("conv_id", "pos", "digest", "chars")
+    number = heads.groupBy("base").agg(F.count(F.lit(1)).alias("n"))
+    own = turns.select("*", h, base).where("pos >= h").join(number, "base", "left")
+    place = F.col("pos") - F.col("h") + F.least("h", F.coalesce("n", F.lit(0)))
+    none = convs.select("conv_id", F.lit(None).cast("long").alias("pos"), F.lit(None).cast("string").alias("digest"),
+                        F.lit(None).cast("long").alias("chars"))
+    return lent.unionByName(own.select("conv_id", place.alias("pos"), "digest", "chars")).unionByName(none)
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of all rebuilt conversations."""
+    from factbase.llm.prefix_trie import EMPTY, ends_digest, prefix_trie, turn_digests
+    from factbase.llm.storage import cut
+    trie = prefix_trie(rebuilt(cut(turn_digests(table(spark, sf_dir, "conversations")))))
+    out = trie.nodes.join(ends_digest(trie.ends), "node", "left").fillna(EMPTY, ["ends_sha256"])
+    return out.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 def planted_repeats(docs: DataFrame) -> DataFrame:
     """In documents whose crc32(decimal doc_id), h, is divisible by 10, words from a on repeat the p words from a on:
     g = floor(h / 10), a = g % n, p = 1 + floor((n - a) / (3 + g % 8)) for n words. A null doc_id has no h."""
@@ -136,6 +161,7 @@ QUERIES = {
     "op9_urls": (op9_urls, oracles.urls(RULES)),
     "op4_language": (op4_language, None),
     "op10_bpe": (op10_bpe, None),
+    "op11_prefix_trie": (op11_prefix_trie, oracles.trie()),
     "op12_runs": (op12_runs, oracles.runs()),
     "op13_token_counts": (op13_token_counts, None),
 }
