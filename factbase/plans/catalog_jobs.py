@@ -7,7 +7,7 @@ from factbase.operators import incremental, provision, repo
 from factbase.plans.catalog_chat import q, trim
 from factbase.plans.catalog_docs import VIOLATIONS, scrub_sql
 from factbase.plans.fixtures import AS_OF, with_views
-from factbase.streaming import jobs
+from factbase.streaming import jobs, live
 
 TS = f"timestamp '{AS_OF}'"
 NAMES = [*TEMPLATES, "nope"]
@@ -184,9 +184,13 @@ select owner_id, path, case when b.mtime is null then 'created' when a.mtime is
 
 def _events_stream(v):
     """The access log replayed as a stream: same columns as the batch view U."""
+    return _from_events(jobs.stream_table(v.spark, v.dir, "events.parquet"))
+
+
+def _from_events(stream):
     e = F.col("event_id")
     arr = lambda names, n: F.get(F.array(*[F.lit(x) for x in names]), (e % n).cast("int"))
-    return jobs.stream_table(v.spark, v.dir, "events.parquet").select(
+    return stream.select(
         "event_id", arr(["en", "fr", "de", "es"], 4).alias("owner_id"), F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")).alias("pack"),
         F.when(e % 7 != 3, F.concat(F.lit("k"), (F.get_json_object("props", "$.k").cast("int") % 25).cast("string"))).alias("key"),
         F.col("ts").cast("timestamp").alias("ts"), arr(["claude", "cursor", "chatgpt", "gemini", "myapp"], 5).alias("agent"))
@@ -204,6 +208,55 @@ def _debounce_stream(v):
     return jobs.read_debounced(v.spark, out)
 
 
+def _live_events(v, out):
+    """The access log in four files of its own, streamed one file at a time; their order is not that of the events."""
+    path = f"{out}/log"
+    table = v.table("events")
+    table.repartition(4, "event_id").write.parquet(path)
+    return _from_events(v.spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path))
+
+
+def _live_usage(v):
+    out = jobs.new_output(v.spark, "live-usage")
+    live.live_usage(_live_events(v, out), f"{out}/counters", every=3).awaitTermination()
+    return live.read_live_usage(v.spark, f"{out}/counters").withColumn("last_called", F.col("last_called").cast("timestamp_ntz"))
+
+
+def _live_bursts(v):
+    out = jobs.new_output(v.spark, "live-bursts")
+    live.live_bursts(_live_events(v, out), f"{out}/bursts", every=3).awaitTermination()
+    return live.read_live_bursts(v.spark, f"{out}/bursts")
+
+
+def _watch(v):
+    """Packs written by Spark, one folder each, in three thirds that are watched by one query, restarted for each look:
+    all are new; then one third is gone and one rewritten with text after the document; then nothing changes; then the third
+    that was gone is back."""
+    base = jobs.new_output(v.spark, "watched")
+    number = F.regexp_extract("file", "([0-9]+)", 1).cast("int")
+    docs = v.RP.repartition("file").select("file", "doc", (number % 3).alias("third"))
+
+    def write(third, value):
+        (docs.where(F.col("third") == third).select("file", value.alias("value")).write.mode("overwrite").option("lineSep", " ")
+         .partitionBy("file").text(f"{base}/in/third={third}"))
+
+    def watch():
+        live.watch_packs(v.spark, f"{base}/in", f"{base}/out", "part-*", "folder", availableNow=True).awaitTermination()
+
+    for third in range(3):
+        write(third, F.col("doc"))
+    watch()
+    live.delete_folder(v.spark, f"{base}/in/third=0")
+    write(1, F.concat("doc", F.lit(" {}")))
+    watch()
+    watch()
+    write(0, F.col("doc"))
+    watch()
+    rows = v.spark.read.parquet(f"{base}/out/rows").groupBy("run", "change").agg(F.count(F.lit(1)).alias("n"), F.sum("errors").alias("errors"))
+    kept = jobs.latest_packs(v.spark, f"{base}/out").agg(F.count(F.lit(1)).alias("n"), F.sum("errors").alias("errors"))
+    return rows.select(F.col("run").cast("int").alias("look"), "change", "n", "errors").union(kept.select(F.lit(5), F.lit("kept"), "n", "errors"))
+
+
 def _scrub_stream(v):
     out = jobs.new_output(v.spark, "scrubbed")
     docs = jobs.stream_table(v.spark, v.dir, "documents.parquet").select("doc_id", "text")
@@ -241,9 +294,10 @@ def _watched(spark, base, run):
     return jobs.record_changes(files, f"{base}/out", run)
 
 
-DB = """DB as (select owner_id, ts, case when ts - lag(ts) over w > interval 500 millisecond or lag(ts) over w is null then 1 else 0 end as s from U window w as (partition by owner_id order by ts)),
-DI as (select owner_id, ts, sum(s) over (partition by owner_id order by ts rows unbounded preceding) as g from DB)
-select owner_id, min(ts) as first_ts, max(ts) as last_ts, count(*) as changes from DI group by owner_id, g"""
+DBI = """DB as (select owner_id, ts, case when ts - lag(ts) over w > interval 500 millisecond or lag(ts) over w is null then 1 else 0 end as s from U window w as (partition by owner_id order by ts)),
+DI as (select owner_id, ts, sum(s) over (partition by owner_id order by ts rows unbounded preceding) as g from DB)"""
+BURSTS = "select owner_id, min(ts) as first_ts, max(ts) as last_ts, count(*) as changes from DI group by owner_id, g"
+DB = f"{DBI} {BURSTS}"
 
 tags = lambda df: df.withColumn("tags", F.array_join("tags", ","))
 
@@ -307,5 +361,14 @@ QUERIES = {
     "debounced_reloads": (lambda v: jobs.debounced_reloads(v.U), with_views("U", "with " + DB)),
     "debounced_by_minute": (lambda v: jobs.debounced_reloads(v.U, "minute"), with_views("U", "with " + DB)),
     "stream_debounced": (_debounce_stream, with_views("U", "with " + DB)),
+    "live_usage_counters": (
+        _live_usage, with_views("U", "select owner_id, pack, key, agent, count(*) as calls, max(ts) as last_called from U where key is not null group by all")),
+    "live_bursts": (_live_bursts, with_views("U", f"""with {DBI}, DG as ({BURSTS})
+ select *, (select max(ts) from U) - last_ts > interval 500 millisecond as closed from DG""")),
+    "watched_packs": (
+        _watch, with_views("RP", f"""with {VIOLATIONS}, PE as (select file, cast(regexp_extract(file, '([0-9]+)', 1) as int) % 3 as third, count(code) as errors from RP left join VI using (file) group by all)
+ select 1 as look, 'created' as change, count(*) as n, cast(sum(errors) as bigint) as errors from PE union all select 2, 'deleted', count(*), null from PE where third = 0
+ union all select 2, 'modified', count(*), count(*) from PE where third = 1 union all select 4, 'created', count(*), cast(sum(errors) as bigint) from PE where third = 0
+ union all select 5, 'kept', count(*), cast(sum(case when third = 1 then 1 else errors end) as bigint) from PE""")),
     "stream_scrub": (_scrub_stream, f"select doc_id, {scrub_sql('text')} as text from documents"),
 }

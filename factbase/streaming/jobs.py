@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
@@ -119,28 +119,39 @@ def read_debounced(spark: SparkSession, out: str, bucket: str = "hour") -> DataF
     return debounced_reloads(spark.read.parquet(f"{out}/rows"), bucket)
 
 
-def debounced_reloads(changes: DataFrame, bucket: str = "hour") -> DataFrame:
-    """Bursts of changes per owner in batch: (owner_id, first_ts, last_ts, changes).
+def gap() -> Column:
+    return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(GAP_MS / 1000))
 
-    Sessions are built inside (owner, bucket of time: day, hour, minute or second), so a busy owner is spread over
-    many tasks. Only sessions within the gap of a bucket's edge can go on in another one; those few are joined up
-    in a second step. Rows may carry a count of changes of their own.
-    """
+
+def within_buckets(changes: DataFrame, bucket: str) -> DataFrame:
+    """Bursts inside (owner, h), where h is a bucket of time: (owner_id, h, first_ts, last_ts, changes)."""
     number = F.sum("changes") if "changes" in changes.columns else F.count(F.lit(1))
-    ts = F.col("ts").cast("timestamp_ntz")
-    changes = changes.withColumn("ts", ts)
-    gap = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(GAP_MS / 1000))
+    part = changes.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    part = part.withColumn("h", F.date_trunc(bucket, "ts").cast("timestamp_ntz"))
+    return (part.groupBy("owner_id", "h", F.session_window("ts", f"{GAP_MS} milliseconds"))
+            .agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), number.alias("changes")).drop("session_window"))
+
+
+def across_buckets(local: DataFrame, bucket: str) -> DataFrame:
+    """Join up bursts that go on in the next bucket; only those within the gap of a bucket's edge are looked at."""
     width = F.expr(f"interval '1' {bucket}")
-    part = changes.withColumn("h", F.date_trunc(bucket, "ts").cast("timestamp_ntz"))
-    local = (part.groupBy("owner_id", "h", F.session_window("ts", f"{GAP_MS} milliseconds"))
-             .agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), number.alias("changes")))
-    edge = (F.col("first_ts") - F.col("h") <= gap) | (F.col("h") + width - F.col("last_ts") <= gap)
+    edge = (F.col("first_ts") - F.col("h") <= gap()) | (F.col("h") + width - F.col("last_ts") <= gap())
     local = local.withColumn("_edge", edge)
     w = Window.partitionBy("owner_id").orderBy("first_ts")
     ends = (local.where("_edge")
-            .withColumn("_new", F.coalesce(F.col("first_ts") - F.lag("last_ts").over(w) > gap, F.lit(True)))
+            .withColumn("_new", F.coalesce(F.col("first_ts") - F.lag("last_ts").over(w) > gap(), F.lit(True)))
             .withColumn("_id", F.sum(F.col("_new").cast("int")).over(w)))
     joined = ends.groupBy("owner_id", "_id").agg(
         F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), F.sum("changes").alias("changes"))
     cols = ["owner_id", "first_ts", "last_ts", "changes"]
     return local.where(~F.col("_edge")).select(*cols).unionByName(joined.select(*cols))
+
+
+def debounced_reloads(changes: DataFrame, bucket: str = "hour") -> DataFrame:
+    """Bursts of changes per owner in batch: (owner_id, first_ts, last_ts, changes).
+
+    Sessions are built inside (owner, bucket of time: day, hour, minute or second), so a busy owner is spread over
+    many tasks. Only sessions within the gap of a bucket's edge can go on in another one; those few are joined up
+    in a second step. Rows may carry a count of changes of their own.
+    """
+    return across_buckets(within_buckets(changes, bucket), bucket)
