@@ -204,10 +204,6 @@ def _broken(v):
 
 
 BROKEN = """BR as (select owner_id, file, case cast(substr(file, 2) as int) % 7 when 0 then substr(doc, 1, length(doc) - 1) when 1 then doc || ' [1]' when 2 then '"text"' else doc end as doc from CF)"""
-# exports of the second layout with a plain list of messages
-DAMAGED_SQL = with_views("CF", f"""with {BROKEN}, OKD as (select owner_id, file, cast(doc as json) as d from BR where json_valid(doc) and cast(substr(file, 2) as int) % 5 = 2 and json_type(doc) = 'OBJECT'),
- MS as (select owner_id, file, i, json_extract(d, '$.messages[' || i || ']') as m from (select *, unnest(range(cast(json_array_length(d, '$.messages') as bigint))) as i from OKD))
- select owner_id, file, 0 as conv_no, i * 1048576 as pos, m->>'$.content' as text from MS where m->>'$.role' = 'user'""")
 # exports of all layouts; of the damaged ones, those that are still a list or an object
 DAMAGED_LAYOUTS_SQL = with_views("CF", f"""with {BROKEN}, FL as ({FLAT_SQL}), OKF as (select owner_id, file from BR where case when json_valid(doc) then json_type(doc) in ('ARRAY', 'OBJECT') else false end)
  select * from FL semi join OKF using (owner_id, file)""")
@@ -224,7 +220,6 @@ QUERIES = {
     "unreadable_exports": (
         lambda v: chats.unreadable_exports(_broken(v), "flat"),
         with_views("CF", f"with {BROKEN} select owner_id, file, case when not json_valid(doc) then 'unreadable' when json_type(doc) = 'VARCHAR' then 'unexpected str' end as error from BR where not json_valid(doc) or json_type(doc) = 'VARCHAR'")),
-    "read_chat_damaged": (lambda v: chats.read_chat_flat(_broken(v).where(F.substring("file", 2, 9).cast("int") % 5 == 2)), DAMAGED_SQL),
     "read_chat_damaged_layouts": (lambda v: chats.read_chat_flat(_broken(v)), DAMAGED_LAYOUTS_SQL),
     "limit_conversations": (
         lambda v: chats.limit_conversations(v.M, 5),
