@@ -31,6 +31,7 @@ SETTLE_EDGES = 1_000_000  # edges of a pack that one task walks
 CHUNK, CHUNK_CHARS = 1000, 200_000  # texts and characters in a chunk; long texts make smaller chunks
 PACK = ["owner_id", "pack"]
 NODE = ["owner_id", "pack", "pos"]
+TEXT_KEYS = ["text_id", "first_pos", "last_pos", "copies", "key_lo", "key_hi"]
 GRAM = 8
 SLICE = 4096
 LONG_TEXT = 200  # from this length on, the matcher ignores frequent characters as block seeds
@@ -44,16 +45,62 @@ def distinct_texts(facts: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("copies"), F.min("key").alias("key_lo"), F.max("key").alias("key_hi"))
 
 
-def comparison_tiles(texts: DataFrame, threshold: float = THRESHOLD, chunk: int = CHUNK) -> DataFrame:
-    """Texts assigned to tiles (pack, lower class, step, row chunk, column chunk).
+def _char_groups() -> list[str]:
+    """Characters that are counted one by one: a to z and the space. Digits are one group, all others another."""
+    return [chr(c) for c in range(ord("a"), ord("z") + 1)] + [" "]
+
+
+def profiles(texts: DataFrame) -> DataFrame:
+    """Texts as numbers: ids, positions, copies, keys, size (length) and profile (the count of each group of characters)."""
+    n = F.length("text")
+    counts = [n - F.length(F.replace(F.col("text"), F.lit(c), F.lit(""))) for c in _char_groups()]
+    counts.append(n - F.length(F.translate("text", "0123456789", "")))
+    slim = texts.where(n > 0).select(*PACK, *TEXT_KEYS, n.alias("size"), F.array(*counts).alias("profile"))
+    rest = F.col("size") - F.aggregate("profile", F.lit(0), lambda a, x: a + x)
+    return slim.withColumn("profile", F.array_append("profile", rest))
+
+
+def candidate_pairs(facts: DataFrame, threshold: float = THRESHOLD, chunk: int = CHUNK) -> DataFrame:
+    """Pairs of different texts of a pack that lengths and character counts allow to be similar, found without moving
+    a text: (owner_id, pack, text_a, text_b, distance, total), a first. No similar pair is missing.
+
+    A matching block takes equal characters from both sides, so a ratio of t needs a distance (the sum of differences of
+    the counts) of at most (1 - t) * total, where total is the sum of lengths. Tiles of `chunk` texts meet
+    one another in an equi-join, so a hot pack or length is spread over its tiles.
+    """
+    rows = profiles(distinct_texts(facts))
+    return _allowed(comparison_tiles(rows, threshold, chunk, "size"), threshold).select(
+        *PACK, *[F.when(F.col("a_first"), F.col(x)).otherwise(F.col(y)).alias(n) for n, x, y in
+                 (("text_a", "a_text_id", "b_text_id"), ("text_b", "b_text_id", "a_text_id"))], "distance", "total")
+
+
+def _allowed(tiles: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a_.., b_..) of a tile that pass both bounds. Inside a tile of one chunk each pair comes once."""
+    numbers = ["text_id", "first_pos", "size", "profile"]
+
+    def side(name: str, sides: list[int]) -> DataFrame:
+        return tiles.where(F.col("side").isin(sides)).select(*TILE, F.col("side").alias(f"{name}_side"), *[F.col(c).alias(f"{name}_{c}") for c in numbers])
+
+    gaps = [F.abs(F.get("a_profile", F.lit(i)) - F.get("b_profile", F.lit(i))) for i in range(len(_char_groups()) + 2)]
+    distance, total = sum(gaps[1:], gaps[0]), F.col("a_size") + F.col("b_size")
+    once = (F.col("a_side") != 2) | (F.col("a_text_id") < F.col("b_text_id"))
+    near = (2.0 * F.least("a_size", "b_size") >= threshold * total - 1e-9) & (distance <= (1 - threshold) * total + 1e-9)
+    pairs = side("a", [0, 2]).join(side("b", [1, 2]), TILE).where(once & near)
+    a_first = F.struct("a_first_pos", "a_text_id") < F.struct("b_first_pos", "b_text_id")
+    return pairs.withColumns({"distance": distance.cast("bigint"), "total": total.cast("bigint"), "a_first": a_first})
+
+
+def comparison_tiles(texts: DataFrame, threshold: float = THRESHOLD, chunk: int = CHUNK, length: str | None = None) -> DataFrame:
+    """Texts, or rows that stand for them and hold their `length`, assigned to tiles (pack, lower class, step, row chunk,
+    column chunk).
 
     step 0 compares a class with itself, step 1 with the next class. Any two texts whose lengths
     allow the threshold share exactly one tile; equal sides (`side` = 2) take part as both.
     """
     base = math.log((2 - threshold) / threshold)
-    sized = (texts.where(F.length("text") > 0)
-             .withColumn("cls", F.floor(F.log(F.length("text").cast("double")) / F.lit(base)).cast("int")))
-    load = F.greatest(F.count(F.lit(1)) / chunk, F.sum(F.length("text")) / CHUNK_CHARS)
+    size = F.col(length) if length else F.length("text")
+    sized = texts.where(size > 0).withColumn("cls", F.floor(F.log(size.cast("double")) / F.lit(base)).cast("int"))
+    load = F.greatest(F.count(F.lit(1)) / chunk, F.sum(size) / CHUNK_CHARS)
     counts = sized.groupBy(*PACK, "cls").agg(F.ceil(load).cast("int").alias("n"))
     near = lambda shift, name: counts.select(*PACK, (F.col("cls") + shift).alias("cls"), F.col("n").alias(name))
     grid = counts.join(near(-1, "n_up"), [*PACK, "cls"], "left").join(near(1, "n_down"), [*PACK, "cls"], "left")
@@ -74,7 +121,7 @@ def comparison_tiles(texts: DataFrame, threshold: float = THRESHOLD, chunk: int
                                       F.when(o == k, 2).when(o < k, 0).otherwise(1)))
     up = spread("n_up", lambda k: cell(c, 1, o, k, F.lit(0)))
     down = spread("n_down", lambda k: cell(c - 1, 1, k, o, F.lit(1)))
-    keep = [*PACK, "text_id", "text", "first_pos", "last_pos", "copies", "key_lo", "key_hi"]
+    keep = [c for c in texts.columns if c != "cls"]
     return (placed.select(*keep, F.explode(F.concat(same, up, down)).alias("t"))
             .select(*keep, "t.cls", "t.step", "t.i", "t.j", "t.side"))
 

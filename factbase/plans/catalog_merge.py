@@ -24,6 +24,47 @@ DUPS = f"""{FN}, DR as (select *, count(*) over w as copies,
  KEEP as (select owner_id, key, norm, pack as kept_in, pos as kept_pos from DR where rn = 1),
  LOSE as (select d.owner_id, d.key, d.pos, {VT} as value, d.pack as removed_from, kept_in, kept_pos from DR d join KEEP using (owner_id, key, norm) where rn > 1)"""
 CONFLICT = "CK as (select owner_id, key, count(*) as entries from FN group by all having count(distinct norm) > 1)"
+# ---- similar values, by the plain rule: texts with their character counts, ratios by taking the longest common block first ----
+CHARS = "[" + ", ".join(f"'{chr(c)}'" for c in range(ord("a"), ord("z") + 1)) + ", ' ']"
+PROFILED = f"""TX as (select owner_id, pack, md5(norm) as text_id, norm, length(norm) as n, min(pos) as first_pos, max(pos) as last_pos, count(*) as copies, min(key) as key_lo, max(key) as key_hi
+ from FS where norm <> '' group by owner_id, pack, norm),
+TC as (select *, list_transform({CHARS}, lambda c: n - length(replace(norm, c, ''))) as cs, n - length(regexp_replace(norm, '[0-9]', '', 'g')) as digits from TX),
+TP as (select *, list_append(list_append(cs, digits), n - digits - list_sum(cs)) as profile from TC),
+CA as (select a.owner_id, a.pack, a.text_id as text_a, b.text_id as text_b, a.norm as na, b.norm as nb, cast(a.n + b.n as bigint) as total,
+  cast(list_sum(list_transform(range(1, len(a.profile) + 1), lambda i: abs(a.profile[i] - b.profile[i]))) as bigint) as distance
+ from TP a join TP b on a.owner_id = b.owner_id and a.pack = b.pack and (a.first_pos, a.text_id) < (b.first_pos, b.text_id) and 2.0 * least(a.n, b.n) >= 0.75 * (a.n + b.n) - 1e-9),
+CP as (select * from CA where distance <= 0.25 * total + 1e-9)"""
+RATIOS = """PQ as (select distinct na, nb from CP union select nb, na from CP),
+REG as (select na, nb, na as sa, nb as sb, 0 as got from PQ union all
+ select na, nb, part.sa, part.sb, part.got from (
+  select na, nb, unnest([struct_pack(sa := left(sa, i - 1), sb := left(sb, j - 1), got := k), struct_pack(sa := substr(sa, i + k), sb := substr(sb, j + k), got := 0)]) as part from (
+   select *, instr(sb, substr(sa, i, k)) as j from (
+    select *, list_position(ks, k) as i from (
+     select *, list_max(ks) as k from (
+      select na, nb, sa, sb, list_transform(range(1, length(sa) + 1), lambda i: coalesce(list_max(list_filter(range(1, length(sa) - i + 2), lambda k: instr(sb, substr(sa, i, k)) > 0)), 0)) as ks
+      from REG where sa <> '' and sb <> '')) where k > 0)))),
+RT as (select na, nb, 2.0e0 * sum(got) / (length(na) + length(nb)) as ratio from REG group by na, nb)"""
+WALK = """FR1 as (select *, row_number() over (partition by owner_id, pack order by pos) as rn from FS),
+LK as (select a.owner_id, a.pack, a.rn as i, b.rn as j, a.cr < b.cr or (a.cr = b.cr and coalesce(a.updated_at, timestamp '0001-01-01 00:00:00') >= coalesce(b.updated_at, timestamp '0001-01-01 00:00:00')) as better
+ from FR1 a join FR1 b on a.owner_id = b.owner_id and a.pack = b.pack and a.rn < b.rn and a.key <> b.key left join RT on RT.na = a.norm and RT.nb = b.norm where a.norm = b.norm or ratio >= 0.75),
+LL as (select owner_id, pack, i, coalesce(list(j) filter (better), []) as kills, coalesce(list(j) filter (not better), []) as beats from LK group by all),
+STEP as (select FR1.owner_id, FR1.pack, rn, coalesce(kills, []) as kills, coalesce(beats, []) as beats from FR1 left join LL on LL.owner_id = FR1.owner_id and LL.pack = FR1.pack and LL.i = FR1.rn),
+WK as (select distinct owner_id, pack, 0::bigint as n, cast([] as bigint[]) as gone from STEP union all
+ select w.owner_id, w.pack, s.rn, case when list_contains(gone, s.rn) then gone else list_distinct(list_concat(list_concat(gone, kills),
+  case when len(list_filter(beats, lambda x: not list_contains(gone, x))) > 0 then [s.rn] else [] end)) end
+ from WK w join STEP s on s.owner_id = w.owner_id and s.pack = w.pack and s.rn = w.n + 1),
+LOST as (select owner_id, pack, unnest(gone) as rn from WK qualify n = max(n) over (partition by owner_id, pack)),
+SL as (select owner_id, pack, pos, key from FR1 semi join LOST using (owner_id, pack, rn)),
+SK as (select owner_id, pack, pos, key from FR1 anti join LOST using (owner_id, pack, rn))"""
+ALL_FACTS = "FS as (select * from FN)"
+FIRST_COPIES = "FS as (select * exclude (copies, rn) from DR where rn = 1)"
+F_PARTS = "F as (select * from PN)"
+
+
+def parts_recursively(body: str) -> str:
+    return with_views("PN", body).replace("with PN", "with recursive PN", 1)
+
+
 SIZES = """SZ as (select p.owner_id, p.pack, p.scope, coalesce(nf, 0) as n_facts, coalesce(nr, 0) as n_rules, description from P p
  left join (select owner_id, pack, count(*) as nf from F group by all) using (owner_id, pack) left join (select owner_id, pack, count(*) as nr from RU group by all) using (owner_id, pack))"""
 LISTV = "array_to_string(case when value_is_list then list_sort(value_items) else value_items end, ', ')"
@@ -151,6 +192,30 @@ QUERIES = {
     "similar_facts": (lambda v: similar.similar_facts(v.F), None),
     "drop_similar_facts": (lambda v: similar.drop_similar_facts(v.F).select("owner_id", "pack", "pos", "key"), None),
     "consolidate": (lambda v: similar.consolidate(v.F).select("owner_id", "pack", "pos", "key"), None),
+    "candidate_pairs": (
+        lambda v: similar.candidate_pairs(v.PN),
+        with_views("PN", f"with {F_PARTS}, {FN}, {ALL_FACTS}, {PROFILED} select owner_id, pack, text_a, text_b, distance, total from CP")),
+    "similar_part_facts": (
+        lambda v: similar.similar_facts(v.PN).withColumn("similarity", F.round("similarity", 9)),
+        parts_recursively(f"""with {F_PARTS}, {FN}, {ALL_FACTS}, {PROFILED}, {RATIOS}
+ select CP.owner_id, CP.pack, a.first_pos as pos_a, b.first_pos as pos_b, a.copies as copies_a, b.copies as copies_b, round(ratio, 9) as similarity
+ from CP join RT on RT.na = CP.na and RT.nb = CP.nb join TX a on a.owner_id = CP.owner_id and a.pack = CP.pack and a.text_id = text_a
+ join TX b on b.owner_id = CP.owner_id and b.pack = CP.pack and b.text_id = text_b
+ where ratio >= 0.75 and not (a.key_lo = a.key_hi and b.key_lo = b.key_hi and a.key_lo = b.key_lo)
+ union all select owner_id, pack, first_pos, last_pos, copies, copies, 1.0e0 from TX where key_lo <> key_hi""")),
+    "drop_similar_part_facts": (
+        lambda v: similar.drop_similar_facts(v.PN).select("owner_id", "pack", "pos", "key"),
+        parts_recursively(f"with {F_PARTS}, {FN}, {ALL_FACTS}, {PROFILED}, {RATIOS}, {WALK} select * from SK")),
+    "consolidate_part_facts": (
+        lambda v: similar.consolidate(v.PN).select("owner_id", "pack", "pos", "key"),
+        parts_recursively(f"with {F_PARTS}, {DUPS}, {FIRST_COPIES}, {PROFILED}, {RATIOS}, {WALK} select * from SK")),
+    "consolidation_part_totals": (
+        lambda v: similar.consolidation_totals(similar.consolidation_report(v.PN)),
+        parts_recursively(f"""with {F_PARTS}, {DUPS}, {FIRST_COPIES}, {PROFILED}, {RATIOS}, {WALK},
+ CX as (select owner_id, key from FS group by all having count(distinct norm) > 1),
+ RP1 as (select owner_id, 'exact' as step, removed_from as pack, key from LOSE union all select owner_id, 'similar', pack, key from SL union all select owner_id, 'contradiction', null, key from CX)
+ select owner_id, count(*) filter (step = 'exact') as exact, count(*) filter (step = 'similar') as similar, count(*) filter (step <> 'contradiction') as removed,
+  count(*) filter (step = 'contradiction') as contradictions, count(distinct pack) as modified_packs from RP1 group by owner_id""")),
     "diff_packs": (lambda v: diff.diff_packs(v.F, shifted(v)), with_views("F", f"with {DIFF} select * from D")),
     "diff_summary": (
         lambda v: diff.diff_summary(v.F, shifted(v)),

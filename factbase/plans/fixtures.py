@@ -132,6 +132,24 @@ select event_id as seq, (['en','fr','de','es'])[(event_id % 4)+1] as owner_id, '
  case when event_id % 2 = 0 then event_id % 11 end as priority
 from events"""
 
+# Short values of many parts in few packs: names, types and brands, some as lists.
+_SPARK["PN"] = """
+select element_at(array('en','fr','de','es'), cast(p_partkey % 4 as int)+1) as owner_id, 'src' || cast(p_partkey % 18 as string) as pack,
+ 'k' || cast(p_partkey % 7 as string) as key, p_partkey as pos,
+ case when p_partkey % 5 = 0 then split(p_name || ' ' || p_type, ' ') else array(p_name || ' ' || p_type || ' ' || p_brand) end as value_items,
+ p_partkey % 5 = 0 as value_is_list, 'skill' as type,
+ element_at(array('high','medium','low'), cast(p_partkey % 3 as int)+1) as confidence, 'manual' as source,
+ case when p_partkey % 11 <> 0 then timestamp_ntz'2024-02-01 00:00:00' - make_dt_interval(p_size) end as updated_at
+from {part}"""
+_DUCK["PN"] = """
+select (['en','fr','de','es'])[(p_partkey % 4)+1] as owner_id, 'src' || cast(p_partkey % 18 as varchar) as pack,
+ 'k' || cast(p_partkey % 7 as varchar) as key, p_partkey as pos,
+ case when p_partkey % 5 = 0 then string_split(p_name || ' ' || p_type, ' ') else [p_name || ' ' || p_type || ' ' || p_brand] end as value_items,
+ p_partkey % 5 = 0 as value_is_list, 'skill' as type,
+ (['high','medium','low'])[(p_partkey % 3)+1] as confidence, 'manual' as source,
+ case when p_partkey % 11 <> 0 then timestamp '2024-02-01 00:00:00' - to_days(p_size) end as updated_at
+from part"""
+
 _TABLES = {"documents", "part", "events", "conversations", "supplier"}
 
 _SAN_SPARK = r"""regexp_replace(text, r'["\\\p{Cntrl}]', ' ')"""

@@ -180,3 +180,14 @@ def test_report_lists_every_step(spark):
     total = similar.consolidation_totals(report).first()
     assert (total.exact, total.similar, total.removed, total.contradictions, total.modified_packs) == (1, 1, 2, 1, 2)
     assert similar.consolidate(df).count() == 3
+
+
+def test_candidates_hold_every_similar_pair_and_no_text_moves(spark):
+    facts = make_facts(7, True)
+    frame = spark.createDataFrame(facts, FACTS)
+    for chunk in (3, 1000):
+        got = similar.candidate_pairs(frame, chunk=chunk)
+        pairs = {(r.owner_id, r.pack, r.text_a, r.text_b) for r in got.collect()}
+        assert len(pairs) == got.count() and "text" not in got.columns
+        found = similar.similar_texts(frame, chunk=chunk).collect()
+        assert found and {(r.owner_id, r.pack, r.text_a, r.text_b) for r in found} <= pairs
