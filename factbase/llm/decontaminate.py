@@ -16,11 +16,13 @@ at a time.
 from __future__ import annotations
 
 from collections import defaultdict
+import pickle
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -203,14 +205,17 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
     schema = out.schema
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).distinct().orderBy("i", "t").collect()
-        held = docs.sparkSession.sparkContext.broadcast(SeedTable([r["i"] for r in rows], [r["t"] for r in rows], at_least))
+        # as bytes: a broadcast object would name its class, which executors without the package do not know
+        seeds = cloudpickle.dumps(SeedTable([r["i"] for r in rows], [r["t"] for r in rows], at_least))
+        held = docs.sparkSession.sparkContext.broadcast(seeds)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            table = pickle.loads(held.value)
             for batch in batches:
                 for a, b in pieces(batch.column(len(names)), STEP):
                     part = batch.slice(a, b - a)
                     words = Words(part.column(len(names)), plain=True)
-                    found = _verified(held.value, words, words.hashes(), at_least)
+                    found = _verified(table, words, words.hashes(), at_least)
                     had = part.column(len(names) + 1)
                     if any(found) or sum(map(len, had)):
                         fields = MATCH.elementType.names

@@ -21,8 +21,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -65,9 +64,25 @@ def _number(text: str) -> int:
     return xxhash.xxh64_intdigest(text) >> 1
 
 
-@lru_cache(maxsize=50_000)
+_KNOWN: dict = {}  # what _signs and _node found in this worker; a plain dict travels with the job, a cached function does not
+MOST_KNOWN = 100_000
+
+
+def _known(key: tuple, find: Callable):
+    """find(*key[1:]), remembered."""
+    if key not in _KNOWN:
+        if len(_KNOWN) >= MOST_KNOWN:
+            _KNOWN.clear()
+        _KNOWN[key] = find(*key[1:])
+    return _KNOWN[key]
+
+
 def _signs(name: str, names: tuple[str, ...]) -> tuple[bool, bool, bool]:
     """Whether an element's form or names say noise, head of a page, main text. `names`: values of class, id and role."""
+    return _known(("signs", name, names), _find_signs)
+
+
+def _find_signs(name: str, names: tuple[str, ...]) -> tuple[bool, bool, bool]:
     pieces = [set(WORDS.findall(token)) for value in names for token in value.split()]
     pieces = [x for x in pieces if x]
     weak = name == "form" or any(x <= NOISY_WORDS for x in pieces)
@@ -125,9 +140,8 @@ def _roles(elements: list[tuple[int, str, tuple[str, ...]]], own: list[int]) ->
     return [{WEAK: NOISE, BOXED: boxed}.get(r, r) for r in roles]
 
 
-@lru_cache(maxsize=50_000)
 def _node(above: int, name: str, words: tuple[str, ...]) -> int:
-    return _number(f"{above}/{name}.{'.'.join(words)}")
+    return _known(("node", above, name, words), lambda *x: _number(f"{x[0]}/{x[1]}.{'.'.join(x[2])}"))
 
 
 def _tokens(html: str) -> Iterator[tuple[str, str, str]]:
@@ -226,24 +240,28 @@ def read_page(html: str | None) -> tuple[dict[int, tuple], list[tuple[int, int,
     return nodes, [(node, roles[element], text) for node, element, text in blocks]
 
 
-FEATURES = "host string, node long, kind string, feature long, ups array<long>"
+FEATURES = "host string, node long, kind string, feature long, ups array<long>, share double"
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each page: its nodes (p), their styles (s), their texts (c), and nodes of blocks that markup leaves open (o)."""
+    """Of each page: its nodes (p), their styles (s), their texts (c), and nodes of blocks that markup leaves open (o).
+    share: one over the number of copies of the page on its host, so that copies count once together."""
     for batch in batches:
         hosts, keys, pages = (batch.column(i).to_pylist() for i in range(3))
+        copies = batch.column(3).to_pylist() if batch.num_columns > 3 else [None] * len(pages)
         for low in range(0, len(pages), 500):
-            out = []
-            for host, key, html in zip(hosts[low: low + 500], keys[low: low + 500], pages[low: low + 500]):
+            out, shares = [], []
+            part = slice(low, low + 500)
+            for host, key, n, html in zip(hosts[part], keys[part], copies[part], pages[part]):
                 nodes, blocks = read_page(html)
                 for node, (ups, children) in nodes.items():
                     out += [(host, node, "p", 0, ups), (host, node, "s", _number(" ".join(children)), None)]
                 out += [(host, node, "c", x, None) for node, x in {(b[0], _number(b[2])) for b in blocks}]
                 out += [(host, node, "o", key, None) for node in {b[0] for b in blocks if b[1] == OPEN}]
+                shares += [1 / (n or 1)] * (len(out) - len(shares))
             kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)],
-                                             names=["host", "node", "kind", "feature", "ups"])
+            yield pa.RecordBatch.from_arrays([*[pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], pa.array(shares, pa.float64())],
+                                             names=["host", "node", "kind", "feature", "ups", "share"])
 
 
 def importance(counts: DataFrame, decay: float = DECAY) -> DataFrame:
@@ -273,16 +291,21 @@ def extract(pages: DataFrame, keep: list[str] | None = None, page_id: str = "pag
     """`keep` columns (page_id, url) of each row and text: its main text, blocks in page order joined by a line feed.
 
     Character references are decoded; white space inside a block is one space. A null page is an empty one; pages
-    without a host are one site. Repeated pages stay rows and count as pages of their site. Broken markup is read to
+    without a host (also with a null url) are one site. Repeated pages, and pages of one html at several addresses of a
+    host, stay rows but count as one page of their site. Broken markup is read to
     its end: unclosed elements end with their page, an unclosed comment or script hides the rest.
     """
     keep = [page_id, url] if keep is None else keep
     if not 0.5 < prior <= 1:  # clear markup decides, whatever the importance
         raise ValueError("prior must be above 1/2")
     rows = pages.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], host_of(F.col(url)).alias("host"),
-                        F.xxhash64(F.col(page_id), F.col(url), F.col(html)).alias("key"), F.col(html).alias("html"))
-    seen = rows.select("host", "key", "html").mapInArrow(lean_stream(_features), FEATURES)
-    counts = cut(seen.groupBy("host", "node", "kind", "feature").agg(F.count("*").alias("n"), F.first("ups", True).alias("ups")))
+                        F.xxhash64(host_of(F.col(url)), F.col(html)).alias("key"), F.col(html).alias("html"))
+    copies = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"))
+    if copies.count() <= FEW:
+        copies = F.broadcast(copies)
+    seen = rows.join(copies, "key", "left").select("host", "key", "html", "copies").mapInArrow(lean_stream(_features), FEATURES)
+    counts = cut(seen.groupBy("host", "node", "kind", "feature").agg(
+        F.round(F.sum("share")).cast("long").alias("n"), F.first("ups", True).alias("ups")))
     weak = importance(counts, decay).where(F.lit(prior / 2) + F.lit(1 - prior) * F.col("importance") < 0.5)
     dropped = cut(counts.where("kind = 'o'").select("host", "node", F.col("feature").alias("key")).join(weak, ["host", "node"])
                   .groupBy("key").agg(F.collect_set("node").alias("dropped")))

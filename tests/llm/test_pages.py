@@ -128,3 +128,11 @@ def test_importance_and_repeated_branches(spark):
     for i in range(9):  # what all pages of the site repeat goes; a site of one page keeps everything
         assert "Welcome" not in texts[i] and "rights" not in texts[i] and texts[i].startswith(f"T{i}\ntext {i}")
     assert texts[9].startswith("Welcome") and texts[9].endswith("reserved")
+
+
+def test_copies_of_a_page_count_once(spark):
+    """One plain page at two addresses of a host, given twice, and rows with a null url."""
+    page = "<html><body><h1>A title</h1><p>" + "Some words of a plain page. " * 9 + "</p></body></html>"
+    rows = [(1, "http://a.org/x", page), (2, "http://a.org/y", page), (2, "http://a.org/y", page), (3, None, page), (4, None, page), (None, "http://b.org/", page)]
+    got = extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 6 and len({r.text for r in got}) == 1 and got[0].text.startswith("A title\nSome words")
