@@ -81,8 +81,9 @@ def _allowed(tiles: DataFrame, threshold: float) -> DataFrame:
     def side(name: str, sides: list[int]) -> DataFrame:
         return tiles.where(F.col("side").isin(sides)).select(*TILE, F.col("side").alias(f"{name}_side"), *[F.col(c).alias(f"{name}_{c}") for c in numbers])
 
-    gaps = [F.abs(F.get("a_profile", F.lit(i)) - F.get("b_profile", F.lit(i))) for i in range(len(_char_groups()) + 2)]
-    distance, total = sum(gaps[1:], gaps[0]), F.col("a_size") + F.col("b_size")
+    # one small lambda instead of a term for each group: a long condition makes a method that the JVM does not compile
+    gaps = F.zip_with("a_profile", "b_profile", lambda x, y: F.abs(x - y))
+    distance, total = F.aggregate(gaps, F.lit(0), lambda a, x: a + x), F.col("a_size") + F.col("b_size")
     once = (F.col("a_side") != 2) | (F.col("a_text_id") < F.col("b_text_id"))
     near = (2.0 * F.least("a_size", "b_size") >= threshold * total - 1e-9) & (distance <= (1 - threshold) * total + 1e-9)
     pairs = side("a", [0, 2]).join(side("b", [1, 2]), TILE).where(once & near)
