@@ -1,13 +1,18 @@
 """BPE encoding and decoding that encodes every content-defined chunk once.
 
-A text is cut at places that its content alone decides: after a word whose rolling hash is divisible by `every`, and,
-inside an unbroken run of more than LONG bytes, where the rolling hash of the last SPAN bytes is divisible by SPACING.
-So equal passages of different texts give equal chunks. Each task encodes and decodes a chunk once, keeps it for later
-texts, and puts texts together from chunks. White space always ends a token of these vocabularies, so joins there
-agree. Every other join is tried: both neighbours are encoded together, and where the result differs from the two
-apart, they are merged and encoded anew, until all joins agree.
-
-The work is narrow: no shuffle, and a task holds STEP bytes of text (or one longer text) and KEPT chunks.
+A text is cut at places that its content alone decides, so equal passages of different texts give equal chunks:
+
+* passages end after a word where the rolling hash of the last REACH words is divisible by `every`. A task encodes and
+  decodes a passage once, keeps it, and puts later texts together from it;
+* a new passage is made of smaller chunks that are kept in the same way: its words, and inside an unbroken run of more
+  than LONG bytes the stretches that end where the rolling hash of the last SPAN bytes is divisible by SPACING.
+
+White space always ends a token of these vocabularies, so joins there agree. Every other join is tried: both
+neighbours are encoded together, and where the result differs from the two apart, they are merged and tried against
+their new neighbours, until all joins agree.
+
+The work is narrow: no shuffle, and a task holds STEP bytes of text (or one longer text), KEPT chunks and KEPT_BYTES of
+passages.
 """
 
 from __future__ import annotations
@@ -23,7 +28,9 @@ from pyspark.sql import types as T
 from factbase.llm.words import _BYTE, Words, lean_stream, pieces, rolled, runs
 
 STEP = 2 << 20        # bytes of text that are cut at a time
-KEPT = 300_000       # chunks that a task remembers; it starts anew beyond
+KEPT = 300_000          # chunks that a task remembers; it starts anew beyond
+KEPT_BYTES = 16 << 20  # text of the passages that a task remembers; it starts anew beyond
+EVERY, REACH = 32, 4
 LONG, SPAN, SPACING = 256, 16, 64
 GROUP = 4_000         # chunks per call of the tokenizer
 
@@ -33,6 +40,7 @@ class Chunks:
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
+        self.made = 0  # bytes that were encoded
         self.clear()
 
     def clear(self) -> None:
@@ -41,17 +49,22 @@ class Chunks:
         self.flat = [(np.zeros(0, np.uint8), np.zeros(1, np.int64)), (np.zeros(0, np.uint32), np.zeros(1, np.int64)),
                      (np.zeros(0, np.uint8), np.zeros(1, np.int64))]
 
-    def add(self, keys: np.ndarray, texts: list[bytes]) -> None:
-        """Encode and decode new chunks."""
+    def coded(self, texts: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Token ids and decoded bytes of new chunks."""
         ids, said = [], []
         for at in range(0, len(texts), GROUP):
             part = [t.decode("utf-8") for t in texts[at: at + GROUP]]
-            got = [e.ids for e in self.tokenizer.encode_batch(part, add_special_tokens=False)]
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
             ids += [np.array(x, np.uint32) for x in got]
             # without a decoder, tokens are joined by spaces: each chunk ends in the space before the next one
-            said += [(s + " ").encode("utf-8") if x else b"" for x, s in
+            said += [np.frombuffer((s + " ").encode("utf-8") if x else b"", np.uint8) for x, s in
                      zip(got, self.tokenizer.decode_batch(got, skip_special_tokens=False))]
-        new = [[np.frombuffer(t, np.uint8) for t in texts], ids, [np.frombuffer(t, np.uint8) for t in said]]
+        return ids, said
+
+    def add(self, keys: np.ndarray, texts: list[bytes]) -> None:
+        """Encode and decode new chunks."""
+        self.made += sum(map(len, texts))
+        new = [[np.frombuffer(t, np.uint8) for t in texts], *self.coded(texts)]
         known = len(self.keys)
         for i, parts in enumerate(new):
             values, offsets = self.flat[i]
@@ -85,72 +98,98 @@ class Chunks:
         return at
 
 
-def _cuts(words: Words, every: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each chunk, and whether it is joined to the next one without white space."""
-    start, end, data = words.start, words.end, words.data
-    if not len(start):
-        return start, end, np.zeros(0, bool)
-    cut = words.hashes() % np.uint64(every) == 0
+class Passages(Chunks):
+    """Passages met so far; new ones are put together from smaller chunks."""
+
+    def __init__(self, small: Chunks):
+        self.small = small
+        super().__init__(small.tokenizer)
+
+    def coded(self, texts: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        if len(self.small.keys) > KEPT:  # only here: places stay valid while texts are put together
+            self.small.clear()
+        words = Words(pa.array(texts, pa.large_binary()))
+        start, end, glued = _small_cuts(words)
+        start, end = _repair(self.small, words.data, start, end, glued)
+        at = self.small.places(words.data, start, end)
+        return tuple(np.split(values, ends[1:-1]) for values, ends in _joined(self.small, at, np.searchsorted(start, words.offsets)))
+
+
+def _joined(chunks: Chunks, at: np.ndarray, first: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Ids and decoded bytes of chunks in a row, and where those of each text begin (first: its first chunk)."""
+    out = []
+    for values, offsets in chunks.flat[1:]:
+        sizes = np.diff(offsets)[at]
+        out.append((values[runs(offsets[at], sizes)], np.concatenate([[0], np.cumsum(sizes)])[first]))
+    return out
+
+
+def _cuts(words: Words, every: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each passage."""
+    n = len(words.start)
+    if not n:
+        return words.start, words.end
+    grams, whole = words.grams(words.hashes(), REACH)
+    cut = np.zeros(n, bool)
+    cut[REACH - 1:] = (whole & (grams % np.uint64(every) == 0))[: max(0, n - REACH + 1)]
     cut[words.first[1:][words.counts > 0] - 1] = True
     stops = np.flatnonzero(cut)
-    begins = np.concatenate([[0], stops[:-1] + 1])
-    inner = []
+    return words.start[np.concatenate([[0], stops[:-1] + 1])], words.end[stops]
+
+
+def _small_cuts(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each chunk of passages, and whether it is joined to the next one without white space."""
+    start, end, data = words.start, words.end, words.data
+    inner = [np.zeros(0, np.int64)]
     for i in np.flatnonzero(end - start > LONG).tolist():
         a, b = int(start[i]), int(end[i])
         at = np.arange(a + SPAN, b - SPAN)
         here = rolled(_BYTE[data[a:b]], at - SPAN - a, at - a) % np.uint64(SPACING) == 0
         here &= (data[at] & 0xC0) != 0x80  # not inside a character
-        at = at[here]
         keep, last = [], a
-        for x in at.tolist():
+        for x in at[here].tolist():
             if x - last >= SPAN:
                 keep.append(x)
                 last = x
         inner.append(np.array(keep, np.int64))
-    s, e = start[begins], end[stops]
-    if not inner:
-        return s, e, np.zeros(len(s), bool)
     inner = np.concatenate(inner)
-    s, e = np.sort(np.concatenate([s, inner])), np.sort(np.concatenate([e, inner]))
+    s, e = np.sort(np.concatenate([start, inner])), np.sort(np.concatenate([end, inner]))
     return s, e, np.isin(e, inner)
 
 
 def _repair(chunks: Chunks, data: np.ndarray, start: np.ndarray, end: np.ndarray, glued: np.ndarray):
-    """Merge neighbours whose join does not agree with their encoding together."""
-    joins = np.flatnonzero(glued)
-    if not len(joins):
-        return start, end
-    apart, together = chunks.places(data, start, end), chunks.places(data, start[joins], end[joins + 1])
-    ids, offsets = chunks.flat[1]
-    get = lambda p: ids[offsets[p]: offsets[p + 1]]
-    bad = np.array([not np.array_equal(np.concatenate([get(apart[j]), get(apart[j + 1])]), get(t))
-                    for j, t in zip(joins.tolist(), together.tolist())])
-    merged = joins[bad]
-    return np.delete(start, merged + 1), np.delete(end, merged)
-
-
-def _coded(column: pa.Array, chunks: Chunks, every: int) -> tuple[np.ndarray, list[bytes], list[str]]:
-    if len(chunks.keys) > KEPT:  # only here: places stay valid while a column is worked on
-        chunks.clear()
+    """Merge neighbours whose join does not agree with their encoding together, until all joins agree."""
+    untried = glued
+    while len(joins := np.flatnonzero(untried)):
+        apart, together = chunks.places(data, start, end), chunks.places(data, start[joins], end[joins + 1])
+        ids, offsets = chunks.flat[1]
+        get = lambda p: ids[offsets[p]: offsets[p + 1]]
+        bad = np.array([not np.array_equal(np.concatenate([get(apart[j]), get(apart[j + 1])]), get(t))
+                        for j, t in zip(joins.tolist(), together.tolist())])
+        merged = joins[bad]
+        new = np.zeros(len(start), bool)
+        new[merged] = True
+        new = np.delete(new, merged + 1)
+        start, end, glued = np.delete(start, merged + 1), np.delete(end, merged), np.delete(glued, merged)
+        untried = glued & (new | np.append(new[1:], False))
+    return start, end
+
+
+def _coded(column: pa.Array, passages: Passages, every: int) -> tuple[np.ndarray, list[bytes], list[str]]:
+    if len(passages.flat[0][0]) > KEPT_BYTES:  # only here: places stay valid while a column is worked on
+        passages.clear()
     words = Words(column)
-    start, end, glued = _cuts(words, every)
-    start, end = _repair(chunks, words.data, start, end, glued)
-    at = chunks.places(words.data, start, end)
-    first = np.searchsorted(start, words.offsets)  # chunks of each text
-    out = []
-    for values, offsets in chunks.flat[1:]:
-        sizes = np.diff(offsets)[at]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        out.append((values[runs(offsets[at], sizes)].astype(values.dtype.newbyteorder("<")), ends[first]))
-    (ids, a), (said, b) = out
-    raw, text = ids.tobytes(), said.tobytes()
+    start, end = _cuts(words, every)
+    at = passages.places(words.data, start, end)
+    (ids, a), (said, b) = _joined(passages, at, np.searchsorted(start, words.offsets))
+    raw, text = ids.astype("<u4").tobytes(), said.tobytes()
     packed = [raw[4 * x: 4 * y] for x, y in zip(a[:-1].tolist(), a[1:].tolist())]
     decoded = [text[x: max(x, y - 1)].decode("utf-8") for x, y in zip(b[:-1].tolist(), b[1:].tolist())]
     return np.diff(a), packed, decoded
 
 
 def encode_decode(docs: DataFrame, tokenizer_file: str, keep: list[str] | None = None, text: str = "text",
-                  every: int = 1) -> DataFrame:
+                  every: int = EVERY) -> DataFrame:
     """`keep` columns (doc_id) of each row, n_tokens (long), ids (binary: unsigned 32-bit, little-endian), decoded.
 
     ids equal the tokenizer's for the whole text with add_special_tokens=False; decoded equals its
@@ -176,11 +215,11 @@ def encode_decode(docs: DataFrame, tokenizer_file: str, keep: list[str] | None =
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        chunks = Chunks(Tokenizer.from_str(held.value))
+        passages = Passages(Chunks(Tokenizer.from_str(held.value)))
         for batch in batches:
             for a, b in pieces(batch.column(batch.num_columns - 1), STEP):
                 part = batch.slice(a, b - a)
-                n, ids, decoded = _coded(part.column(part.num_columns - 1), chunks, every)
+                n, ids, decoded = _coded(part.column(part.num_columns - 1), passages, every)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:-1], pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())],
                     names=[f.name for f in schema.fields])

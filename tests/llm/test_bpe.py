@@ -56,3 +56,40 @@ def test_query_over_documents(spark):
         assert got[i].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert got[i].decoded_sha256 == hashlib.sha256(
             tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_passages_are_encoded_once():
+    """A passage inside other texts is not encoded again, and its words are known to new passages."""
+    import pyarrow as pa
+
+    from factbase.llm import bpe
+    shared = " ".join(f"word{i * 7919 % 1000}" for i in range(2000))
+    texts = [shared, f"another start {shared} and another end", shared]
+    passages = bpe.Passages(bpe.Chunks(Tokenizer.from_file(FILE)))
+    made = [passages.made]
+    for text in texts:
+        bpe._coded(pa.array([text]), passages, bpe.EVERY)
+        made.append(passages.made)
+    first, second, third = np.diff(made).tolist()
+    assert first <= len(shared) and 0 < second < len(shared) / 4 and third == 0
+    assert passages.small.made < len(shared)
+    start, end = bpe._cuts(bpe.Words(pa.array([shared])), bpe.EVERY)
+    assert 20 < len(start) < 200 and end[-1] == len(shared)
+
+
+def test_repair_goes_on_until_all_joins_agree():
+    """Chunks cut at every letter grow back to the tokens of the whole run."""
+    import pyarrow as pa
+
+    from factbase.llm import bpe
+    tok = Tokenizer.from_file(FILE)
+    for text in ["internationalization", "ab12cd", "don't'll", "a!?!b'scd", "éßéß" * 9]:
+        data = np.frombuffer(text.encode(), np.uint8)
+        at = np.flatnonzero((data & 0xC0) != 0x80)
+        start, end = at, np.append(at[1:], len(data))
+        glued = np.append(np.ones(len(at) - 1, bool), False)
+        chunks = bpe.Chunks(tok)
+        start, end = bpe._repair(chunks, data, start, end, glued)
+        places = chunks.places(data, start, end)
+        ids, _ = bpe._joined(chunks, places, np.array([0, len(start)]))[0]
+        assert ids.tolist() == tok.encode(text, add_special_tokens=False).ids, text
