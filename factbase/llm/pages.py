@@ -13,8 +13,12 @@ call noise is main text all the same, unless the page has more main text elsewhe
 
 A branch is noise only if all nodes in it are, so a node counts for as much as the best one below it. A block of a page
 is kept if PRIOR x what its markup says (1 inside article or main, 0 inside menus, footers, adverts and the like, else 1/2) and
-(1 - PRIOR) x its importance add up to 1/2. Counts are summed by (host, node, feature) before anything else; only
-blocks that markup leaves open need their node's importance at the page.
+(1 - PRIOR) x its importance add up to 1/2. On a host with MANY distinct pages or more, a block inside article or main counts by
+its own line, whose importance is 1 - log c / log M for a line found at its node on c of the host's M pages, and markup weighs SURE,
+less than 1/2: a line that nearly all pages of a site repeat goes, whatever stands around it. A page keeps its main text if every
+line of it is such a line. No importance makes marked noise main text: comments and adverts that differ from page to page have
+the same entropy as articles. Counts are summed by (host, node, feature) before anything else; only blocks that markup leaves
+open need their node's importance at the page, and each host the few lines that nearly all its pages hold.
 """
 
 from __future__ import annotations
@@ -34,6 +38,7 @@ from factbase.llm.urls import host_of
 from factbase.llm.words import lean_stream
 
 DECAY, PRIOR = 0.9, 0.6
+MANY, SURE = 8, 0.47     # distinct pages of a host from which on markup weighs SURE against the importance of a line
 FEW = 100_000            # pages with dropped nodes that may be broadcast
 NOISE, OPEN, MAIN = 0, 1, 2
 WEAK, BOXED = 3, 4       # while a page is read: noise by words or form alone; an article or main inside it
@@ -286,8 +291,25 @@ def importance(counts: DataFrame, decay: float = DECAY) -> DataFrame:
             .groupBy("host", "node").agg(F.max("own").alias("importance")))
 
 
+def repeated_lines(counts: DataFrame, many: int = MANY, sure: float = SURE) -> DataFrame:
+    """host, lines (numbers of node and text) too unimportant to stay where markup says main text.
+
+    Such a line is on most pages of its host, so a host has no more of them than a page has blocks, but for a factor.
+    """
+    sites = counts.where("kind = 'p' and node = 0 and n > 1").where(F.col("n") >= many).select("host", F.col("n").alias("pages"))
+    weight = 1 - F.log(F.col("n").cast("double")) / F.log(F.col("pages").cast("double"))
+    return (counts.where("kind = 'c' and n > 1").select("host", "node", "feature", "n").join(sites, "host")
+            .where(F.lit(sure) + F.lit(1 - sure) * weight < 0.5)
+            .groupBy("host").agg(F.collect_set(F.struct("node", "feature")).alias("lines")))
+
+
+def _small(frame: DataFrame) -> DataFrame:
+    """To be broadcast if its rows were counted to be few."""
+    return F.broadcast(frame) if frame.count() <= FEW else frame
+
+
 def extract(pages: DataFrame, keep: list[str] | None = None, page_id: str = "page_id", url: str = "url", html: str = "html",
-            prior: float = PRIOR, decay: float = DECAY) -> DataFrame:
+            prior: float = PRIOR, decay: float = DECAY, many: int = MANY, sure: float = SURE) -> DataFrame:
     """`keep` columns (page_id, url) of each row and text: its main text, blocks in page order joined by a line feed.
 
     Character references are decoded; white space inside a block is one space. A null page is an empty one; pages
@@ -300,30 +322,28 @@ def extract(pages: DataFrame, keep: list[str] | None = None, page_id: str = "pag
         raise ValueError("prior must be above 1/2")
     rows = pages.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], host_of(F.col(url)).alias("host"),
                         F.xxhash64(host_of(F.col(url)), F.col(html)).alias("key"), F.col(html).alias("html"))
-    copies = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"))
-    if copies.count() <= FEW:
-        copies = F.broadcast(copies)
+    copies = _small(cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")))
     seen = rows.join(copies, "key", "left").select("host", "key", "html", "copies").mapInArrow(lean_stream(_features), FEATURES)
     counts = cut(seen.groupBy("host", "node", "kind", "feature").agg(
         F.round(F.sum("share")).cast("long").alias("n"), F.first("ups", True).alias("ups")))
     weak = importance(counts, decay).where(F.lit(prior / 2) + F.lit(1 - prior) * F.col("importance") < 0.5)
-    dropped = cut(counts.where("kind = 'o'").select("host", "node", F.col("feature").alias("key")).join(weak, ["host", "node"])
-                  .groupBy("key").agg(F.collect_set("node").alias("dropped")))
-    if dropped.count() <= FEW:
-        dropped = F.broadcast(dropped)
+    dropped = _small(cut(counts.where("kind = 'o'").select("host", "node", F.col("feature").alias("key")).join(weak, ["host", "node"])
+                         .groupBy("key").agg(F.collect_set("node").alias("dropped"))))
+    repeated = _small(cut(repeated_lines(counts, many, sure)))
     names = [f"k{i}" for i in range(len(keep))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for page, low in zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist()):
-                low, lines = frozenset(low or ()), []
-                for node, role, text in read_page(page)[1]:
-                    if role == MAIN or role == OPEN and node not in low:
-                        lines.append(text)
-                out.append("\n".join(lines))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(out, pa.string())], names=[*names, "text"])
-
-    joined = rows.join(dropped, "key", "left").select(*names, "html", "dropped")
+            for page, low, site in zip(*(batch.column(len(names) + i).to_pylist() for i in range(3))):
+                low, site = frozenset(low or ()), frozenset((x["node"], x["feature"]) for x in site or ())
+                shown = [x for x in read_page(page)[1] if x[1] == MAIN or x[1] == OPEN and x[0] not in low]
+                own = [x for x in shown if x[1] != MAIN or not site or (x[0], _number(x[2])) not in site]
+                if not any(x[1] == MAIN for x in own):
+                    own = shown
+                out.append("\n".join(x[2] for x in own))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(out, pa.string())], names=[*names, "text"])
+
+    joined = rows.join(dropped, "key", "left").join(repeated, "host", "left").select(*names, "html", "dropped", "lines")
     schema = T.StructType([*rows.select(*names).schema.fields, T.StructField("text", T.StringType())])
     return joined.mapInArrow(lean_stream(run), schema).select(*[F.col(n).alias(c) for n, c in zip(names, keep)], "text")

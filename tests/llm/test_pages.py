@@ -136,3 +136,18 @@ def test_copies_of_a_page_count_once(spark):
     rows = [(1, "http://a.org/x", page), (2, "http://a.org/y", page), (2, "http://a.org/y", page), (3, None, page), (4, None, page), (None, "http://b.org/", page)]
     got = extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert len(got) == 6 and len({r.text for r in got}) == 1 and got[0].text.startswith("A title\nSome words")
+
+
+def test_lines_that_a_site_repeats_go_from_its_articles(spark):
+    """The importance of a line beats clear markup on a host of many pages, not on one of few, and never empties a page."""
+    page = "<nav>menu {0}</nav><article><h1>T{0}</h1><p>text of page {0}</p><p>Follow us everywhere</p></article><div class=comments>c{0}</div>"
+    rows = [(i, "http://big.org/", page.format(i)) for i in range(20)] + [(100 + i, "http://few.org/", page.format(i)) for i in range(4)]
+    rows += [(200 + i, "http://same.org/", f"<nav>menu {i}</nav><article><h1>One</h1><p>article</p></article>") for i in range(12)]
+    rows += [(300, "http://big.org/", None), (301, "http://big.org/", "<article>Follow us everywhere</article>")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract(frame).collect()}
+    assert {i: got[i] for i in range(20)} == {i: f"T{i}\ntext of page {i}" for i in range(20)}
+    assert {got[100 + i] for i in range(4)} == {f"T{i}\ntext of page {i}\nFollow us everywhere" for i in range(4)}
+    assert {got[200 + i] for i in range(12)} == {"One\narticle"}
+    assert got[300] == "" and got[301] == "Follow us everywhere"
+    assert "Follow" in {r.page_id: r.text for r in extract(frame, many=1000).collect()}[0]
