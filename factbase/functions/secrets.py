@@ -8,7 +8,6 @@ texts out of the regex engine.
 from __future__ import annotations
 
 import re
-from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column
@@ -92,11 +91,6 @@ def may_match(text: Column, patterns: list[Pattern]) -> Column:
     return contains_any(text, sorted({a for p in patterns for a in p.anchors}))
 
 
-def any_anchor(patterns: list[Pattern]) -> str:
-    """One regular expression for all anchors, for short texts inside array lambdas."""
-    return "|".join(re.escape(a) for a in sorted({a for p in patterns for a in p.anchors}))
-
-
 def matches(text: Column, patterns: list[Pattern] = PATTERNS) -> Column:
     """Array of (pattern_no, match_no, hit), in pattern order."""
     def one(i: int, p: Pattern) -> Column:
@@ -115,29 +109,41 @@ def preview(hit: Column) -> Column:
 
 def _masking(p: Pattern) -> tuple[str, str]:
     """Regex and replacement that keep the first characters of a hit (all critical hits are long)."""
+    literal = re.match(r"[A-Za-z_-]{%d}(?![*+?{])" % KEEP, p.regex)
+    if literal:  # every hit begins with them: nothing is captured where no hit begins
+        return "(%s)%s" % (literal[0], p.regex[KEEP:]), "$1..." + "*" * 8
     return r"(?=((?s:.{%d})))(?:%s)" % (KEEP, p.regex), "$1..." + "*" * 8
 
 
-def redact(text: Column, patterns: list[Pattern] = PATTERNS) -> Column:
-    """Mask critical hits, each pattern on the result of the previous one."""
-    todo = critical(patterns)
-    folded = reduce(lambda c, p: F.regexp_replace(c, *_masking(p)), todo, text)
-    gate = F.lit(True) if any(not p.anchors for p in todo) else text.rlike(any_anchor(todo))
-    return F.when(gate, folded).otherwise(text)
+def masks(text: Column, patterns: list[Pattern] = PATTERNS) -> Column:
+    """Array of (regex, replacement) of the critical patterns whose anchors stand in `text`, in pattern order.
+
+    Masked hits hold no anchor that was not there before, so these are all patterns that can match at any step.
+    """
+    return _steps(text, [(p, *_masking(p)) for p in critical(patterns)])
+
+
+def _steps(text: Column, todo: list[tuple[Pattern, str, str]]) -> Column:
+    if not todo:
+        return F.array().cast("array<struct<m:string,r:string>>")
+    one = [(p, F.struct(F.lit(m).alias("m"), F.lit(r).alias("r"))) for p, m, r in todo]
+    return F.array_compact(F.array(*[F.when(contains_any(text, p.anchors), s) if p.anchors else s for p, s in one]))
+
+
+def applied(text: Column, steps: Column) -> Column:
+    """Each step on the result of the previous one."""
+    return F.aggregate(steps, text, lambda t, s: F.regexp_replace(t, s["m"], s["r"]))
 
 
 def scrub(text: Column, patterns: list[Pattern] = PATTERNS) -> Column:
     """Replace critical hits by a fixed mark."""
     todo = critical(patterns)
-    folded = reduce(lambda c, p: F.regexp_replace(c, p.regex, SCRUBBED), todo, text)
-    return F.when(may_match(text, todo), folded).otherwise(text)
-
+    steps = _steps(text, [(p, p.regex, SCRUBBED) for p in todo])
+    return F.when(may_match(text, todo), applied(text, steps)).otherwise(text)
 
-def redaction_steps(items: Column, patterns: list[Pattern] = PATTERNS) -> Column:
-    """How many patterns changed the array of texts, applied one after the other."""
-    steps = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(r).alias("r"))
-                      for m, r in map(_masking, critical(patterns))])
 
+def redaction_steps(items: Column, steps: Column) -> Column:
+    """How many steps changed the array of texts, applied one after the other."""
     def step(acc: Column, s: Column) -> Column:
         done = F.transform(acc["v"], lambda x: F.regexp_replace(x, s["m"], s["r"]))
         return F.struct(done.alias("v"), (acc["n"] + F.when(done == acc["v"], 0).otherwise(1)).alias("n"))

@@ -50,24 +50,24 @@ def audit_summary(findings: DataFrame, by: list[str]) -> DataFrame:
         (F.count_if(s == S.CRITICAL) == 0).alias("is_clean"))
 
 
+def _with_masks(facts: DataFrame, patterns: list[S.Pattern]) -> DataFrame:
+    """`_steps`: the masks that some item of a fact may need, found once for all its items."""
+    return facts.withColumn("_steps", S.masks(F.array_join("value_items", " "), patterns))
+
+
 def redact_facts(facts: DataFrame, patterns: list[S.Pattern] = S.PATTERNS) -> DataFrame:
     """Mask critical secrets in fact values, list items one by one; values without any anchor
     are passed on untouched."""
-    return (facts.withColumn("_all", F.array_join("value_items", " "))
-            .withColumn("value_items", F.when(
-                S.may_match(F.col("_all"), S.critical(patterns)),
-                F.transform("value_items", lambda x: S.redact(x, patterns))).otherwise(F.col("value_items")))
-            .drop("_all"))
+    return (_with_masks(facts, patterns)
+            .withColumn("value_items", F.when(F.size("_steps") > 0, F.transform(
+                "value_items", lambda x: S.applied(x, F.col("_steps")))).otherwise(F.col("value_items")))
+            .drop("_steps"))
 
 
 def redaction_counts(facts: DataFrame, by: list[str], patterns: list[S.Pattern] = S.PATTERNS) -> DataFrame:
     """(fact, pattern) changes that redact_facts makes, per group."""
-    todo = S.critical(patterns)
-    anchors = S.any_anchor(todo)
-    touched = facts if any(not p.anchors for p in todo) else facts.where(
-        F.exists("value_items", lambda x: x.rlike(anchors)))
-    return (touched
-            .withColumn("_n", S.redaction_steps(F.col("value_items"), patterns))
+    return (_with_masks(facts, patterns).where(F.size("_steps") > 0)
+            .withColumn("_n", S.redaction_steps(F.col("value_items"), F.col("_steps")))
             .groupBy(*by).agg(F.sum("_n").alias("changes"), F.count_if(F.col("_n") > 0).alias("facts_changed")))
 
 
