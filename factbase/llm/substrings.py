@@ -1,19 +1,22 @@
-"""Removal of word sequences that occur earlier, by prefix-partitioned suffix trees.
+"""Removal of word sequences that occur earlier, by partitioned suffix trees.
 
-The suffixes of all texts (from each word on) are split by a prefix into groups that fit into memory, and the tree of
-each group is built down to WINDOW words: its internal nodes at that depth are the repeats, their leaves the places.
+The suffixes of all texts (from each word on) are split into groups that fit into memory, and each group builds the
+tree of its suffixes down to WINDOW words: suffixes sorted by their words, common prefixes of neighbours, and the
+internal nodes of that depth. Such a node is a repeat, its leaves are the places.
 
 1. Census. A suffix is filed under the ANCHOR-word gram with the smallest hash among those inside its first `window`
    words, so equal windows share their gram and neighbouring suffixes mostly file under the same one: about a seventh
-   of all positions is counted. A gram that occurs once leads to no internal node; its suffixes go no further.
-2. Prefixes of variable length. The others are sent to the group of their gram; those under a gram with more than
-   SPLIT occurrences go on to a longer prefix, the whole window, so a frequent gram is spread over all groups. Each
-   bucket of documents sends the earliest leaf of a node only, and settles its later ones itself.
-3. Trees. A group sorts its suffixes by (gram, fingerprint of the window): equal runs are the nodes at depth
-   `window`. Every leaf but the earliest is marked. Marked neighbours join to maximal repeats.
-
-Documents are shuffled once (the same exchange serves all three reads). Grams and windows are known by 64-bit
-fingerprints each, together 128 bits.
+   of all positions is counted, exactly. A gram that occurs once leads to no internal node; its suffixes go no further.
+2. Keys of variable length. The others are sent to the group of their gram; those under a gram with more than SPLIT
+   occurrences are filed under a longer key, their first `window` words, so a frequent gram is spread over all groups.
+   Each bucket of documents sends the earliest leaf of a node only, and settles its later ones itself.
+3. Trees. Neighbouring suffixes travel as one stretch of word hashes. A group orders its suffixes by doubling (ranks of
+   runs of 1, 2, 4, .. words), reads the common prefix of each two neighbours off the same ranks, and takes the nodes of
+   depth `window`: runs of leaves whose neighbours share so many words. Every leaf but the earliest is marked. Marked
+   neighbours join to maximal repeats.
+
+Documents are shuffled once (the same exchange serves all three reads). Words are known by 64-bit hashes in the trees;
+inside a bucket, grams and windows by 64-bit fingerprints each.
 """
 
 from __future__ import annotations
@@ -30,8 +33,8 @@ ANCHOR = 8
 SPLIT = 100_000
 CODE = 24                 # bits of a gram that the census keeps beside its group
 _PLACE = 27               # bits for a word's place in its bucket
-_HEAD = np.dtype([("gram", "<u8"), ("id", "<i8"), ("at", "<u4"), ("n", "u1")])
-_LEAF = np.dtype([("window", "<u8"), ("back", "u1")])
+_HEAD = np.dtype([("id", "<i8"), ("at", "<u4"), ("n", "<u2")])  # a stretch: n suffixes that begin at word `at` and after
+_MOST = 255               # a count above it takes several entries of its code
 
 
 def _anchors(words: Words, hashes: np.ndarray, window: int, anchor: int):
@@ -73,7 +76,7 @@ def _table(schema: str, *columns) -> pa.Table:
 
 
 COUNTED = "target int, source int, codes binary, counts binary"
-SENT = "target int, source int, heads binary, leaves binary, marks binary"
+SENT = "target int, source int, heads binary, stretches binary, marks binary"
 
 
 def _census(window: int, anchor: int, groups: int):
@@ -82,7 +85,12 @@ def _census(window: int, anchor: int, groups: int):
         _, place, grams = _anchors(words, words.hashes(), window, anchor)
         group, code = _codes(grams[np.unique(place)], groups)
         both, count = np.unique(group << CODE | code, return_counts=True)
-        group, code, count = both >> CODE, both & ((1 << CODE) - 1), np.minimum(count, 255).astype(np.uint8)
+        entries = -(-count // _MOST)
+        last = np.cumsum(entries) - 1
+        parts = np.full(int(entries.sum()), _MOST, np.uint8)
+        parts[last] = count - (entries - 1) * _MOST
+        both, count = np.repeat(both, entries), parts
+        group, code = both >> CODE, both & ((1 << CODE) - 1)
         rows = [(g, pack(code[s]), count[s].tobytes()) for g, s in _split(group)]
         source = bucket.column("bucket")[0].as_py()
         return _table(COUNTED, [r[0] for r in rows], [source] * len(rows), [r[1] for r in rows], [r[2] for r in rows])
@@ -138,43 +146,68 @@ def _leaves(window: int, anchor: int, groups: int):
         first[order[later]] = False
         starts, place, gram, print_, group, hot = (x[first] for x in (starts, place, gram, print_, group, hot))
         group = np.where(hot, (print_ % np.uint64(groups)).astype(np.int64), group)
-        fresh = np.ones(len(starts), bool)  # a head for each anchor, or for each window under a frequent gram
-        fresh[1:] = (np.diff(place) != 0) | hot[1:]
+        fresh = np.ones(len(starts), bool)  # a stretch for each anchor, or for each window under a frequent gram
+        fresh[1:] = (np.diff(place) != 0) | (np.diff(starts) != 1) | hot[1:]
         heads = np.flatnonzero(fresh)
-        head = np.zeros(len(heads), _HEAD)
-        head["gram"], head["at"] = gram[heads], place[heads]
-        head["id"] = ids[np.searchsorted(words.first, place[heads], "right") - 1]
-        size = np.diff(np.append(heads, len(starts)))
-        head["n"] = size
-        leaf = np.zeros(len(starts), _LEAF)
-        leaf["window"], leaf["back"] = print_, place - starts
         order = np.argsort(group[heads], kind="stable")
-        head, leaf = head[order], leaf[runs(heads[order], size[order])]
-        ends = np.concatenate([[0], np.cumsum(size[order])])
-        rows = [(g, head[s].tobytes(), leaf[ends[s.start]: ends[s.stop]].tobytes(), None) for g, s in _split(group[heads][order])]
+        size = np.diff(np.append(heads, len(starts)))[order]
+        heads = heads[order]
+        head = np.zeros(len(heads), _HEAD)
+        head["at"], head["n"] = starts[heads], size
+        head["id"] = ids[np.searchsorted(words.first, starts[heads], "right") - 1]
+        long = size + window - 1
+        rows = []
+        for g, s in _split(group[heads]):
+            stretch = hashes[runs(starts[heads[s]], long[s])]
+            rows.append((g, head[s].tobytes(), stretch.astype("<u8").tobytes(), None))
         rows.append((source % groups, None, None, pack(marks_)))
         return _table(SENT, [r[0] for r in rows], [source] * len(rows), *[[r[i] for r in rows] for i in (1, 2, 3)])
     return run
 
 
-def _nodes(group: pa.Table) -> pa.Table:
-    """Marks of each source: all leaves of a node but the earliest."""
-    rows = [(x["source"], x["marks"]) for x in group.select(["source", "marks"]).to_pylist() if x["marks"]]
-    trees = group.filter(pa.compute.is_valid(group.column("heads")))
-    if trees.num_rows:
-        heads = [np.frombuffer(x, _HEAD) for x in trees.column("heads").to_pylist()]
-        source = np.repeat(np.array(trees.column("source").to_pylist(), np.int64), [int(h["n"].sum()) for h in heads])
-        head = np.concatenate(heads)
-        leaf = np.concatenate([np.frombuffer(x, _LEAF) for x in trees.column("leaves").to_pylist()])
-        n = head["n"]
-        at = np.repeat(head["at"].astype(np.int64), n) - leaf["back"]
-        gram, ids, window = np.repeat(head["gram"], n), np.repeat(head["id"], n), leaf["window"]
-        order = np.lexsort((at, source, ids, window, gram))
-        gram, window = gram[order], window[order]
-        later = order[1:][(gram[1:] == gram[:-1]) & (window[1:] == window[:-1])]
-        later = later[np.lexsort((at[later], source[later]))]
-        rows += [(s, pack(at[later[x]])) for s, x in _split(source[later])]
-    return _table("source int, marks binary", [r[0] for r in rows], [r[1] for r in rows])
+def suffix_order(text: np.ndarray, suffixes: np.ndarray, window: int, *ties: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of suffixes of `text` (places that have `window` words from there on) by their first `window` words,
+    then by `ties`, and of each two neighbours in that order the length of the common prefix, `window` at most.
+
+    Ranks of runs of 1, 2, 4, .. words come from the ranks of their halves; a run that crosses the end of a stretch has
+    a rank too, but no suffix looks at it.
+    """
+    rank = np.unique(text, return_inverse=True)[1].astype(np.int32)
+    ranks, width = [(1, rank)], 1
+    while 2 * width <= window:
+        half = np.zeros(len(rank), np.int64)
+        half[: len(rank) - width] = rank[width:]
+        rank = np.unique((rank.astype(np.int64) << 32) | half, return_inverse=True)[1].astype(np.int32)
+        width *= 2
+        ranks.append((width, rank))
+    order = np.lexsort((*reversed(ties), rank[suffixes + window - width], rank[suffixes]))
+    left, right = suffixes[order[:-1]], suffixes[order[1:]]
+    common = np.zeros(len(left), np.int64)
+    for width, rank in reversed(ranks):
+        room = np.minimum(common, window - width)  # without room for the whole run nothing is added
+        common += width * ((room == common) & (rank[left + room] == rank[right + room]))
+    return order, common
+
+
+def _nodes(window: int):
+    def run(group: pa.Table) -> pa.Table:
+        """Marks of each source: all leaves of a node of depth `window` but the earliest."""
+        rows = [(x["source"], x["marks"]) for x in group.select(["source", "marks"]).to_pylist() if x["marks"]]
+        trees = group.filter(pa.compute.is_valid(group.column("heads")))
+        if trees.num_rows:
+            heads = [np.frombuffer(x, _HEAD) for x in trees.column("heads").to_pylist()]
+            source = np.repeat(np.array(trees.column("source").to_pylist(), np.int64), [int(h["n"].sum()) for h in heads])
+            head = np.concatenate(heads)
+            text = np.concatenate([np.frombuffer(x, "<u8") for x in trees.column("stretches").to_pylist()])
+            n = head["n"].astype(np.int64)
+            long = n + window - 1
+            at, ids = runs(head["at"].astype(np.int64), n), np.repeat(head["id"], n)
+            order, common = suffix_order(text, runs(np.cumsum(long) - long, n), window, ids, source, at)
+            later = order[1:][common == window]  # in a node the earliest leaf is the first one
+            later = later[np.lexsort((at[later], source[later]))]
+            rows += [(s, pack(at[later[x]])) for s, x in _split(source[later])]
+        return _table("source int, marks binary", [r[0] for r in rows], [r[1] for r in rows])
+    return run
 
 
 def _kept(window: int, as_is: bool, names: list[str], kinds: list):
@@ -242,7 +275,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, keep: list[str] | None = N
     counted = by_bucket.applyInArrow(lean(_census(window, anchor, n)), COUNTED)
     known = counted.groupBy("target").applyInArrow(lean(_frequent(split)), COUNTED)
     sent = by_bucket.cogroup(known.groupBy("source")).applyInArrow(lean(_leaves(window, anchor, n)), SENT)
-    marked = sent.groupBy("target").applyInArrow(lean(_nodes), "source int, marks binary")
+    marked = sent.groupBy("target").applyInArrow(lean(_nodes(window)), "source int, marks binary")
     fields = [T.StructField(c, docs.schema[c].dataType) for c in keep]
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),

@@ -4,10 +4,13 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from factbase.llm.blocks import unpack
 from factbase.llm.queries import op3_substrings, table
-from factbase.llm.substrings import remove_repeats
+from factbase.llm.substrings import _census, _frequent, remove_repeats, suffix_order
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -56,6 +59,35 @@ def test_against_loop(spark, seed, window, anchor, split):
     assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept, [(s.start, s.end) for s in r.spans]) for r in got) == brute(rows, window)
 
 
+@pytest.mark.parametrize("window", [1, 2, 5, 7, 8, 20])
+def test_suffixes_are_sorted_and_share_prefixes(window):
+    rng = random.Random(window)
+    text = np.array([rng.choice([3, 9, 2 ** 63 + 5]) for _ in range(400)] + [7] * 60, np.uint64)
+    places = np.array([i for i in range(len(text) - window + 1) if rng.random() < 0.8])
+    ties = np.array([rng.randrange(3) for _ in places])
+    order, common = suffix_order(text, places, window, ties, places)
+    whole = [(tuple(text[p: p + window].tolist()), t, p) for p, t in zip(places.tolist(), ties.tolist())]
+    assert [whole[i] for i in order] == sorted(whole)
+    for a, b, c in zip(order[:-1], order[1:], common):
+        x, y = whole[a][0], whole[b][0]
+        assert c == next((i for i in range(window) if x[i] != y[i]), window)
+
+
+def test_counts_of_grams_are_exact():
+    text = " ".join(["a b c d"] * 400 + [f"x{i}" for i in range(40)])
+    bucket = pa.table({"bucket": pa.array([0], pa.int32()), "id": [1], "text": [text]})
+    counted = _census(4, 4, 3)(bucket)
+    total = sum(np.frombuffer(x, np.uint8).astype(int).sum() for x in counted.column("counts").to_pylist())
+    assert total == 400 * 4 + 40 - 3
+    for split, hot in [(399, 1), (400, 0)]:  # a b c d begins 400 times, its rotations 399 times
+        seen = {}
+        for target in set(counted.column("target").to_pylist()):
+            known = _frequent(split)(counted.filter(pa.compute.equal(counted.column("target"), target)))
+            for codes, flags in zip(known.column("codes").to_pylist(), known.column("counts").to_pylist()):
+                seen.update({(target, c): f for c, f in zip(unpack(codes).tolist(), np.frombuffer(flags, np.uint8).tolist())})
+        assert len(seen) == 4 and sum(seen.values()) == hot
+
+
 def test_odd_ids(spark):
     text = " ".join(f"w{i}" for i in range(30))
     docs = spark.createDataFrame([(None, text), (None, text), (5, text), (5, text), (5, "b " + text)], "doc_id long, text string")
