@@ -18,6 +18,7 @@ passages.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +26,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factbase.llm.words import _BYTE, Words, lean_stream, pieces, rolled, runs
+from factbase.llm.words import _BYTE, Words, give_back, lean_stream, pieces, rolled, runs
 
-STEP = 2 << 20        # bytes of text that are cut at a time
+STEP = 1 << 20        # bytes of text that are cut at a time
 KEPT = 300_000          # chunks that a task remembers; it starts anew beyond
-KEPT_BYTES = 16 << 20  # text of the passages that a task remembers; it starts anew beyond
+KEPT_BYTES = 8 << 20  # text of the passages that a task remembers; it starts anew beyond
 EVERY, REACH = 32, 4
 LONG, SPAN, SPACING = 256, 16, 64
 GROUP = 4_000         # chunks per call of the tokenizer
+HASHED = 1 << 18      # bytes that are hashed and compared at a time (one longer chunk is taken whole)
+
+
+def _parts(start: np.ndarray, end: np.ndarray) -> Iterator[tuple[slice, int, int]]:
+    """Chunks in order of start, about HASHED bytes at a time, and the bytes from the first to the end of the last."""
+    at = 0
+    while at < len(start):
+        to = max(at + 1, int(np.searchsorted(start, start[at] + HASHED)))
+        yield slice(at, to), int(start[at]), int(end[at:to].max())
+        at = to
+
+
+Flat = tuple[np.ndarray, np.ndarray]  # values of all chunks in a row, and how many each has
 
 
 class Chunks:
@@ -49,27 +63,29 @@ class Chunks:
         self.flat = [(np.zeros(0, np.uint8), np.zeros(1, np.int64)), (np.zeros(0, np.uint32), np.zeros(1, np.int64)),
                      (np.zeros(0, np.uint8), np.zeros(1, np.int64))]
 
-    def coded(self, texts: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    def coded(self, texts: list[bytes]) -> tuple[Flat, Flat]:
         """Token ids and decoded bytes of new chunks."""
-        ids, said = [], []
+        ids, said, sizes = [], [], []
         for at in range(0, len(texts), GROUP):
             part = [t.decode("utf-8") for t in texts[at: at + GROUP]]
             got = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            ids += [np.array(x, np.uint32) for x in got]
             # without a decoder, tokens are joined by spaces: each chunk ends in the space before the next one
-            said += [np.frombuffer((s + " ").encode("utf-8") if x else b"", np.uint8) for x, s in
-                     zip(got, self.tokenizer.decode_batch(got, skip_special_tokens=False))]
-        return ids, said
+            text = [(s + " ").encode("utf-8") if x else b"" for x, s in
+                    zip(got, self.tokenizer.decode_batch(got, skip_special_tokens=False))]
+            sizes.append(np.array([[len(x) for x in got], [len(x) for x in text]], np.int64))
+            ids.append(np.fromiter(chain.from_iterable(got), np.uint32, int(sizes[-1][0].sum())))
+            said.append(np.frombuffer(b"".join(text), np.uint8))
+        n_ids, n_said = np.concatenate(sizes, axis=1)
+        return (np.concatenate(ids), n_ids), (np.concatenate(said), n_said)
 
     def add(self, keys: np.ndarray, texts: list[bytes]) -> None:
         """Encode and decode new chunks."""
         self.made += sum(map(len, texts))
-        new = [[np.frombuffer(t, np.uint8) for t in texts], *self.coded(texts)]
+        raw = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts], np.int64)
         known = len(self.keys)
-        for i, parts in enumerate(new):
+        for i, (more, sizes) in enumerate([raw, *self.coded(texts)]):
             values, offsets = self.flat[i]
-            ends = offsets[-1] + np.cumsum([len(p) for p in parts], dtype=np.int64)
-            self.flat[i] = np.concatenate([values, *parts]).astype(values.dtype, copy=False), np.concatenate([offsets, ends])
+            self.flat[i] = np.concatenate([values, more]), np.concatenate([offsets, offsets[-1] + np.cumsum(sizes)])
         keys, place = np.concatenate([self.keys, keys]), np.concatenate([self.place, known + np.arange(len(keys))])
         order = np.argsort(keys)
         self.keys, self.place = keys[order], place[order]
@@ -83,16 +99,19 @@ class Chunks:
 
     def places(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Places of the chunks data[start:end], new ones encoded first."""
-        keys = rolled(_BYTE[data], start, end)
+        keys = np.zeros(len(start), np.uint64)
+        for part, low, high in _parts(start, end):
+            keys[part] = rolled(_BYTE[data[low:high]], start[part] - low, end[part] - low)
         unique, first, which = np.unique(keys, return_index=True, return_inverse=True)
         new = np.flatnonzero(self.find(unique) < 0)
         if len(new):
-            raw = data.tobytes()
-            self.add(unique[new], [raw[a:b] for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist())])
+            raw = memoryview(np.ascontiguousarray(data))
+            self.add(unique[new], [bytes(raw[a:b]) for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist())])
         at = self.find(unique)[which]
         held, offsets = self.flat[0]
-        same = np.array_equal(np.diff(offsets)[at], end - start) and np.array_equal(
-            held[runs(offsets[at], end - start)], data[runs(start, end - start)])
+        same = np.array_equal(np.diff(offsets)[at], end - start) and all(
+            np.array_equal(held[runs(offsets[at[part]], end[part] - start[part])],
+                           data[runs(start[part], end[part] - start[part])]) for part, _, _ in _parts(start, end))
         if not same:  # two chunks of one hash
             raise ValueError("two different chunks have the same 64-bit hash")
         return at
@@ -105,14 +124,14 @@ class Passages(Chunks):
         self.small = small
         super().__init__(small.tokenizer)
 
-    def coded(self, texts: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    def coded(self, texts: list[bytes]) -> tuple[Flat, Flat]:
         if len(self.small.keys) > KEPT:  # only here: places stay valid while texts are put together
             self.small.clear()
         words = Words(pa.array(texts, pa.large_binary()))
         start, end, glued = _small_cuts(words)
         start, end = _repair(self.small, words.data, start, end, glued)
         at = self.small.places(words.data, start, end)
-        return tuple(np.split(values, ends[1:-1]) for values, ends in _joined(self.small, at, np.searchsorted(start, words.offsets)))
+        return tuple((values, np.diff(ends)) for values, ends in _joined(self.small, at, np.searchsorted(start, words.offsets)))
 
 
 def _joined(chunks: Chunks, at: np.ndarray, first: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -223,5 +242,6 @@ def encode_decode(docs: DataFrame, tokenizer_file: str, keep: list[str] | None =
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:-1], pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())],
                     names=[f.name for f in schema.fields])
+                give_back()  # else what one step frees adds to the next step's needs
 
     return source.mapInArrow(lean_stream(run), schema)
