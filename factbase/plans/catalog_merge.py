@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from factbase.operators import consolidate as C
-from factbase.operators import audit, diff, health, mutate, search, similar
+from factbase.operators import audit, diff, health, multi_search, mutate, search, similar
 from factbase.operators.usage import priority_scores, usage_by_fact
 from factbase.plans.catalog_core import PF, SC, TS, UF, VT, fresh_cte
 from factbase.plans.catalog_docs import PT, hits_cte
@@ -150,12 +150,22 @@ def _with_new(packs):
     return packs.unionByName(packs.withColumn("pack", F.concat("pack", F.lit("-new"))))
 
 
+ASKED = "substr(text, cast(20 + doc_id % 30 as int), cast(6 + doc_id % 7 as int))"  # a query from each document
+
 QUERIES = {
     "search_context": (
         lambda v: search.search_context(v.P, v.F, v.RU, "EN R"),
         with_views("F RU P", f"""select owner_id, pack, block, pos, '[' || pack || '/' || scope || '] ' || line as line from (
  select owner_id, pack, 0 as block, pos, key || ': ' || {VT} as line from F where contains(lower(key), 'en r') or contains(lower({VT}), 'en r')
  union all select owner_id, pack, 1, pos, 'Rule: ' || instruction from RU where contains(lower(instruction), 'en r')) join P using (owner_id, pack)""")),
+    "search_many": (
+        lambda v: multi_search.search_many(v.P, v.F, v.RU, v.table("documents").selectExpr("doc_id as query_id", f"{ASKED} as query"))
+        .select("query_id", "owner_id", "pack", "block", "pos", F.length("line").cast("bigint").alias("n_chars")),
+        with_views("F RU P", f"""with Q as materialized (select doc_id as query_id, lower({ASKED}) as query from documents),
+ L as materialized (select owner_id, pack, 0 as block, pos, lower(key) as head, lower({VT}) as body, key || ': ' || {VT} as line from F
+ union all select owner_id, pack, 1, pos, null, lower(instruction), 'Rule: ' || instruction from RU)
+ select query_id, owner_id, pack, block, pos, length('[' || pack || '/' || scope || '] ' || line) as n_chars
+ from L join Q on contains(head, query) or contains(body, query) join P using (owner_id, pack)""")),
     "filter_scopes": (
         lambda v: search.filter_scopes(v.P, ["development", "writing"]),
         with_views("P", "select * from P where scope in ('development', 'writing')")),
