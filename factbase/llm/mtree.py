@@ -3,12 +3,15 @@
 Inner products become distances by one more coordinate: with M the largest squared norm, x gets sqrt(M - |x|^2) and a
 query 0, so d(q, x)^2 = |q|^2 + M - 2 q.x, and the nearest vectors have the largest products.
 
-Vectors go to the nearest of at most PIVOTS sampled pivots; a pivot's cell is split evenly into trees of about
-TREE_ROWS vectors, however many share it. A tree is written as pages: an inner page holds routing objects with
-covering radius and the distance to the page's own routing object, a leaf page vectors with that distance. A query
-visits the tree of its own cell first; the k-th score found bounds all further visits. Trees whose pivot distance less
-radius is beyond it are not visited; within a tree, pages are read best first, and stored parent distances rule
-out entries by the triangle inequality before their distance is computed. Queries come in blocks of QUERY_ROWS.
+Vectors go to the nearest of at most PIVOTS sampled pivots; a pivot's cell is cut into at most BANDS bands by distance
+to the pivot, and a band is split evenly into trees of about TREE_ROWS vectors, however many share it. A tree is written
+as pages: an inner page holds routing objects with covering radius and the distance to the page's own routing object, a
+leaf page vectors with that distance. A query visits one tree of its own cell first; the k-th score found bounds all
+further visits. Bands whose distances to the pivot are beyond that bound are not visited; within a tree, pages are read
+best first, and stored parent distances rule out entries by the triangle inequality before their distance is computed.
+
+Queries name the trees they visit. A tree travels once for each QUERY_ROWS of its visits, and not at all without one, so
+what is shuffled grows with vectors and visits. Equal rows are collapsed with their number before anything is shuffled.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from pyspark.sql.window import Window
 from factbase.llm.storage import cut
 
 PIVOTS = 256
+BANDS = 64
 TREE_ROWS = 8192
 QUERY_ROWS = 512
 LEAF, FANOUT = 512, 16
@@ -52,8 +56,14 @@ def _far(points: np.ndarray, one: np.ndarray) -> np.ndarray:
     return np.sqrt(np.einsum("ij,ij->i", d, d))
 
 
+def _collapsed(ids: np.ndarray, vectors: np.ndarray, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (id, vector) with the sum of their copies."""
+    rows, place = np.unique(np.column_stack([ids, vectors]), axis=0, return_inverse=True)
+    return rows[:, 0], rows[:, 1:], np.bincount(place.ravel(), copies).astype(np.int64)
+
+
 def _pages(ids: np.ndarray, points: np.ndarray, routing: np.ndarray) -> Iterator[tuple]:
-    """(page, leaf, ids or page numbers, vectors, radius, parent) of one tree; page 0 is the root."""
+    """(page, leaf, ids or page numbers, vectors, radius, parent) of one tree; page 0 is the root. ids: pairs of id and copies."""
     todo, last = [(0, np.arange(len(ids)), routing)], 0
     while todo:
         page, rows, centre = todo.pop()
@@ -87,10 +97,12 @@ class Tree:
             vectors = read(p["vectors"]).reshape(-1, width)
             if p["leaf"]:
                 vectors = np.ascontiguousarray(vectors[:, :-1])  # without the raised coordinate
-            self.pages[p["page"]] = p["leaf"], np.frombuffer(p["ids"], np.int64), vectors, read(p["radius"]), read(p["parent"])
+            ids = np.frombuffer(p["ids"], np.int64)
+            self.pages[p["page"]] = p["leaf"], ids.reshape(-1, 2) if p["leaf"] else ids, vectors, read(p["radius"]), read(p["parent"])
 
     def search(self, query: np.ndarray, own: int, k: int, top: float, least: int | None, from_root: float) -> tuple[list, int]:
-        """The k best (score, -id) of the tree that reach `least`; from_root: distance to the root's routing object."""
+        """The k best (score, -id) of the tree that reach `least`, without one row (own, query) itself; from_root: distance
+        to the root's routing object."""
         size = float((query * query).sum()) + top
         slack = SLACK * (1 + np.sqrt(size))
         reach = lambda score: np.sqrt(max(size - 2.0 * score, 0.0)) + slack
@@ -112,12 +124,16 @@ class Tree:
                     scores = vectors[some] @ exact
                 floor = best[0][0] if len(best) == k else -np.inf if least is None else least
                 ahead = np.flatnonzero(scores >= floor)
-                ahead = ahead[ids[some[ahead]] != own]
-                for s, i in zip(scores[ahead].astype(np.int64).tolist(), ids[some[ahead]].tolist()):
-                    if len(best) < k:
-                        heapq.heappush(best, (s, -i))
-                    elif (s, -i) > best[0]:
-                        heapq.heapreplace(best, (s, -i))
+                rows = some[ahead]
+                left = ids[rows, 1].copy()
+                mine = np.flatnonzero(ids[rows, 0] == own)
+                left[mine[(vectors[rows[mine]] == exact).all(axis=1)]] -= 1  # the row that asks
+                for s, i, n in zip(scores[ahead].astype(np.int64).tolist(), ids[rows, 0].tolist(), left.tolist()):
+                    for _ in range(min(n, k)):
+                        if len(best) < k:
+                            heapq.heappush(best, (s, -i))
+                        elif (s, -i) > best[0]:
+                            heapq.heapreplace(best, (s, -i))
                 if len(best) == k:
                     bound = min(bound, reach(best[0][0]))
             else:
@@ -130,101 +146,140 @@ class Tree:
 
 def _search(k: int, top: float, width: int):
     def run(pages: pa.Table, queries: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, int]] = []
+        out: list[tuple[int, ...]] = []
         if pages.num_rows and queries.num_rows:
             tree = Tree(pages, width + 1)
             vectors = _matrix(queries.column("vector"), width)
-            for q, v, least, far in zip(queries.column("query_id").to_pylist(), vectors, queries.column("least").to_pylist(),
-                                        queries.column("far").to_pylist()):
-                out += [(q, -i, s) for s, i in tree.search(v, q, k, top, least, far)[0]]
-        columns = [pa.array([r[i] for r in out], pa.int64()) for i in range(3)]
-        return pa.table(columns, names=["query_id", "vec_id", "score"])
+            for v, q in zip(vectors, queries.drop_columns(["vector"]).to_pylist()):
+                best = tree.search(v, q["query_id"], k, top, q["least"], q["far"])[0]
+                out += [(q["ask"], q["query_id"], q["asked"], -i, s) for s, i in best]
+        names = ["ask", "query_id", "asked", "vec_id", "score"]
+        return pa.table([pa.array([r[i] for r in out], pa.int64()) for i in range(5)], names=names)
     return run
 
 
+def _cuts(n: int, percentiles: list[float]) -> list[float]:
+    """Borders of a cell's bands: as many bands as it has trees, at most one more than there are percentiles."""
+    bands = min(len(percentiles) + 1, -(-n // TREE_ROWS))
+    return sorted({percentiles[len(percentiles) * i // bands] for i in range(1, bands)})
+
+
+def _repeated(rows: DataFrame, n: str, step: int = 4096) -> DataFrame:
+    """Each row n times, by way of short sequences."""
+    rows = rows.withColumn("_s", F.explode(F.expr(f"sequence(0L, ({n} - 1) div {step})")))
+    return rows.withColumn("_s", F.explode(F.expr(f"sequence(1L, least({step}L, {n} - _s * {step}))"))).drop("_s", n)
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id_col: str = "vec_id",
           vector: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k largest inner products of each query row with all other rows.
 
     Components become floor(scale * x) first. Rows without id, and vectors that are null or hold a null or non-finite
     component, take no part; a vector that is shorter than another counts as filled up with zeros. Equal scores go to
-    the smaller id; rows with the query's id are its own. Fewer than k other rows give fewer ranks. Products must stay
-    below 2^53.
+    the smaller id. Fewer than k other rows give fewer ranks. Every row is a row of its own: one that asks is left out of its
+    own answer, another row with the same id, or a wholly equal one, is a candidate, and each of them asks for itself,
+    so a repeated query id has ranks 1 to k once for each row. Products must stay below 2^53.
     """
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     parts = F.transform(F.col(vector), lambda x: F.floor(F.lit(scale) * x.cast("double")))
     rows = vectors.where(F.col(id_col).isNotNull() & F.col(vector).isNotNull() & F.forall(vector, lambda x: finite(x.cast("double"))))
-    rows = rows.select(F.col(id_col).cast("long").alias("id"), parts.alias("vector"), is_query.alias("asks"))
+    rows = rows.select(F.col(id_col).cast("long").alias("id"), parts.alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     norm = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
     n, asked, width, top = rows.agg(F.count("*"), F.count_if("asks"), F.max(F.size("vector")), F.max(norm)).first()
     if not n or not asked:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    sample = rows.orderBy(F.xxhash64("id", F.lit("pivot")), "id").limit(min(PIVOTS, -(-n // TREE_ROWS))).select("vector").toArrow()
+    sample = rows.orderBy(F.xxhash64("id", "vector", F.lit("pivot")), "id").limit(min(PIVOTS, -(-n // TREE_ROWS))).select("vector").toArrow()
     pivots = _raised(_matrix(sample.column(0), width), top)
-    blocks = -(-asked // QUERY_ROWS)
+    whole = pa.list_(pa.int64())
+
+    def lists(matrix: np.ndarray) -> pa.Array:
+        return pa.FixedSizeListArray.from_arrays(pa.array(matrix.ravel()), width).cast(whole) if width else pa.array([[]] * len(matrix), whole)
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                far = np.stack([_far(_raised(_matrix(batch.column(1), width), top), p) for p in pivots], 1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(far.argmin(1).astype(np.int32)),
-                                                  pa.array(far.min(1))], names=["id", "vector", "cell", "far"])
+                ids, found, copies = _collapsed(batch.column(0).to_numpy(), _matrix(batch.column(1), width), np.ones(batch.num_rows))
+                raised = _raised(found, top)
+                far = np.stack([_far(raised, p) for p in pivots], 1)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), lists(found), pa.array(copies), pa.array(far.argmin(1).astype(np.int32)),
+                                                  pa.array(far.min(1))], names=["id", "vector", "copies", "cell", "far"])
 
-    placed = rows.select("id", "vector").mapInArrow(nearest, "id long, vector array<long>, cell int, far double")
-    # one row for each pivot
-    cells = {r["cell"]: r for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius")).collect()}
-    trees = {c: -(-r["n"] // TREE_ROWS) for c, r in cells.items()}
-    shift = 1 << 32
+    placed = rows.select("id", "vector").mapInArrow(nearest, "id long, vector array<long>, copies long, cell int, far double")
+    # one row for each pivot, then one for each band: at most PIVOTS * BANDS
+    shares = [i / BANDS for i in range(1, BANDS)]
+    cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.percentile_approx("far", shares).alias("at")).collect()
+    borders = vectors.sparkSession.createDataFrame([(r["cell"], _cuts(r["n"], r["at"])) for r in cells], "cell int, cuts array<double>")
+    banded = placed.join(F.broadcast(borders), "cell").withColumn(
+        "band", (F.col("cell") * BANDS + F.size(F.filter("cuts", lambda c: c < F.col("far")))).cast("long"))
+    bands = sorted(banded.groupBy("band").agg(F.count("*").alias("n"), F.min("far").alias("low"), F.max("far").alias("high")).collect())
+    number, rows_of, low, high = (np.array([r[i] for r in bands]) for i in range(4))
+    trees = -(-rows_of // TREE_ROWS)
+    first_tree = np.cumsum(trees) - trees
 
     def build(tree: pa.Table) -> pa.Table:
-        points = _raised(_matrix(tree.column("vector"), width), top)
-        number = tree.column("tree")[0].as_py()
-        pages = list(_pages(tree.column("id").to_numpy(), points, pivots[number // shift]))
-        columns = [[number] * len(pages), *[[p[i] for p in pages] for i in (0, 1)],
+        ids, found, copies = _collapsed(tree.column("id").to_numpy(), _matrix(tree.column("vector"), width), tree.column("copies").to_numpy())
+        at = tree.column("tree")[0].as_py()
+        routing = pivots[number[np.searchsorted(first_tree, at, "right") - 1] // BANDS]
+        pages = list(_pages(np.column_stack([ids, copies]), _raised(found, top), routing))
+        columns = [[at] * len(pages), *[[p[i] for p in pages] for i in (0, 1)],
                    *[[np.ascontiguousarray(p[i], t).tobytes() for p in pages] for i, t in ((2, np.int64), (3, float), (4, float), (5, float))]]
         kinds = [pa.int64(), pa.int32(), pa.bool_()] + [pa.binary()] * 4
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=[f.split()[0] for f in PAGE.split(", ")])
 
-    split = F.create_map(*[F.lit(v) for c, t in trees.items() for v in (c, t)])
-    index = cut(placed.withColumn("tree", F.col("cell").cast("long") * shift + F.pmod(F.xxhash64("id"), split[F.col("cell")]))
-                .select("tree", "id", "vector").groupBy("tree").applyInArrow(build, PAGE))
-    index = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    directory = vectors.sparkSession.createDataFrame(
+        [tuple(map(int, r)) for r in zip(number, first_tree, trees)], "band long, first_tree long, trees long")
+    place = F.col("first_tree") + F.pmod(F.xxhash64("id", "vector"), F.col("trees"))
+    index = cut(banded.join(F.broadcast(directory), "band").select(place.alias("tree"), "id", "vector", "copies")
+                .groupBy("tree").applyInArrow(build, PAGE))
+    sent_columns = "tree long, ask long, query_id long, asked long, vector array<long>, least long, far double"
 
     def visits(first: bool):
-        """The tree of a query's own cell, or all others that the bound does not rule out."""
+        """One tree of a query's own cell, or all others that the bound does not rule out."""
+        def trees_of(ask: int, v: np.ndarray, least: int | None) -> tuple[np.ndarray, np.ndarray]:
+            far = _far(pivots, v)[number // BANDS]
+            gap = np.maximum(np.maximum(low - far, far - high), 0)
+            inside = np.flatnonzero(far == far.min())
+            home = int(inside[np.argmin(gap[inside])])
+            own = first_tree[home] + ask % trees[home]
+            if first:
+                return np.array([own]), far[[home]]
+            size = (v * v).sum() + top
+            reach = np.inf if least is None else np.sqrt(max(size - 2.0 * least, 0)) + SLACK * (1 + np.sqrt(size))
+            near = np.flatnonzero(gap <= reach)
+            many = trees[near]
+            found = np.repeat(first_tree[near] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            keep = found != own
+            return found[keep], np.repeat(far[near], many)[keep]
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                out: list[tuple[int, int, float]] = []
-                vectors = _matrix(batch.column(1), width)
-                raised = np.concatenate([vectors.astype(float), np.zeros((len(vectors), 1))], axis=1)
-                for row, (q, v, least) in enumerate(zip(batch.column(0).to_pylist(), raised, batch.column(2).to_pylist())):
-                    far = _far(pivots, v)
-                    home = min(cells, key=lambda c: far[c])
-                    own = home * shift + q % trees[home]
-                    if first:
-                        out.append((row, own, far[home]))
-                        continue
-                    size = (v * v).sum() + top
-                    reach = np.inf if least is None else np.sqrt(max(size - 2.0 * least, 0)) + SLACK * (1 + np.sqrt(size))
-                    out += [(row, t, far[c]) for c, r in cells.items() if far[c] - r["radius"] <= reach
-                            for t in range(c * shift, c * shift + trees[c]) if t != own]
-                take = pa.array([o[0] for o in out], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([o[1] for o in out], pa.int64()), *[batch.column(i).take(take) for i in range(3)],
-                     pa.array([o[2] for o in out], pa.float64())], names=["tree", "query_id", "vector", "least", "far"])
+            names = [c.split()[0] for c in sent_columns.split(", ")]
+            for whole_batch in batches:
+                for start in range(0, whole_batch.num_rows, 32):  # a query may visit every tree
+                    batch = whole_batch.slice(start, 32)
+                    found = _matrix(batch.column("vector"), width)
+                    raised = np.concatenate([found.astype(float), np.zeros((len(found), 1))], axis=1)
+                    out = [trees_of(a, v, least) for a, v, least in zip(
+                        batch.column("ask").to_pylist(), raised, batch.column("least").to_pylist())]
+                    take = pa.array(np.repeat(np.arange(len(out)), [len(t) for t, _ in out]))
+                    held = [batch.column(c).take(take) for c in ("ask", "query_id", "asked", "vector", "least")]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([t for t, _ in out])), *held,
+                                                      pa.array(np.concatenate([f for _, f in out]))], names=names)
         return run
 
     def found(queries: DataFrame, first: bool) -> DataFrame:
-        sent = queries.mapInArrow(visits(first), "tree long, query_id long, vector array<long>, least long, far double")
-        sent = sent.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-        return index.groupBy("tree", "block").cogroup(sent.groupBy("tree", "block")).applyInArrow(
-            _search(k, top, width), "query_id long, vec_id long, score long")
+        sent = queries.mapInArrow(visits(first), sent_columns)
+        load = cut(sent.groupBy("tree").agg(F.ceil(F.count("*") / QUERY_ROWS).alias("blocks")))  # one row for each visited tree
+        pages = index.join(load, "tree").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        sent = sent.join(load, "tree").withColumn("block", F.pmod(F.xxhash64("ask"), F.col("blocks")))
+        return pages.groupBy("tree", "block").cogroup(sent.groupBy("tree", "block")).applyInArrow(
+            _search(k, top, width), "ask long, query_id long, asked long, vec_id long, score long")
 
-    queries = rows.where("asks").select(F.col("id").alias("query_id"), "vector")
+    queries = rows.where("asks").groupBy("id", "vector").agg(F.count("*").alias("asked"))
+    queries = cut(queries.select(F.monotonically_increasing_id().alias("ask"), F.col("id").alias("query_id"), "asked", "vector"))
     one = cut(found(queries.withColumn("least", F.lit(None).cast("long")), True))
-    bounds = one.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("low")).select(
-        "query_id", F.when(F.col("n") >= k, F.col("low")).alias("least"))
-    two = found(queries.join(bounds, "query_id", "left").select("query_id", "vector", "least"), False)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (one.union(two).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
+    bounds = one.groupBy("ask").agg(F.count("*").alias("n"), F.min("score").alias("low")).select(
+        "ask", F.when(F.col("n") >= k, F.col("low")).alias("least"))
+    two = found(queries.join(bounds, "ask", "left").select("ask", "query_id", "asked", "vector", "least"), False)
+    order = Window.partitionBy("ask").orderBy(F.desc("score"), "vec_id")
+    ranked = one.union(two).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return _repeated(ranked, "asked").select("query_id", "rank", "vec_id", "score")

@@ -15,16 +15,16 @@ def brute(rows, every, k, scale=256):
     ok = [(i, [math.floor(scale * float(x)) for x in v]) for i, v in rows
           if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, a in ok:
+    for here, (q, a) in enumerate(ok):
         if q % every == 0:
-            scores = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in ok if i != q)[:k]
+            scores = sorted((-sum(x * y for x, y in zip(a, b)), i) for at, (i, b) in enumerate(ok) if at != here)[:k]
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores)]
     return sorted(out)
 
 
 @pytest.fixture
 def small(monkeypatch):
-    for name, value in (("PIVOTS", 5), ("TREE_ROWS", 60), ("QUERY_ROWS", 7), ("LEAF", 6), ("FANOUT", 3)):
+    for name, value in (("PIVOTS", 5), ("BANDS", 4), ("TREE_ROWS", 20), ("QUERY_ROWS", 7), ("LEAF", 6), ("FANOUT", 3)):
         monkeypatch.setattr(mtree, name, value)
 
 
@@ -42,6 +42,20 @@ def test_against_all_products(spark, small, seed, dims):
     assert sorted(map(tuple, got.collect())) == brute(rows, 10, 4)
 
 
+def test_repeated_rows(spark, small):
+    """Rows that share an id, or are wholly equal, ask and answer as rows of their own; a third of all rows is one row."""
+    rng = random.Random(5)
+    rows = [(i % 150, [rng.randrange(-40, 40) / 256 for _ in range(3)]) for i in range(300)] + [(50, [0.1, 0.2, 0.3])] * 150
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in rows]
+    from pyspark.sql import functions as F
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    assert sorted(map(tuple, top_k(frame, F.col("vec_id") % 50 == 0, k=4).collect())) == brute(rows, 50, 4)
+    twice = spark.createDataFrame(rows[:100] + rows[:100], "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, top_k(twice, F.col("vec_id") % 50 == 0).collect())) == brute(rows[:100] * 2, 50, 5)
+    many = spark.createDataFrame([(1, 10_000), (2, 4096), (3, 1)], "a int, n long")
+    assert {r.a: r["count"] for r in mtree._repeated(many, "n").groupBy("a").count().collect()} == {1: 10_000, 2: 4096, 3: 1}
+
+
 def test_few_rows(spark):
     from pyspark.sql import functions as F
     frame = spark.createDataFrame([(0, [0.5, 0.5]), (1, [0.1, 0.2]), (50, [0.1, 0.2])], "vec_id long, embedding array<float>")
@@ -59,7 +73,7 @@ def test_pruning():
     raised = mtree._raised(points, top)
     import pyarrow as pa
     pages = [dict(zip(("page", "leaf", "ids", "vectors", "radius", "parent"), (p[0], p[1], np.ascontiguousarray(p[2], np.int64).tobytes(),
-             *[np.ascontiguousarray(x, float).tobytes() for x in p[3:]]))) for p in mtree._pages(np.arange(4000), raised, raised[0])]
+             *[np.ascontiguousarray(x, float).tobytes() for x in p[3:]]))) for p in mtree._pages(np.stack([np.arange(4000), np.ones(4000, int)], 1), raised, raised[0])]
     tree = mtree.Tree(pa.Table.from_pylist(pages), 5)
     q = points[11]
     best, seen = tree.search(q, -1, 5, top, None, float(np.linalg.norm(np.append(q, 0.0) - raised[0])))
