@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from factbase.operators import chat, extract
 from factbase.plans.fixtures import with_views
-from factbase.sources import chats
+from factbase.sources import chats, split_exports
+from factbase.streaming.jobs import new_output
 
 W = r"[\p{L}\p{N}_]"
 B = r"(?:^|[^\p{L}\p{N}_])"
@@ -208,7 +209,28 @@ BROKEN = """BR as (select owner_id, file, case cast(substr(file, 2) as int) % 7
 DAMAGED_LAYOUTS_SQL = with_views("CF", f"""with {BROKEN}, FL as ({FLAT_SQL}), OKF as (select owner_id, file from BR where case when json_valid(doc) then json_type(doc) in ('ARRAY', 'OBJECT') else false end)
  select * from FL semi join OKF using (owner_id, file)""")
 
+def _by_splits(v):
+    """Exports of a thousand files' conversations in one list each, written by Spark and read by splits."""
+    path = new_output(v.spark, "big-exports")
+    n = F.substring("file", 2, 9).cast("long")
+    inner = F.when(F.startswith("doc", F.lit("[")), F.expr("substring(doc, 2, length(doc) - 2)")).otherwise(F.col("doc"))
+    parts = v.CF.select("owner_id", F.floor(n / 1000).alias("export"), n.alias("n"), inner.alias("value"))
+    keys = ["owner_id", "export"]
+    edges = parts.groupBy(*keys).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    lines = parts.join(edges, keys).select(*keys, "n", F.concat(
+        F.when(F.col("n") == F.col("lo"), "[").otherwise(","), "value", F.when(F.col("n") == F.col("hi"), "]").otherwise("")).alias("value"))
+    (lines.repartition(*keys).sortWithinPartitions(*keys, "n").select(*keys, "value")
+     .write.partitionBy(*keys).text(path))
+    found = split_exports.split_chat_flat(split_exports.split_conversations(v.spark, path))
+    return found.select("owner_id", F.regexp_extract("file", "/export=([0-9]+)/", 1).cast("long").alias("export"), "conv_no", "pos", "text")
+
+
+BY_SPLITS_SQL = with_views("CF", f"""with FL as ({FLAT_SQL}), N as (select conv_id, case when conv_id % 5 = 4 then count(*) else 1 end as n from conversations group by conv_id),
+ B as (select conv_id, coalesce(sum(n) over (partition by conv_id % 7, conv_id // 1000 order by conv_id rows between unbounded preceding and 1 preceding), 0) as base from N)
+select owner_id, cast(conv_id // 1000 as bigint) as export, cast(conv_no + base as bigint) as conv_no, pos, text from FL join B on file = 'c' || conv_id""")
+
 QUERIES = {
+    "read_split_exports": (_by_splits, BY_SPLITS_SQL),
     "read_chat_tree": (lambda v: chats.read_chat_tree(v.CT), TREE_SQL),
     "read_chat_flat": (lambda v: chats.read_chat_flat(v.CF), FLAT_SQL),
     "read_export_archives": (

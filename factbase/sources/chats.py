@@ -17,8 +17,9 @@ from pyspark.sql.window import Window
 from factbase.functions.values import strip
 from factbase.operators.validate import kind, whole_json
 
-TREE = ("array<struct<mapping: map<string, struct<message: struct<"
-        "author: struct<role: string>, content: struct<parts: array<variant>>>>>>>")
+CONVERSATION = ("struct<mapping: map<string, struct<message: struct<"
+                "author: struct<role: string>, content: struct<parts: array<variant>>>>>>")
+TREE = f"array<{CONVERSATION}>"
 MIN_CHARS = 5
 OUT = ["owner_id", "file", "conv_no", "pos", "text"]
 # Position inside a conversation: node or message number, then part number.
@@ -43,6 +44,11 @@ def read_chat_tree(exports: DataFrame, max_conversations: int | None = None) ->
         "owner_id", "file", F.posexplode(F.from_json("doc", TREE)).alias("conv_no", "c"))
     if max_conversations:
         convs = convs.where(F.col("conv_no") < max_conversations)
+    return tree_messages(convs)
+
+
+def tree_messages(convs: DataFrame) -> DataFrame:
+    """convs(owner_id, file, conv_no, c): c is a parsed CONVERSATION."""
     nodes = convs.select("owner_id", "file", "conv_no",
                          F.posexplode(F.map_values("c.mapping")).alias("n", "node")).where(
         F.col("node.message.author.role") == "user")
@@ -73,6 +79,11 @@ def read_chat_flat(exports: DataFrame, max_conversations: int | None = None) ->
     convs = conversations_of(exports)
     if max_conversations:
         convs = convs.where(F.col("conv_no") < max_conversations)
+    return flat_messages(convs)
+
+
+def flat_messages(convs: DataFrame) -> DataFrame:
+    """convs(owner_id, file, conv_no, conv): conv is the variant of one conversation."""
     get = lambda c, p, t="variant": F.try_variant_get(F.col(c), f"$.{p}", t)
     convs = convs.withColumns({"first": get("conv", "chat_messages"), "second": get("conv", "messages"),
                                "third": get("conv", "content"), "who": _string(get("conv", "role"))})

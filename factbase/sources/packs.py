@@ -14,14 +14,17 @@ NAME_RULE = "^[a-z][a-z0-9_-]*$"
 PART_ROWS = 1000
 
 
+def owner_of(place: Column) -> Column:
+    """The owner that a folder owner_id=.. names; files elsewhere are of the owner `me`."""
+    owner = F.regexp_extract(place, "/owner_id=([^/]+)/", 1)
+    return F.when(owner != "", F.url_decode(owner)).otherwise("me")
+
+
 def raw_packs_from_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """(owner_id, file, doc): one JSON document per file, or with `lines` one per line. Folders named owner_id=.. give
-    the owner; files elsewhere are of the owner `me`."""
+    """(owner_id, file, doc): one JSON document per file, or with `lines` one per line; the owner by `owner_of`."""
     place = F.col("_metadata.file_path")
-    owner = F.regexp_extract(place, "/owner_id=([^/]+)/", 1)
     files = spark.read.option("recursiveFileLookup", "true").schema("value string").text(path, wholetext=not lines)
-    return files.select(F.when(owner != "", F.url_decode(owner)).otherwise("me").alias("owner_id"),
-                        F.element_at(F.split(place, "/"), -1).alias("file"), F.col("value").alias("doc"))
+    return files.select(owner_of(place).alias("owner_id"), F.element_at(F.split(place, "/"), -1).alias("file"), F.col("value").alias("doc"))
 
 
 def _stamp(path: str) -> Column:
