@@ -22,6 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from factbase.functions.values import norm_value, quality, running_max_before
 from factbase.session import cut_lineage
@@ -32,6 +33,7 @@ CHUNK, CHUNK_CHARS = 1000, 200_000  # texts and characters in a chunk; long text
 PACK = ["owner_id", "pack"]
 NODE = ["owner_id", "pack", "pos"]
 TEXT_KEYS = ["text_id", "first_pos", "last_pos", "copies", "key_lo", "key_hi"]
+POSITIONS = 4096  # in a block whose edges are summed up first
 GRAM = 8
 SLICE = 4096
 LONG_TEXT = 200  # from this length on, the matcher ignores frequent characters as block seeds
@@ -354,42 +356,70 @@ def _fact_edges(f: DataFrame, facts: DataFrame, threshold: float, chunk: int) ->
 
 
 def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The facts of a pack that may be removed, in order: one stands when none of its removers stands."""
+    """The facts of a pack that may be removed, in order: one stands when none of its removers stands.
+
+    A row with `outer` tells whether a remover from an earlier range stands; a remover that no row removes stands.
+    """
     stands: dict[int, bool] = {}
     pdf = pdf.sort_values("pos", kind="stable")
-    for pos, sources in pdf.groupby("pos", sort=False)["src"]:
-        stands[pos] = not any(stands.get(src, True) for src in sources)
+    for pos, src, outer, hit in zip(*(pdf[c].tolist() for c in ("pos", "src", "outer", "hit"))):
+        stands[pos] = stands.get(pos, True) and not (hit if outer else stands.get(src, True))
     out = pd.DataFrame({"pos": list(stands), "stands": list(stands.values())})
     return out.assign(owner_id=pdf["owner_id"].iloc[0], pack=pdf["pack"].iloc[0])[["owner_id", "pack", "pos", "stands"]]
 
 
+def _ranges(kills: DataFrame) -> DataFrame:
+    """kills + range and src_range: consecutive positions that together have about SETTLE_EDGES edges; src_range is null for
+    removers that nothing removes. Running sums go by blocks of positions first, so no task sees a whole pack's positions."""
+    block = F.floor(F.col("pos") / POSITIONS).alias("_block")
+    heads = kills.groupBy(*NODE).agg(F.count(F.lit(1)).alias("_n")).withColumn("_block", block)
+    so_far = lambda keys, order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = (heads.groupBy(*PACK, "_block").agg(F.sum("_n").alias("_all"))
+              .withColumn("_base", F.coalesce(F.sum("_all").over(so_far(PACK, "_block")), F.lit(0))).drop("_all"))
+    before = F.col("_base") + F.coalesce(F.sum("_n").over(so_far([*PACK, "_block"], "pos")), F.lit(0))
+    heads = heads.join(blocks, [*PACK, "_block"]).select(*NODE, F.floor(before / max(SETTLE_EDGES, 1)).alias("range"))
+    sources = heads.select(*PACK, F.col("pos").alias("src"), F.col("range").alias("src_range"))
+    return kills.join(heads, NODE).join(sources, [*PACK, "src"], "left")
+
+
 def _settle(kills: DataFrame) -> DataFrame:
     """(owner, pack, pos, stands) of all facts that kills (owner, pack, src, pos) name.
 
-    A pack with up to SETTLE_EDGES edges is walked in order by one task, so a long chain costs no rounds. The edges of
-    larger packs are settled for all of them at once in rounds: a fact stands when all that could remove it have
-    fallen, and falls when one of them stands.
+    A pack with up to SETTLE_EDGES edges is walked in order by one task. The edges of larger packs are cut into ranges of
+    positions with about so many edges each, and a round walks one range of every pack with the verdicts of earlier ranges:
+    rounds follow the edges, not the longest chain. What earlier ranges say about a fact is one row, however many
+    of their facts could remove it.
     """
     size = kills.groupBy(*PACK).agg(F.count(F.lit(1)).alias("_n"))
     small, large = (kills.join(size.where(c).select(*PACK), PACK, "left_semi")
                     for c in (F.col("_n") <= SETTLE_EDGES, F.col("_n") > SETTLE_EDGES))
     free = kills.select(*PACK, F.col("src").alias("pos")).distinct().join(kills.select(*NODE).distinct(), NODE, "left_anti")
-    walked = small.groupBy(*PACK).applyInPandas(_walk, "owner_id string, pack string, pos bigint, stands boolean")
-    done = free.withColumn("stands", F.lit(True)).unionByName(walked)
+
+    def walk(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*PACK).applyInPandas(_walk, "owner_id string, pack string, pos bigint, stands boolean")
+
+    row = [*NODE, "src", "outer", "hit"]
+    inside = {"outer": F.lit(False), "hit": F.lit(False)}
+    done = cut_lineage(free.withColumn("stands", F.lit(True)).unionByName(walk(small.withColumns(inside).select(*row))))
     if large.isEmpty():
-        return cut_lineage(done)
-    state = large.select(*NODE).distinct().withColumn("stands", F.lit(None).cast("boolean"))
-    state = cut_lineage(state.unionByName(free.join(size.where(F.col("_n") > SETTLE_EDGES).select(*PACK), PACK, "left_semi")
-                                          .withColumn("stands", F.lit(True))))
-    while not state.where(F.col("stands").isNull()).isEmpty():
-        source = state.select(*PACK, F.col("pos").alias("src"), F.col("stands").alias("src_stands"))
-        seen = large.join(source, [*PACK, "src"]).groupBy(*NODE).agg(
-            F.bool_or(F.coalesce("src_stands", F.lit(False))).alias("hit"),
-            F.bool_and(F.coalesce(~F.col("src_stands"), F.lit(False))).alias("clear"))
-        state = cut_lineage(state.join(seen, NODE, "left").select(
-            *NODE, F.when(F.col("stands").isNotNull(), F.col("stands")).when(F.col("hit"), False)
-            .when(F.col("clear"), True).alias("stands")))
-    return cut_lineage(done.unionByName(state).distinct())
+        return done
+    large = cut_lineage(_ranges(large))
+    settled = None
+    for number in range(large.agg(F.max("range")).first()[0] + 1):
+        here = large.where(F.col("range") == number)
+        within = here.where(F.col("src_range") == number).withColumns(inside).select(*row)
+        outer = here.where(F.coalesce(F.col("src_range") < number, F.lit(True)))
+        if settled is not None:
+            outer = outer.join(settled.select(*PACK, F.col("pos").alias("src"), "stands"), [*PACK, "src"], "left")
+        else:
+            outer = outer.withColumn("stands", F.lit(True))
+        outer = outer.groupBy(*NODE).agg(F.bool_or(F.coalesce("stands", F.lit(True))).alias("hit"))
+        outer = outer.withColumns({"outer": F.lit(True), "src": F.lit(0).cast("bigint")}).select(*row)
+        verdicts = walk(outer.unionByName(within))
+        settled = cut_lineage(verdicts) if settled is None else settled.unionByName(cut_lineage(verdicts))
+        if number % 16 == 15:
+            settled = cut_lineage(settled)
+    return done.unionByName(settled)
 
 
 def similar_losers(facts: DataFrame, threshold: float = THRESHOLD, chunk: int = CHUNK) -> DataFrame:

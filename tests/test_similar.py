@@ -130,8 +130,8 @@ def test_exact_duplicates_keep_best(spark):
     assert C.drop_exact_duplicates(df).count() == 1
 
 
-@pytest.mark.parametrize("most", [0, 1_000_000])
-def test_losers_by_rounds_and_by_walk(spark, monkeypatch, most):
+@pytest.mark.parametrize("most", [40, 1_000_000])
+def test_losers_by_ranges_and_by_walk(spark, monkeypatch, most):
     monkeypatch.setattr(similar, "SETTLE_EDGES", most)
     facts = make_facts(11, False)
     got = {tuple(r) for r in similar.similar_losers(spark.createDataFrame(facts, FACTS)).collect()}
@@ -165,6 +165,28 @@ def test_long_chain_needs_no_rounds(spark, monkeypatch):
     assert state == {i: i % 2 == 0 for i in range(1001)} and len(calls) == 1
 
 
+def test_rounds_follow_edges_and_not_chains(spark, monkeypatch):
+    """A chain of five ranges takes five rounds; a fact with more removers than a range has edges is one row of a later range."""
+    monkeypatch.setattr(similar, "SETTLE_EDGES", 200)
+    monkeypatch.setattr(similar, "POSITIONS", 64)
+    calls = []
+    cut = similar.cut_lineage
+    monkeypatch.setattr(similar, "cut_lineage", lambda df: calls.append(1) or cut(df))
+    rng = random.Random(6)
+    edges = [("a", "chain", i, i + 1) for i in range(1000)]
+    edges += [("a", "hot", i, 900) for i in range(900)] + [("a", "hot", i - 1, i) for i in range(1, 300)] + [("a", "hot", 900, 901)]
+    edges += [("b", "mixed", *sorted(rng.sample(range(400), 2))) for _ in range(900)] + [("b", "small", 1, 2), ("b", "small", 2, 3)]
+    kills = spark.createDataFrame(edges, "owner_id string, pack string, src long, pos long")
+    got = {(r.owner_id, r.pack, r.pos): r.stands for r in similar._settle(kills).collect()}
+    want: dict = {}
+    for owner, pack, src, pos in sorted(edges, key=lambda e: e[3]):
+        want.setdefault((owner, pack, src), True)
+        want[owner, pack, pos] = want.get((owner, pack, pos), True) and not want[owner, pack, src]
+    assert got == want and similar._settle(kills).count() == len(want)
+    assert similar._ranges(kills.where("pack = 'chain'")).agg({"range": "max"}).first()[0] == 4
+    assert len(calls) <= 2 * (2 + 6)
+
+
 def test_report_lists_every_step(spark):
     base = dict(owner_id="a", pack="p", value_is_list=False, type="skill", source=None, updated_at=None)
     rows = [dict(base, pos=0, key="k", value_items=["works with spark daily"], confidence="high"),
