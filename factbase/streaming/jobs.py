@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,9 +25,12 @@ GAP_MS = 500  # fixed value: bursts closer than this are one reload
 
 
 def stream_table(spark: SparkSession, folder: str, file: str) -> DataFrame:
-    """A Parquet file (or files of that name pattern) of a folder as a stream."""
-    schema = spark.read.parquet(f"{folder}/{file}").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", file).parquet(folder)
+    """A Parquet file (or files of that name pattern) of a folder as a stream, or a table that is a folder of part files."""
+    table = spark.read.parquet(f"{folder}/{file}")
+    reader = spark.readStream.schema(table.schema)
+    if any(f"/{file}/" in unquote(path) for path in table.inputFiles()):
+        return reader.parquet(f"{folder}/{file}")
+    return reader.option("pathGlobFilter", file).parquet(folder)
 
 
 def run_to_end(stream: DataFrame, out: str, transform: Callable[[DataFrame], DataFrame] | None = None) -> None:
