@@ -228,13 +228,19 @@ def _live_bursts(v):
     return live.read_live_bursts(v.spark, f"{out}/bursts")
 
 
+def _by_file(v):
+    """Each document is a file of its own, so the work is in the files and not in the bytes: by number of tasks, since
+    small tasks that are merged would write all files one after another."""
+    return v.RP.repartition(int(v.spark.conf.get("spark.sql.shuffle.partitions")), "file")
+
+
 def _watch(v):
     """Packs written by Spark, one folder each, in three thirds that are watched by one query, restarted for each look:
     all are new; then one third is gone and one rewritten with text after the document; then nothing changes; then the third
     that was gone is back."""
     base = jobs.new_output(v.spark, "watched")
     number = F.regexp_extract("file", "([0-9]+)", 1).cast("int")
-    docs = v.RP.repartition("file").select("file", "doc", (number % 3).alias("third"))
+    docs = _by_file(v).select("file", "doc", (number % 3).alias("third"))
 
     def write(third, value):
         (docs.where(F.col("third") == third).select("file", value.alias("value")).write.mode("overwrite").option("lineSep", " ")
@@ -269,7 +275,7 @@ def _pack_stream(v):
     others rewritten, half of them with text after the document."""
     base = jobs.new_output(v.spark, "packs")
     number = F.regexp_extract("file", "([0-9]+)", 1).cast("int")
-    docs = v.RP.repartition("file").select("file", "doc", number.alias("n"))
+    docs = _by_file(v).select("file", "doc", number.alias("n"))
 
     def write(rows, value):
         (rows.select("file", value.alias("value")).write.mode("overwrite").option("lineSep", " ")

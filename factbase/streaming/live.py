@@ -172,10 +172,11 @@ def look(spark: SparkSession, folder: str, out: str, run: int, pattern: str = "*
     """One look at the documents below a folder: what was created, modified or deleted since the last look that found
     something is validated and stored as rows/run=.. (for latest_packs).
 
-    First only paths and times are listed; texts are read of files no older than the oldest change. unit "folder": the
+    The folder is listed once: first only paths and times are read, then the texts of files no older than the oldest change. unit "folder": the
     parts in a folder, as Spark writes them, are one document. A repeated look overwrites its own rows.
     """
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+    listed = (spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
+              .option("ignoreMissingFiles", "true").load(folder))
     file = F.col("_metadata.file_path")
     path = F.regexp_replace(file, "/[^/]*$", "") if unit == "folder" else file
     seen = f"{out}/snapshot/run={run}"
@@ -189,10 +190,11 @@ def look(spark: SparkSession, folder: str, out: str, run: int, pattern: str = "*
     if not found.n:
         delete_folder(spark, seen)
         return
-    reader = spark.read.option("wholetext", "true").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
+    written = listed
     if found.oldest:
-        reader = reader.option("modifiedAfter", (found.oldest - timedelta(seconds=2)).strftime("%Y-%m-%dT%H:%M:%S"))
-    texts = reader.schema("value string").text(folder).select(path.alias("path"), file.alias("part"), "value")
+        since = F.lit((found.oldest - timedelta(seconds=2)).strftime("%Y-%m-%dT%H:%M:%S")).cast("timestamp")
+        written = listed.where(F.col("modificationTime") > since)  # the reader opens no older file
+    texts = written.select(path.alias("path"), file.alias("part"), F.col("content").cast("string").alias("value"))
     docs = texts.join(changes.select("path"), "path", "left_semi").groupBy("path").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "value"))), lambda p: p["value"]), "").alias("doc"))
     rows = checked(changes.join(docs, "path", "left").select(
