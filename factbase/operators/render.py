@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -177,11 +178,16 @@ def custom_instructions_text(packs: DataFrame, facts: DataFrame, rules: DataFram
     parts = assemble(kept, ["owner_id", "field"], ["pack", "block", "ord_n", "pos"])
     heads = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(h).alias("head")) for f, h in FIELDS])
     every = packs.select("owner_id").distinct().select("owner_id", F.inline(heads))
-    first = F.coalesce("part", F.lit(0)).cast("bigint")
     ruler = F.lit("=" * 60)
     head = F.concat(ruler, F.lit("\n"), "head", F.lit("\n"), ruler, F.lit("\n\n"))
-    return every.join(parts, ["owner_id", "field"], "left").select(
-        "owner_id", "field", first.alias("part"), F.concat(F.when(first == 0, head).otherwise(""), F.coalesce("text", F.lit(""))).alias("text"))
+    none = every.join(lines.select("owner_id", "field").distinct(), ["owner_id", "field"], "left_anti")
+    # the head follows from the field alone: a join would hold all parts of an owner at once
+    heading = F.lit(FIELDS[0][1])
+    for name, text in FIELDS[1:]:
+        heading = F.when(F.col("field") == name, text).otherwise(heading)
+    shown = parts.withColumn("head", heading).select(
+        "owner_id", "field", "part", F.concat(F.when(F.col("part") == 0, head).otherwise(""), "text").alias("text"))
+    return shown.unionByName(none.select("owner_id", "field", F.lit(0).cast("bigint").alias("part"), head.alias("text")))
 
 
 # Sections of the identity document: (type or None for all others, heading, line start).
@@ -337,9 +343,15 @@ def assemble(lines: DataFrame, keys: list[str], order: list[str] = PLACE, part_l
     rest = [c for c in order if c not in keys]
     lead = {f"_b{i}": F.col(c) for i, c in enumerate(rest[:-1])}
     ranked = bucketed_rank(lines, keys, {**lead, "_blk": F.shiftright(rest[-1], 16)}, [F.col(rest[-1])], "_n")
-    parts = F.array_sort(F.collect_list(F.struct("_n", "line")))
-    return (ranked.groupBy(*keys, F.floor((F.col("_n") - 1) / part_lines).cast("bigint").alias("part"))
-            .agg(F.array_join(F.transform(parts, lambda x: x["line"]), sep).alias("text")))
+    numbered = ranked.select(*keys, F.floor((F.col("_n") - 1) / part_lines).cast("bigint").alias("part"), "_n", "line")
+
+    def join(part: pa.Table) -> pa.Table:
+        text = sep.join(part.sort_by("_n")["line"].drop_null().to_pylist())
+        return part.slice(0, 1).select([*keys, "part"]).append_column("text", pa.array([text], part["line"].type))
+
+    # one part at a time from a sort that can spill; an aggregate holds all parts that a task meets
+    schema = numbered.select(*keys, "part", F.col("line").alias("text")).schema
+    return numbered.groupBy(*keys, "part").applyInArrow(join, schema)
 
 
 def write_documents(lines: DataFrame, path: str, order: list[str] = PLACE) -> None:
