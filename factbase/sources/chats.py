@@ -7,9 +7,7 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -130,26 +128,26 @@ def unpack_archives(archives: DataFrame, layout: str) -> DataFrame:
     Tree exports use the first entry named conversations.json, flat exports each conversation file: one row per
     entry, named archive!entry, so an unreadable entry costs only itself.
     """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for path, content in zip(pdf["path"], pdf["content"]):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as zf:
-                        entries = _pick(zf.namelist(), layout)
-                        if not entries:
-                            raise ValueError("no conversation file")
-                        for name in entries:
-                            place = path if layout == "tree" else f"{path}!{name}"
-                            try:
-                                rows.append((place, zf.read(name).decode("utf-8"), None))
-                            except Exception as exc:
-                                rows.append((place, None, f"{type(exc).__name__}: {exc}"))
-                except Exception as exc:  # a bad archive is a row, not a failed job
-                    rows.append((path, None, f"{type(exc).__name__}: {exc}"))
-            yield pd.DataFrame(rows, columns=["file", "doc", "error"])
-
-    return archives.select("path", "content").mapInPandas(run, "file string, doc string, error string")
+    def entries(path: str, content: bytes) -> list[tuple]:
+        rows = []
+        try:
+            with zipfile.ZipFile(io.BytesIO(content)) as zf:
+                names = _pick(zf.namelist(), layout)
+                if not names:
+                    raise ValueError("no conversation file")
+                for name in names:
+                    place = path if layout == "tree" else f"{path}!{name}"
+                    try:
+                        rows.append((place, zf.read(name).decode("utf-8"), None))
+                    except Exception as exc:
+                        rows.append((place, None, f"{type(exc).__name__}: {exc}"))
+        except Exception as exc:  # a bad archive is a row, not a failed job
+            rows.append((path, None, f"{type(exc).__name__}: {exc}"))
+        return rows
+
+    # not by Arrow: its batches hold 10,000 rows, whatever an archive weighs; these hold 100
+    opened = F.udf(entries, "array<struct<file:string,doc:string,error:string>>", useArrow=False)
+    return archives.select(F.explode(opened("path", "content")).alias("r")).select("r.*")
 
 
 def read_export_archives(spark, path: str, layout: str) -> DataFrame:
