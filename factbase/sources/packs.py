@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factbase.functions.values import as_ts
 from factbase.operators.validate import child, listed, text_of, violations, with_variant
+from factbase.session import cut_lineage
 
 NAME_RULE = "^[a-z][a-z0-9_-]*$"
 # Every pack is written as numbered documents of so many consecutive positions, so that no task ever assembles an
@@ -56,7 +57,8 @@ def read_packs(raw_packs: DataFrame, as_of, owner: str = "me") -> tuple[DataFram
     """packs, facts, rules of the valid documents, with the model's defaults.
 
     A pack is one document, or the numbered parts that write_packs makes (meta.part). Of several documents for one
-    part of a pack the first by file name counts, as a whole, so positions stay unique.
+    part of a pack the first by file name counts, as a whole, so positions stay unique. Documents are parsed and judged
+    once, when this is called, and kept parsed for the three results.
     """
     if "owner_id" not in raw_packs.columns:
         raw_packs = raw_packs.withColumn("owner_id", F.lit(owner))
@@ -68,9 +70,9 @@ def read_packs(raw_packs: DataFrame, as_of, owner: str = "me") -> tuple[DataFram
         return F.coalesce(_stamp(path), as_ts(as_of))
 
     file = F.col("file") if "file" in raw_packs.columns else F.lit("")
-    docs = _judged(raw_packs).where("good").select(
+    docs = cut_lineage(_judged(raw_packs).where("good").select(
         "owner_id", get("$.name").alias("pack"), F.coalesce(get("$.meta.part", "bigint"), F.lit(0)).alias("part"),
-        F.struct(file.alias("file"), F.xxhash64("doc").alias("print")).alias("origin"), "v")
+        F.struct(file.alias("file"), F.xxhash64("doc").alias("print")).alias("origin"), "v"))
     first = docs.groupBy("owner_id", "pack", "part").agg(F.min("origin").alias("origin"))
     docs = docs.join(first, ["owner_id", "pack", "part", "origin"], "left_semi")
     packs = docs.select(
