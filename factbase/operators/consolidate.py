@@ -7,7 +7,7 @@ back to one row per group; AQE splits that join where a group is hot.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factbase.functions.values import norm_value, quality, value_text
@@ -20,8 +20,8 @@ def normalized_values(facts: DataFrame) -> DataFrame:
 
 
 def with_norm_id(facts: DataFrame) -> DataFrame:
-    """Digest of the normalised value: long texts are compared and shuffled by digest."""
-    return facts.withColumn("norm_id", F.md5(norm_value()))
+    """Digest of the normalised value: long texts are compared and shuffled by digest. Facts that have it keep it."""
+    return facts if "norm_id" in facts.columns else facts.withColumn("norm_id", F.md5(norm_value()))
 
 
 def _keepers(facts: DataFrame) -> DataFrame:
@@ -32,13 +32,19 @@ def _keepers(facts: DataFrame) -> DataFrame:
         F.max_by(place, F.struct(quality().alias("q"), place.alias("at"))).alias("best"))
 
 
+def placed_copies(facts: DataFrame) -> tuple[DataFrame, Column]:
+    """(all facts without values, with their digest and, where they have copies, the place of the best one; whether a fact goes)."""
+    # a small file of many facts is read by few tasks: its copies are sorted and looked up by all
+    slim = with_norm_id(facts).select(*DUP, "pack", "pos", "confidence", "updated_at").repartition("owner_id", "pack", "pos")
+    groups = _keepers(slim).where(F.col("copies") > 1).select(*DUP, F.col("best.pack").alias("kept_in"), F.col("best.pos").alias("kept_pos"))
+    goes = F.coalesce((F.col("pack") != F.col("kept_in")) | (F.col("pos") != F.col("kept_pos")), F.lit(False))
+    return slim.join(groups, DUP, "left"), goes
+
+
 def losing_copies(facts: DataFrame) -> DataFrame:
     """(owner_id, pack, pos, kept_in, kept_pos) of every copy but the best one, without values."""
-    slim = with_norm_id(facts).select(*DUP, "pack", "pos", "confidence", "updated_at")
-    groups = _keepers(slim).where(F.col("copies") > 1)
-    return (slim.join(groups, DUP)
-              .where((F.col("pack") != F.col("best.pack")) | (F.col("pos") != F.col("best.pos")))
-              .select("owner_id", "pack", "pos", F.col("best.pack").alias("kept_in"), F.col("best.pos").alias("kept_pos")))
+    placed, goes = placed_copies(facts)
+    return placed.where(goes).select("owner_id", "pack", "pos", "kept_in", "kept_pos")
 
 
 def exact_duplicates(facts: DataFrame) -> DataFrame:
